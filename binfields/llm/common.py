@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Maps a byte to itself if it belongs to a word (digits, letters lower-cased, all of non-ASCII), else to a space.
 WORD_BYTES = bytes(
@@ -71,3 +72,24 @@ def slices(n: int, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1)
         yield begin, min(end, n)
         begin = end
+
+
+#: A key is hot if it has over one in so many of the rows; no more keys than that can be.
+HOT_ONE_IN = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join on ``keys`` with ``right``, which has each key once and in ``n`` how many rows of ``left`` have it.
+
+    Hot keys (at most HOT_ONE_IN of them, by arithmetic) are broadcast, so their rows stay where they are; the others
+    meet in a shuffle. Both sides should be cheap to read again. Keys are not null; ``n`` is dropped.
+    """
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
+    rows = right.filter(F.col(n) > max(total // HOT_ONE_IN, HOT_ONE_IN)).collect()
+    if not rows:
+        return left.join(right.drop(n), keys)
+    hot = left.sparkSession.createDataFrame(rows, right.schema).drop(n)
+    hot_keys = hot.select(*keys)
+    often = left.join(F.broadcast(hot), keys)
+    seldom = left.join(F.broadcast(hot_keys), keys, "left_anti").join(right.join(F.broadcast(hot_keys), keys, "left_anti").drop(n), keys)
+    return often.unionByName(seldom)

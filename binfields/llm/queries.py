@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from binfields.llm.common import table
 from binfields.llm.decontamination import find_contamination, is_contaminated
+from binfields.llm.license_scan import licenses, scan_licenses
+from binfields.llm.line_dedup import dedup_lines
 from binfields.llm.packing import pack_documents
+from binfields.llm.quality import score_quality
 from binfields.llm.simhash import near_duplicates
+from binfields.llm.toxicity import score_toxicity
 from binfields.llm.url_filter import judge_urls, rules_frame
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -20,6 +24,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("finds").cast("long").alias("n_finds"),
+        F.concat_ws(",", licenses(F.col("finds"))).alias("licenses"),
+        F.array_max(F.transform("finds", lambda x: x["coverage"])).alias("coverage"),
+        F.concat_ws(";", F.transform("finds", lambda x: F.concat_ws(":", x["license"], x["begin"].cast("string"), x["end"].cast("string")))).alias("spans"),
+    )
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("features")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
 
@@ -41,18 +61,62 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.aggregate("removed_runs", F.lit(0).cast("long"), lambda n, run: n + run["end"] - run["begin"] + 1).alias("n_removed"),
+        F.size("removed_runs").cast("long").alias("n_runs"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.concat_ws(",", F.col("evidence.id")).alias("nearest"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
+    "op6_line_dedup": r"""
+with docs as (select row_number() over () as k, doc_id, text, string_split(text, chr(10)) as lines from documents),
+raw as (select k, doc_id, unnest(range(len(lines))) as line, unnest(lines) as own from docs),
+lines as (
+    select k, doc_id, line, trim(own, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as own,
+           len(list_filter(regexp_split_to_array(own, '[ \t\r\x0b\x0c]+'), lambda w: w <> '')) as words
+    from raw where trim(own, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+sums as (select *, sum(words) over (partition by k order by line) as after_words from lines),
+placed as (select *, after_words - words as before_words from sums),
+windows as (
+    select k, doc_id, line as first, max(line) over f as last, string_agg(own, chr(10)) over f as content, sum(words) over f as n
+    from placed window f as (partition by k order by before_words range between current row and 49 following)
+    union
+    select k, doc_id, min(line) over b as first, line as last, string_agg(own, chr(10)) over b as content, sum(words) over b as n
+    from placed window b as (partition by k order by after_words range between 49 preceding and current row)),
+ranked as (select *, rank() over (partition by content order by doc_id, first) as place from windows where n >= 50),
+gone as (select distinct k, unnest(range(first, last + 1)) as line from ranked where place > 1),
+real_gone as (select gone.k, gone.line from gone join lines using (k, line)),
+islands as (select k, line, line - row_number() over (partition by k order by line) as island from gone),
+summary as (select k, count(*) as n_removed, count(distinct island) as n_runs, list(line) as removed from islands group by k)
+select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs,
+       sha256(coalesce(case when n_removed > 0 then array_to_string(list_filter(lines, lambda x, i: not list_contains(removed, i - 1)), chr(10)) else text end, '')) as kept_sha256
+from docs left join summary using (k)
+""",
     "op3_url_filter": r"""
 with cut as (
     select page_id, case when instr(url, '://') > 0 then regexp_replace(substr(url, instr(url, '://') + 3), '[?#].*$', '', 's') else '' end as rest

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binfields.llm.common import checkpoint, text_bytes
+from binfields.llm.common import checkpoint, join_counted, text_bytes
 from binfields.llm.components import components
 
 BITS = 64
@@ -238,8 +238,8 @@ def find_components(nodes: DataFrame, *, tau: int = 4, parts: int | None = None,
                             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["part", "value", "q", "limits"])
 
     places = nodes.select("fingerprint").mapInArrow(index, "part int, value long, x long")
-    hubs = places.groupBy("part", "value").agg(F.min("x").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("part", "value", "hub")
-    starred = places.join(hubs, ["part", "value"]).filter((F.col("x") != F.col("hub")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("hub"))) <= tau))
+    hubs = checkpoint(places.groupBy("part", "value").agg(F.min("x").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    starred = join_counted(places, hubs, ["part", "value"], "n").filter((F.col("x") != F.col("hub")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("hub"))) <= tau))
     first = components(starred.select(F.col("x").alias("a"), F.col("hub").alias("b")))
     known = nodes.select("fingerprint").join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     grouped = checkpoint(known.select("fingerprint", F.coalesce("component", "fingerprint").alias("group")))
@@ -281,11 +281,11 @@ def find_components(nodes: DataFrame, *, tau: int = 4, parts: int | None = None,
 
 
 def near_duplicates(docs: DataFrame, *, tau: int = 4, shingle: int = 4, parts: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, fingerprint (signed long), component_id: the smallest id that is reachable over links, itself included."""
+    """id, fingerprint (signed long), component (its smallest fingerprint) and component_id (its smallest id)."""
     marked = checkpoint(fingerprints(docs, shingle=shingle, id_column=id_column, text_column=text_column))
-    nodes = checkpoint(marked.groupBy("fingerprint").agg(F.min(id_column).alias("least")))
+    nodes = checkpoint(marked.groupBy("fingerprint").agg(F.min(id_column).alias("least"), F.count("*").alias("rows")))
     found = find_components(nodes, tau=tau, parts=parts)
-    named = nodes.join(found, "fingerprint")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = named.select("fingerprint", "component").join(names, "component").select("fingerprint", "component_id")
-    return marked.join(by_node, "fingerprint").select(id_column, "fingerprint", "component_id")
+    named = checkpoint(nodes.join(found, "fingerprint"))
+    names = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    by_node = checkpoint(join_counted(named, names, ["component"], "n").select("fingerprint", "component", "component_id", "rows"))
+    return join_counted(marked, by_node, ["fingerprint"], "rows").select(id_column, "fingerprint", "component", "component_id")
