@@ -64,21 +64,22 @@ def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         whole, edges = own.tobytes(), (at - at[0]).tolist()
         words = np.array([_word_statistics(whole[a:b]) for a, b in zip(edges, edges[1:], strict=False)], float).reshape(-1, 5)
         count, different, top, stutter, stops = words.T
-        some, size = np.maximum(count, 1), np.maximum(sizes, 1)
-        visible = size - kinds[:, _BLANK] - kinds[:, _LINE]
-        letters = np.maximum(kinds[:, _UPPER] + kinds[:, _LOWER], 1)
+        # shares of a short text say little: each is taken as if some plain text stood beside it
+        some, size = count + 20, sizes + 120
+        visible = sizes - kinds[:, _BLANK] - kinds[:, _LINE]
+        letters = kinds[:, _UPPER] + kinds[:, _LOWER] + 100
         out[begin:end] = np.stack(
             [
                 np.log1p(count),
-                np.log1p(np.maximum(visible, 0) / some),
+                np.log1p((np.maximum(visible, 0) + 100) / some),
                 np.sqrt(kinds[:, _UPPER] / letters),
                 np.sqrt(kinds[:, _DIGIT] / size),
                 np.sqrt(kinds[:, _MARK] / size),
                 np.sqrt(kinds[:, _LOUD] / size),
                 np.sqrt(kinds[:, _SIGN] / size),
                 np.sqrt(kinds[:, _LINE] / some),
-                np.log(np.maximum(different, 1)) / np.log(np.maximum(count, 2)) * (count > 1) + (count <= 1),
-                np.sqrt(top / some),
+                np.log(different + 20) / np.log(some),
+                np.sqrt(np.maximum(top - 1, 0) / some),
                 np.sqrt(stutter / some),
                 np.sqrt(stops / some),
             ],
