@@ -12,6 +12,7 @@ from binfields.llm.line_dedup import dedup_lines
 from binfields.llm.packing import pack_documents
 from binfields.llm.quality import score_quality
 from binfields.llm.simhash import near_duplicates
+from binfields.llm.topk import top_k
 from binfields.llm.toxicity import score_toxicity
 from binfields.llm.url_filter import judge_urls, rules_frame
 
@@ -76,6 +77,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.concat_ws(",", F.col("evidence.id")).alias("nearest"))
@@ -89,10 +94,23 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
+    "op8_exact_top_k": """
+with fine as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from fine q join fine c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over w as integer) as rank, vec_id, score
+from scored window w as (partition by query_id order by score desc, vec_id)
+qualify row_number() over w <= 5
+""",
     "op6_line_dedup": r"""
 with docs as (select row_number() over () as k, doc_id, text, string_split(text, chr(10)) as lines from documents),
 raw as (select k, doc_id, unnest(range(len(lines))) as line, unnest(lines) as own from docs),
