@@ -12,6 +12,7 @@ from binfields.llm.line_dedup import dedup_lines
 from binfields.llm.packing import pack_documents
 from binfields.llm.quality import score_quality
 from binfields.llm.simhash import near_duplicates
+from binfields.llm.suffix_dedup import repeated_spans
 from binfields.llm.topk import top_k
 from binfields.llm.toxicity import score_toxicity
 from binfields.llm.url_filter import judge_urls, rules_frame
@@ -86,6 +87,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.concat_ws(",", F.col("evidence.id")).alias("nearest"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -96,6 +108,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL = {

@@ -3,7 +3,7 @@
 The dimensions are divided into ``lists``; each keeps, for every vector, the part of the score that its dimensions give.
 A vector whose parts are all below cutoff / lists cannot reach the cutoff.
 
-1. Each list gives, for each query, its ``depth`` highest parts in every block of vectors. The vectors named are scored in full; the
+1. Each list gives, for each query, its ``depth`` highest parts in every block of vectors; the highest of those over all blocks are scored in full. The
    k-th best full score is a safe cutoff: the answer's k-th score is no less.
 2. The cutoff goes to all lists. Each sends every entry whose part reaches cutoff / lists.
 3. Parts of one vector are added. Where all parts came, the score is exact; else it is at most the sum plus, for each
@@ -174,7 +174,8 @@ def top_k(
     entries = "part int, q long, n long, score long"
 
     first = _grid(_blocks(queries, lists, width, block), listed).mapInArrow(_highest(depth), entries)
-    named = checkpoint(_full_scores(first.select("q", "n").distinct(), queries, vectors))
+    merged = first.withColumn("r", F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc("score"), "n"))).filter(F.col("r") <= 8 * depth)
+    named = checkpoint(_full_scores(merged.select("q", "n").distinct(), queries, vectors))
     cutoffs = _best(named, k + 1).groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).alias("cutoff"))
     floor = -(2**62)
     with_cutoff = queries.join(cutoffs.withColumnRenamed("q", "n"), "n", "left").na.fill({"cutoff": floor}).select("n", "v", "cutoff")
