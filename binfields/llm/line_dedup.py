@@ -99,16 +99,20 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50, id_column: str = "doc
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text without its repeated runs, then n_lines (of the input) and removed_runs."""
+    """All columns of ``docs`` with the text without its repeated runs, then n_lines (of the input) and removed_runs.
+
+    Columns of the input with those two names are left out.
+    """
     found = repeated_runs(docs, min_words=min_words, id_column=id_column, text_column=text_column)
-    found = found.select(F.col(id_column).alias("_id"), F.col("_key").alias("_k"), "runs")
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_k"))
-    joined = docs.join(found, same, "left")
-    lines = F.split(F.col(text_column), "\n")
-    kept = F.filter(lines, lambda line, k: ~F.exists("runs", lambda run: k.between(run["begin"], run["end"])))
-    text = F.when(F.col("runs").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_column))
+    found = found.select(F.col(id_column).alias("_id"), F.col("_key").alias("_k"), F.col("runs").alias("_runs"))
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "removed_runs")]
+    rows = docs.select(F.struct(*kept_columns).alias("_row"), F.col(id_column).alias("_own"), F.col(text_column).alias("_text"))
+    joined = rows.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_k")), "left")
+    lines = F.split("_text", "\n")
+    kept = F.filter(lines, lambda line, k: ~F.exists("_runs", lambda run: k.between(run["begin"], run["end"])))
+    text = F.when(F.col("_runs").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("_text"))
     return joined.select(
-        *(text.alias(c) if c == text_column else F.col(c) for c in docs.columns),
+        *(text.alias(c) if c == text_column else F.col(f"_row.`{c}`").alias(c) for c in kept_columns),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("runs", F.array().cast("array<struct<begin:int,end:int>>")).alias("removed_runs"),
+        F.coalesce("_runs", F.array().cast("array<struct<begin:int,end:int>>")).alias("removed_runs"),
     )

@@ -168,7 +168,7 @@ def _class_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1 : 1 + d], out[:, 1 + d :].reshape(2, d, d)
 
 
-def score_quality(
+def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
     *,
@@ -178,14 +178,19 @@ def score_quality(
     folds: int = 5,
     held_out_fold: int = 0,
     shrinkage: float = 0.05,
-    threshold: float = 0.3,
-) -> DataFrame:
-    """id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold), features."""
+) -> tuple[DataFrame, QuadraticDiscriminant]:
+    """The statistics of all documents (id, features) and the model of the labelled ones that are not held out."""
     described = checkpoint(document_features(docs, id_column=id_column, text_column=text_column))
-    out = held_out(F.col(id_column), folds, held_out_fold)
     known = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(label_column).cast("int").alias("label"))
-    training = described.filter(~out).join(known, id_column).select("label", "features")
-    model = QuadraticDiscriminant.from_sums(*_class_sums(training), shrinkage)
+    training = described.filter(~held_out(F.col(id_column), folds, held_out_fold)).join(known, id_column).select("label", "features")
+    return described, QuadraticDiscriminant.from_sums(*_class_sums(training), shrinkage)
+
+
+def score_quality(
+    docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_column: str = "doc_id", folds: int = 5, held_out_fold: int = 0, **options
+) -> DataFrame:
+    """id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold), features; options as in ``fit_quality``."""
+    described, model = fit_quality(docs, labels, id_column=id_column, folds=folds, held_out_fold=held_out_fold, **options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,4 +199,17 @@ def score_quality(
 
     schema = T.StructType([*described.schema.fields, T.StructField("score", T.DoubleType())])
     scored = described.mapInArrow(score, schema)
+    out = held_out(F.col(id_column), folds, held_out_fold)
     return scored.select(id_column, out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "features")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more. Texts are not shuffled."""
+    _, model = fit_quality(docs, labels, text_column=text_column, **options)
+    place = docs.columns.index(text_column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(*text_view(batch.column(place)))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

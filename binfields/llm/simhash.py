@@ -289,3 +289,31 @@ def near_duplicates(docs: DataFrame, *, tau: int = 4, shingle: int = 4, parts: i
     names = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     by_node = checkpoint(join_counted(named, names, ["component"], "n").select("fingerprint", "component", "component_id", "rows"))
     return join_counted(marked, by_node, ["fingerprint"], "rows").select(id_column, "fingerprint", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: the one with the smallest id.
+
+    Of several rows with that id in one component, one with the smallest fingerprint stays. Texts are shuffled once, by id.
+    """
+    marked = checkpoint(near_duplicates(docs, id_column=id_column, text_column=text_column, shingle=shingle, **options))
+    leaders = marked.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
+    kept = leaders.groupBy("component").agg(F.min(F.struct(F.col(id_column).alias("id"), "fingerprint")).alias("kept")).select("kept.*")
+    rows_of_id = marked.groupBy(F.col(id_column).alias("id")).agg(F.count("*").alias("rows"))
+    kept = checkpoint(kept.join(rows_of_id, kept["id"].eqNullSafe(rows_of_id["id"])).select(kept["id"].alias("_id"), F.col("fingerprint").alias("_fingerprint"), "rows"))
+    single = docs.join(kept.filter("rows = 1 and _id is not null").select("_id"), F.col(id_column) == F.col("_id"), "left_semi")
+    # ids with several rows are told apart by their fingerprints
+    several = kept.filter("rows > 1 or _id is null").select("_id", "_fingerprint")
+    if several.isEmpty():
+        return single
+    place, names = docs.columns.index(text_column), [*docs.columns, "_own"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(place))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=names)
+
+    few = docs.join(several.select("_id").distinct(), F.col(id_column).eqNullSafe(F.col("_id")), "left_semi")
+    own = few.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())]))
+    chosen = own.join(several, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fingerprint")), "left_semi")
+    return single.unionByName(chosen.dropDuplicates([id_column, "_own"]).drop("_own"))
