@@ -1,4 +1,6 @@
 """All queries of the library proper and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from binfields.plans import grid_queries  # noqa: F401  each module registers its queries
+from binfields.plans.fixture import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
