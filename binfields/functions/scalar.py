@@ -63,14 +63,17 @@ def scale_from_name(name: Column) -> tuple[Column, Column]:
     return F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2).cast("int")
 
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore")
+def _tail(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore")
 
 
-@F.pandas_udf("double")
-def normal_sf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore")
+def normal_sf(x: Column | str) -> Column:
+    """Survival function of the normal distribution."""
+    return F.pandas_udf(_tail, "double")(x)
+
+
+def normal_cdf(x: Column | str) -> Column:
+    return normal_sf(-(F.col(x) if isinstance(x, str) else x))
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -84,6 +87,9 @@ def hypergeometric_tail(hits: int, drawn: int, marked: int, total: int) -> float
     return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms)) if terms else 0.0
 
 
-@F.pandas_udf("double")
-def hypergeom_sf(hits: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
+def _tails(hits: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([hypergeometric_tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(hits, drawn, marked, total, strict=True)], dtype=float)
+
+
+def hypergeom_sf(hits: Column | str, drawn: Column | str, marked: Column | str, total: Column | str) -> Column:
+    return F.pandas_udf(_tails, "double")(hits, drawn, marked, total)

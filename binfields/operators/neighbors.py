@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binfields.operators.grid import BIN_SIZE_UM, CELL
+from binfields.sources.scratch import checkpoint
 
 
 def disc(radius: float, size: float = BIN_SIZE_UM) -> list[tuple[int, int]]:
@@ -38,14 +39,15 @@ def knn_join(cells: DataFrame, k: int = 8, first_reach: int = 3) -> DataFrame:
 
     A cell with k neighbours inside the disc is settled, as all others are farther; the rest try a disc twice as wide.
     """
+    cells = checkpoint(cells.select(*CELL))
     total = cells.count()
-    open_, out, reach = cells.select(*CELL), None, first_reach
+    open_, out, reach = cells, None, first_reach
     by_distance = Window.partitionBy(*CELL).orderBy("d2", "nx", "ny")
     while True:
-        near = radius_join(open_, cells.select(*CELL), reach, 1.0).filter("d2 > 0")
+        near = radius_join(open_, cells, reach, 1.0).filter("d2 > 0")
         ranked = near.withColumn("rank", F.row_number().over(by_distance)).withColumn("_n", F.count("*").over(Window.partitionBy(*CELL)))
         wanted = min(k, total - 1)
-        settled = ranked.filter((F.col("rank") <= k) & (F.col("_n") >= wanted)).drop("_n")
+        settled = checkpoint(ranked.filter((F.col("rank") <= k) & (F.col("_n") >= wanted)).drop("_n"))
         out = settled if out is None else out.unionByName(settled)
         open_ = open_.join(settled.select(*CELL).distinct(), list(CELL), "left_anti")
         if wanted <= 0 or open_.isEmpty():
@@ -83,8 +85,8 @@ def nearest_boundary(cells: DataFrame, boundary: DataFrame, first_reach: int = 8
     Cells look into the nine buckets around them; a distance up to the bucket width is final, and only cells without
     one go on to buckets twice as wide. Boundaries are lines, so a bucket holds few of their cells.
     """
-    ends = boundary.select(F.col("x_bin").alias("_bx"), F.col("y_bin").alias("_by"))
-    open_, out, reach = cells.select(*CELL), None, first_reach
+    ends = checkpoint(boundary.select(F.col("x_bin").alias("_bx"), F.col("y_bin").alias("_by")))
+    open_, out, reach = checkpoint(cells.select(*CELL)), None, first_reach
     around = offsets([(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     if ends.isEmpty():
         return open_.select(*CELL, F.lit(None).cast("long").alias("d2"))
@@ -92,9 +94,9 @@ def nearest_boundary(cells: DataFrame, boundary: DataFrame, first_reach: int = 8
         spread = open_.select(*CELL, F.inline(around)).select(*CELL, (F.floor(F.col("x_bin") / reach) + F.col("dx")).alias("_tx"), (F.floor(F.col("y_bin") / reach) + F.col("dy")).alias("_ty"))
         held = ends.select("*", F.floor(F.col("_bx") / reach).alias("_tx"), F.floor(F.col("_by") / reach).alias("_ty"))
         dx, dy = F.col("x_bin").cast("long") - F.col("_bx"), F.col("y_bin").cast("long") - F.col("_by")
-        best = spread.join(held, ["_tx", "_ty"]).groupBy(*CELL).agg(F.min(dx * dx + dy * dy).alias("d2")).filter(F.col("d2") <= reach * reach)
+        best = checkpoint(spread.join(held, ["_tx", "_ty"]).groupBy(*CELL).agg(F.min(dx * dx + dy * dy).alias("d2")).filter(F.col("d2") <= reach * reach))
         out = best if out is None else out.unionByName(best)
-        open_ = open_.join(best.select(*CELL), list(CELL), "left_anti")
+        open_ = checkpoint(open_.join(best.select(*CELL), list(CELL), "left_anti"))
         if open_.isEmpty():
             break
         reach *= 2
@@ -103,12 +105,12 @@ def nearest_boundary(cells: DataFrame, boundary: DataFrame, first_reach: int = 8
 
 def signed_distance(cells: DataFrame, negative: str, positive: str, *, region: str = "region", radius: float = 30.0, size: float = BIN_SIZE_UM) -> DataFrame:
     """Cells of both regions with is_boundary and signed_dist_um: distance to the nearest boundary cell, negative in the first region."""
-    both = cells.filter(F.col(region).isin(negative, positive))
-    edge = boundary_cells(both, region, radius, size).select(*CELL)
+    both = checkpoint(cells.filter(F.col(region).isin(negative, positive)))
+    edge = checkpoint(boundary_cells(both, region, radius, size).select(*CELL))
     flagged = both.join(edge.withColumn("is_boundary", F.lit(True)), list(CELL), "left").na.fill({"is_boundary": False})
     distance = F.sqrt(F.col("d2").cast("double")) * size
     near = nearest_boundary(both, edge)
-    return flagged.join(near, list(CELL)).withColumn("signed_dist_um", F.when(F.col(region) == negative, -distance).otherwise(distance)).drop("d2")
+    return flagged.join(near, list(CELL)).withColumn("signed_dist_um", F.when((F.col(region) == negative) & (F.col("d2") > 0), -distance).otherwise(distance)).drop("d2")
 
 
 def with_halo(cells: DataFrame, tile_bins: int, halo: int) -> DataFrame:

@@ -134,7 +134,7 @@ pair_z as (
     select *, case when v > 0 then (greatest(u, n1 * n2 - u) - n1 * n2 / 2e0 - 0.5e0) / sqrt(v) else 0 end as z,
            log2((cpm_a + 1) / (cpm_b + 1)) as log2FC, (cpm_a + cpm_b) / 2 as Mean_CPM
     from (select *, r - n1 * (n1 + 1) / 2e0 as u, n1 * n2 / 12e0 * ((n1 + n2 + 1) - ties / (cast(n1 + n2 as double) * (n1 + n2 - 1))) as v from pair_u)),
-pair_p as (select *, exp(-z) as pval, row_number() over (order by exp(-z)) as pr, count(*) over () as pm from pair_z),
+pair_p as (select *, exp(-10 * z) as pval, row_number() over (order by exp(-10 * z)) as pr, count(*) over () as pm from pair_z),
 dge as (
     select *, qval < 5e-2 as is_stat_sig, qval < 5e-2 and abs(log2FC) >= 25e-2 and Mean_CPM >= 5 as is_practical_sig
     from (select *, least(min(pval * pm / pr) over (order by pr desc rows between unbounded preceding and current row), 1) as qval from pair_p)),
@@ -146,7 +146,7 @@ nearest as (
     select t.x_bin, t.y_bin, min((t.x_bin - b.x_bin) * (t.x_bin - b.x_bin) + (t.y_bin - b.y_bin) * (t.y_bin - b.y_bin)) as d2
     from two t cross join boundary b group by t.x_bin, t.y_bin),
 signed as (
-    select t.*, (b.x_bin is not null) as is_boundary, case when region = 'B' then -1 else 1 end * sqrt(cast(d2 as double)) * 10 as signed_dist_um
+    select t.*, (b.x_bin is not null) as is_boundary, case when d2 = 0 then 0e0 when region = 'B' then -10 * sqrt(cast(d2 as double)) else 10 * sqrt(cast(d2 as double)) end as signed_dist_um
     from two t join nearest using (x_bin, y_bin) left join boundary b on b.x_bin = t.x_bin and b.y_bin = t.y_bin),
 members as (
     select grp as marker_group, gene as feature_name, count(*) over (partition by grp) as n_genes
