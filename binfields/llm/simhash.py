@@ -201,7 +201,7 @@ def _mask(bits: list[int]) -> int:
     return int(np.array(sum(1 << b for b in bits), np.uint64).view(np.int64))
 
 
-def find_components(nodes: DataFrame, *, tau: int = 4, parts: int | None = None, most_parts: int = 5) -> DataFrame:
+def find_components(nodes: DataFrame, *, tau: int = 4, parts: int | None = None, most_parts: int = 4) -> DataFrame:
     """fingerprint, component (its smallest fingerprint, as signed numbers) of every linked node.
 
     ``nodes`` holds distinct fingerprints.
