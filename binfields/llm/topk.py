@@ -170,7 +170,8 @@ def top_k(
     own = asked.select("id", "v").distinct().join(vectors.select("v", F.col("n").alias("q")), "v").select("id", "q")
     own = checkpoint(own)
     queries = checkpoint(own.select("q").distinct().join(vectors.select(F.col("n").alias("q"), "v"), "q").select(F.col("q").alias("n"), "v"))
-    listed = checkpoint(_blocks(vectors, lists, width, block))
+    # few full blocks instead of one small block for each task
+    listed = checkpoint(_blocks(vectors.coalesce(max(1, -(-vectors.count() // block))), lists, width, block))
     entries = "part int, q long, n long, score long"
 
     first = _grid(_blocks(queries, lists, width, block), listed).mapInArrow(_highest(depth), entries)

@@ -189,7 +189,7 @@ def _judge_by_join(urls: DataFrame, rules: DataFrame, id_column: str, default: s
     suffixes = distinct.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("k"))
     probes = (
         suffixes.join(lengths, "k")
-        .select("host", "path", F.substring_index("host", ".", -F.col("k")).alias("rule_host"), F.explode("lengths").alias("n"))
+        .select("host", "path", F.expr("substring_index(host, '.', -k)").alias("rule_host"), F.explode("lengths").alias("n"))
         .filter("n <= length(path)")
         .withColumn("rule_path", F.expr("left(path, n)"))
     )
