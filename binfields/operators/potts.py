@@ -86,8 +86,7 @@ def potts_icm(cells: DataFrame, edges: DataFrame, lam: float | Column, *, label:
             # a tie keeps the label a cell has
             stay = F.element_at("_cost", F.col("label") + 1) <= F.array_min("_cost")
             moved = costed.withColumn("label", F.when(stay, F.col("label")).otherwise((F.array_position("_cost", F.array_min("_cost")) - 1).cast("int")))
-            now = moved.select(*now.columns).unionByName(now.filter(colour != c))
-        now = checkpoint(now)
+            now = checkpoint(moved.select(*now.columns).unionByName(now.filter(colour != c)))
         changed = now.select(*keys, *CELL, "label").join(before.select(*keys, *CELL, F.col("label").alias("_was")), [*keys, *CELL]).filter("label <> _was")
         if changed.isEmpty():
             break

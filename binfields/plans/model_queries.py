@@ -199,7 +199,7 @@ def lambda_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.limit(1).select(F.lit(0.5).alias("lambda"), F.lit(value).alias("stability"))
 
 
-@query("""select lambda from (select y_bin / 10e0 as lambda, avg(z_mean_um) / 100 as br, -avg(transcript_count) / 100 as pl, (count(*) % 10) / 10e0 as st from cells group by y_bin) order by st - 1e-1 * br desc, pl - 1e-1 * br desc, lambda limit 1""")
+@query("""select "lambda" from (select y_bin / 10e0 as "lambda", avg(z_mean_um) / 100 as br, -avg(transcript_count) / 100 as pl, (count(*) % 10) / 10e0 as st from cells group by y_bin) order by st - 1e-1 * br desc, pl - 1e-1 * br desc, "lambda" limit 1""")
 def select_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = fx.cells(spark, sf_dir).groupBy((F.col("y_bin") / 10.0).alias("lambda")).agg(
         (F.avg("z_mean_um") / 100).alias("boundary_ratio"), (-F.avg("transcript_count") / 100).alias("pseudo_likelihood"), ((F.count("*") % 10) / 10.0).alias("stability")
