@@ -5,8 +5,8 @@
 2. Terms are words and word beginnings of four and five bytes; the index keeps the terms that go with label 1 beyond
    chance in the examples. Document frequencies come from all documents.
 3. The index lists each term's examples with weights, in blocks that know their largest weight. A query adds up the
-   block maxima of its terms, visits blocks from the highest bound down, and stops when no block can beat the k-th best
-   cosine: the neighbours are exact.
+   block maxima of its terms, visits the blocks with the highest bounds, and then those only that could still beat the
+   k-th best cosine: the neighbours are exact.
 4. The score is the weighted share of label 1 among the neighbours, each counting as much as its cosine, with the share
    of label 1 among examples that have no term as the prior. The neighbours are the evidence.
 
@@ -69,6 +69,9 @@ class TermReader:
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples as inverted lists in blocks, with the largest weight of each term and block."""
 
+    #: Blocks that a query visits before it knows a threshold.
+    first_blocks = 8
+
     def __init__(self, vectors: list[tuple[int, int, dict[int, int]]], idf: np.ndarray, block: int = 64) -> None:
         weighted = [(ident, label, self.weights(counts, idf)) for ident, label, counts in vectors if counts]
         # examples with the same heaviest term stand together, which makes block maxima tell more
@@ -98,25 +101,32 @@ class BlockMaxIndex:
         """Places and cosines of the k nearest examples with a positive cosine; ties go to the smaller place."""
         terms, weights = self.weights(counts, self.idf)
         bounds = weights @ self.maxima[terms]
-        places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(places) >= k and bounds[b] < least - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                begin, end = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                if end > begin:
-                    scores[self.owners[begin:end] - b * self.block] += w * self.postings[begin:end]
-            hit = np.flatnonzero(scores > 0)
-            places, cosines = np.concatenate([places, hit + b * self.block]), np.concatenate([cosines, scores[hit]])
+        lists = [slice(self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]) for t in terms.tolist()]
+        owners = np.concatenate([self.owners[s] for s in lists])
+        parts = np.concatenate([self.postings[s] * w for s, w in zip(lists, weights.tolist(), strict=True)])
+        blocks = owners // self.block
+        # the blocks with the highest bounds first; then all that could still beat the k-th best of those
+        visit = np.zeros(self.blocks, bool)
+        visit[np.argsort(-bounds, kind="stable")[: self.first_blocks]] = True
+        places, cosines = self._visited(owners, parts, visit[blocks], k)
+        least = cosines[-1] if len(cosines) >= k else 0.0
+        rest = ~visit & (bounds > 0) & (bounds >= least - 1e-12)
+        if rest.any():
+            more = self._visited(owners, parts, rest[blocks], k)
+            places, cosines = np.concatenate([places, more[0]]), np.concatenate([cosines, more[1]])
             best = np.lexsort((places, -np.round(cosines, 12)))[:k]
             places, cosines = places[best], cosines[best]
-            least = cosines[-1] if len(cosines) >= k else 0.0
         return places, cosines
 
+    def _visited(self, owners: np.ndarray, parts: np.ndarray, chosen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = np.bincount(owners[chosen], weights=parts[chosen], minlength=self.n)
+        hit = np.flatnonzero(scores > 0)
+        best = np.lexsort((hit, -np.round(scores[hit], 12)))[:k]
+        return hit[best], scores[hit[best]]
+
 
-def _select_terms(examples: DataFrame, max_terms: int, least: int, evidence: float) -> list[bytes]:
-    """Terms of examples (text, label) that go with label 1 by a log-likelihood ratio over ``evidence``."""
+def _select_terms(examples: DataFrame, max_terms: int, least: int, evidence: float, lift: float) -> list[bytes]:
+    """Terms of examples (text, label) that go with label 1: ``lift`` times as often, by a log-likelihood ratio over ``evidence``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +149,7 @@ def _select_terms(examples: DataFrame, max_terms: int, least: int, evidence: flo
     seen = (a + b) / (n0 + n1)
     ratio = 2 * (part(a, F.lit(n1), seen) + part(b, F.lit(n0), seen) + part(n1 - a, F.lit(n1), 1 - seen) + part(n0 - b, F.lit(n0), 1 - seen))
     counted = examples.select("text", "label").mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    chosen = counted.filter(F.col("n1") >= least).withColumn("ratio", ratio).filter((a / n1 > b / n0) & (F.col("ratio") > evidence))
+    chosen = counted.filter(F.col("n1") >= least).withColumn("ratio", ratio).filter((a / n1 >= lift * b / n0) & (F.col("ratio") > evidence))
     return sorted(bytes(r["term"]) for r in chosen.orderBy(F.desc("ratio"), "term").limit(max_terms).collect())
 
 
@@ -185,7 +195,7 @@ def score_toxicity(
     picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64(id_column), id_column).limit(max_examples) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_examples rows of two numbers
     examples = checkpoint(texts.join(chosen, id_column).dropDuplicates([id_column]))
-    terms = _select_terms(examples, max_terms, 3, 20.0)
+    terms = _select_terms(examples, max_terms, least=3, evidence=20.0, lift=3.0)
     total, frequency = _document_frequencies(texts, terms)
     idf = np.log((total + 1) / (frequency + 1)) + 1 if terms else np.zeros(0)
     reader = TermReader(terms)
