@@ -2,12 +2,13 @@
 
 1. At most ``max_examples`` training rows of each label are the examples (smallest hashes of their ids, so the choice
    does not depend on partitions). Their class weights restore the shares that the labels have.
-2. Terms are words and word beginnings of four and five bytes; the index keeps the terms that go with label 1 beyond
+2. Terms are words and word beginnings of four to eight bytes, and each of them again as "at least twice" and "at least
+   three times", as a cosine alone can't tell one use from many. The index keeps the terms that go with label 1 beyond
    chance in the examples. Document frequencies come from all documents.
 3. The index lists each term's examples with weights, in blocks that know their largest weight. A query adds up the
    block maxima of its terms, visits the blocks with the highest bounds, and then those only that could still beat the
    k-th best cosine: the neighbours are exact.
-4. The score is the weighted share of label 1 among the neighbours, each counting as much as its cosine, with the share
+4. The score is the weighted share of label 1 among the neighbours, each counting as a power of its cosine, with the share
    of label 1 among examples that have no term as the prior. The neighbours are the evidence.
 
 Defined cases: null, empty and term-free texts get the prior; null labels and labels other than 0 and 1 are left out,
@@ -30,39 +31,56 @@ from binfields.llm.common import WORD_BYTES, checkpoint, text_bytes
 from binfields.llm.quality import held_out
 
 
-def terms_of(word: bytes) -> tuple[bytes, ...]:
+BEGINNINGS = range(4, 9)
+REPEATS = (2, 3)
+
+
+def bases_of(word: bytes) -> tuple[bytes, ...]:
     """A word and its beginnings; those are marked, so that they differ from whole words."""
-    return (word, *(b"^" + word[:n] for n in (4, 5) if len(word) >= n))
+    return (word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n))
+
+
+def repeated(base: bytes, n: int) -> bytes:
+    """The term for n uses or more."""
+    return b"%s#%d" % (base, n)
+
+
+def terms_in(text: bytes) -> set[bytes]:
+    counts = Counter(b for w in text.translate(WORD_BYTES).split() for b in bases_of(w))
+    return {b if n == 1 else repeated(b, n) for b, c in counts.items() for n in (1, *REPEATS) if c >= n}
 
 
 class TermReader:
-    """Term numbers of texts; remembers which terms a word has."""
+    """Term numbers of texts; remembers which bases a word has."""
 
     def __init__(self, terms: list[bytes]) -> None:
         self.numbers = {t: k for k, t in enumerate(terms)}
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.bases = {t.split(b"#")[0] for t in terms}
+        self.memo: dict[bytes, tuple[bytes, ...]] = {}
 
-    def of_word(self, word: bytes) -> tuple[int, ...]:
+    def of_word(self, word: bytes) -> tuple[bytes, ...]:
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            found = self.memo[word] = tuple(k for t in terms_of(word) if (k := self.numbers.get(t)) is not None)
+            found = self.memo[word] = tuple(b for b in bases_of(word) if b in self.bases)
         return found
 
-    def present(self, text: bytes) -> set[int]:
-        return {k for w in set(text.translate(WORD_BYTES).split()) for k in self.of_word(w)}
-
     def counted(self, text: bytes) -> dict[int, int]:
+        """Number and uses of each term; the terms for repeats count once."""
         words = text.translate(WORD_BYTES).split()
-        hits = [w for w in set(words) if self.of_word(w)]
-        if not hits:
+        wanted = {w for w in set(words) if self.of_word(w)}
+        if not wanted:
             return {}
-        wanted = set(hits)
-        out: dict[int, int] = {}
+        uses: Counter[bytes] = Counter()
         for w, n in Counter(filter(wanted.__contains__, words)).items():
-            for k in self.of_word(w):
-                out[k] = out.get(k, 0) + n
+            for b in self.of_word(w):
+                uses[b] += n
+        out = {self.numbers[b]: n for b, n in uses.items() if b in self.numbers}
+        for b, n in uses.items():
+            for least in REPEATS:
+                if n >= least and (k := self.numbers.get(repeated(b, least))) is not None:
+                    out[k] = 1
         return out
 
 
@@ -132,7 +150,7 @@ def _select_terms(examples: DataFrame, max_terms: int, least: int, evidence: flo
         for batch in batches:
             both = (Counter(), Counter())
             for text, label in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                both[label].update({t for w in set(text.translate(WORD_BYTES).split()) for t in terms_of(w)})
+                both[label].update(terms_in(text))
             names = list(both[0] | both[1])
             yield pa.RecordBatch.from_pydict({"term": names, "n0": [both[0][t] for t in names], "n1": [both[1][t] for t in names]}, schema=arrow)
 
@@ -161,7 +179,7 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.
         for batch in batches:
             for text in text_bytes(batch.column(0)):
                 total[-1] += 1
-                for k in reader.present(text):
+                for k in reader.counted(text):
                     total[k] += 1
         yield pa.RecordBatch.from_pydict({"place": np.arange(len(total)), "n": total})
 
@@ -184,7 +202,8 @@ def score_toxicity(
     neighbours: int = 15,
     max_examples: int = 4000,
     max_terms: int = 4000,
-    prior_weight: float = 0.5,
+    prior_weight: float = 0.3,
+    sharpness: float = 4.0,
 ) -> DataFrame:
     """id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold), evidence (example ids and cosines)."""
     context = docs.sparkSession.sparkContext
@@ -224,7 +243,7 @@ def score_toxicity(
                     evidence.append([])
                     continue
                 places, cosines = near.nearest(counts, neighbours)
-                votes = cosines * np.where(near.labels[places] == 1, weight[1], weight[0])
+                votes = cosines**sharpness * np.where(near.labels[places] == 1, weight[1], weight[0])
                 scale = prior_weight * (votes.sum() / max(cosines.sum(), 1e-12))
                 scores.append(float((votes[near.labels[places] == 1].sum() + scale * prior) / max(votes.sum() + scale, 1e-12)))
                 evidence.append([{"id": str(i), "label": int(y), "cosine": float(c)} for i, y, c in zip(near.ids[places], near.labels[places], cosines, strict=True)])
