@@ -14,6 +14,7 @@ from binfields.functions.scalar import clip_range, imbalance, normal_cdf
 from binfields.operators.grid import BIN_SIZE_UM, CELL
 from binfields.operators.neighbors import disc, radius_join, with_halo
 
+# The scales, and how many neighbours a half needs.
 SIGMAS = (15.0, 30.0, 45.0)
 MIN_HALF = 8
 

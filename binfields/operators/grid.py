@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Quality limit, control prefixes, lattice size, smallest cell.
 QV_THRESHOLD = 10.0
 CONTROL_PREFIXES = ("NegControl", "Unassigned", "BLANK")
 BIN_SIZE_UM = 10.0

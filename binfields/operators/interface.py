@@ -15,6 +15,7 @@ from binfields.operators.grid import BIN_SIZE_UM, CELL
 from binfields.operators.markers import two_sided
 from binfields.operators.neighbors import radius_join
 
+# Radii and distance windows.
 RADII = (40, 60, 80, 100, 120)
 NEG_WINDOW, POS_WINDOW, SLOPE_WINDOW = (-150.0, -30.0), (30.0, 150.0), (-60.0, 60.0)
 

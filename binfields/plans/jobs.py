@@ -12,6 +12,7 @@ from binfields.operators import baseline, fields, mixture, neighbors, potts
 from binfields.operators.grid import CELL
 from binfields.sources.scratch import checkpoint
 
+# Clustering features and smoothing weights tried.
 FEATURES = ("rho_sigma", "z_std_all_sigma", "z_std_diff_enhanced")
 LAMBDA_FACTORS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 

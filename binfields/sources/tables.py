@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT_COLUMNS = ("x_location", "y_location", "z_location", "feature_name", "qv")
+# Fixed value: the number of detections expected.
 EXPECTED_RAW_COUNT = 42_638_083
 TILE_BINS = 64
 
