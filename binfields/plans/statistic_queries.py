@@ -10,7 +10,7 @@ from binfields.operators import dge, enrichment
 from binfields.operators.grid import CELL
 from binfields.operators.potts import top_per_group
 from binfields.plans import fixture as fx
-from binfields.plans.fixture import A, B, query, rounded
+from binfields.plans.fixture import A, B, QUERIES, query, rounded
 from binfields.sources.scratch import checkpoint
 
 
@@ -286,12 +286,20 @@ def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(enrichment.with_odds(enrichment.overlap_counts(up, sets, base).filter("hits > 0")))
 
 
-@query()
-def enrichment_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enrichment_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     up, _, sets, base = _lists(spark, sf_dir)
     return enrichment.enrichment(up, sets, base)
 
 
+QUERIES["enrichment"] = enrichment_result  # the name is the module's here
+
+
+@query()
+def hypergeom_sf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, down, sets, base = _lists(spark, sf_dir)
+    return enrichment.overlap_counts(down, sets, base).withColumn("pval", scalar.hypergeom_sf("hits", "drawn", "marked", "total"))
+
+
 @query(f"select term, min(library) as library from ({_UP_HITS}) group by term")
 def dedupe_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     up, _, sets, base = _lists(spark, sf_dir)
