@@ -240,14 +240,14 @@ def cell_fields_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segmentation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation(cell_fields(fx.cells(spark, sf_dir)), ks=(2, 3), fits=2, rounds=8, sweeps=2)
+    return segmentation(cell_fields(fx.cells(spark, sf_dir)), ks=(2, 3), fits=2, rounds=6, sweeps=1, factors=(0.5, 1.0))
 
 
 @query()
 def sigma_lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binfields.plans.jobs import sigma_lambda_table
 
-    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir), sigmas=(15.0, 30.0)), k=2, factors=(0.5, 1.0), sigmas=(15.0, 30.0), rounds=6, sweeps=2)
+    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir), sigmas=(15.0, 30.0)), k=2, factors=(0.5, 1.0), sigmas=(15.0, 30.0), rounds=5, sweeps=1)
 
 
 @query()
