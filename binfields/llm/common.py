@@ -24,7 +24,13 @@ WORD_BYTES = bytes(
 )
 
 
+def small_batches(spark: SparkSession, most: str = "16m") -> None:
+    """Bounds the Arrow batches that Python workers hold, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
