@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binfields.llm.common import shared_folder, table
+from binfields.llm.common import shared_folder, small_batches, table
 from binfields.llm.decontamination import find_contamination, is_contaminated
 from binfields.llm.line_dedup import dedup_lines
 from binfields.llm.packing import pack_documents
@@ -28,6 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go from the texts; n_chars follows the text."""
+    small_batches(spark)
     found = dedup_lines(docs)
     length = F.when(F.size("removed_runs") > 0, F.length("text"))
     return found.select(*(F.coalesce(length, F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
@@ -35,6 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -47,6 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, packed."""
+    small_batches(spark)
     return pack_documents(docs, tokenizer_path())
 
 
