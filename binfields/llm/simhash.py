@@ -18,7 +18,7 @@ other columns are left out unless kept on purpose.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -296,7 +296,13 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
     Of several rows with that id in one component, one with the smallest fingerprint stays. Texts are shuffled once, by id.
     """
-    marked = checkpoint(near_duplicates(docs, id_column=id_column, text_column=text_column, shingle=shingle, **options))
+    marked = near_duplicates(docs, id_column=id_column, text_column=text_column, shingle=shingle, **options)
+    return keep_leaders(docs, marked, lambda text: int(np.uint64(fingerprint(text, shingle)).astype(np.int64)), id_column=id_column, text_column=text_column)
+
+
+def keep_leaders(docs: DataFrame, marked: DataFrame, name_of: Callable[[bytes], int], *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component in ``marked``; ``name_of`` gives a text's (signed) fingerprint there."""
+    marked = checkpoint(marked)
     leaders = marked.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
     kept = leaders.groupBy("component").agg(F.min(F.struct(F.col(id_column).alias("id"), "fingerprint")).alias("kept")).select("kept.*")
     rows_of_id = marked.groupBy(F.col(id_column).alias("id")).agg(F.count("*").alias("rows"))
@@ -310,8 +316,8 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(place))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=names)
+            values = np.array([name_of(t) for t in text_bytes(batch.column(place))], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=names)
 
     few = docs.join(several.select("_id").distinct(), F.col(id_column).eqNullSafe(F.col("_id")), "left_semi")
     own = few.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())]))

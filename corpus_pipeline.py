@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from binfields.llm.common import shared_folder, small_batches, table
 from binfields.llm.decontamination import find_contamination, is_contaminated
 from binfields.llm.line_dedup import dedup_lines
+from binfields.llm.near_copies import one_of_each_copy
 from binfields.llm.packing import pack_documents
 from binfields.llm.quality import keep_good
 from binfields.llm.queries import tokenizer_path
-from binfields.llm.simhash import one_of_each
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 at least) stays, the one with the smallest id."""
     small_batches(spark)
-    return one_of_each(docs)
+    return one_of_each_copy(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
