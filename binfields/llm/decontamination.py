@@ -162,15 +162,16 @@ def _matches(index: ItemIndex, texts: Iterable[bytes]) -> Iterator[tuple[int, li
 def _by_join(own: DataFrame, items: DataFrame, window: int, columns: list[str], names: list[str], schema: T.StructType) -> DataFrame:
     """For a benchmark of any size: the prefix tokens meet the words of documents in a join."""
     counts = word_counts(own, None, "_text")
+    items = items.distinct().withColumn("row", F.sha2(F.concat(F.length("item").cast("string"), F.lit(":"), "item", "item_text"), 256))  # an id may have several texts
     placed = items.withColumn("item_words", F.array_remove(F.split(_lowered(F.col("item_text")), "[^0-9a-z\u0080-\U0010ffff]+"), ""))
-    tokens = placed.select("item", "item_text", F.posexplode("item_words").alias("place", "token"), F.size("item_words").alias("n"))
+    tokens = placed.select("row", F.posexplode("item_words").alias("place", "token"), F.size("item_words").alias("n"))
     counted = tokens.join(counts.select(F.col("word").cast("string").alias("token"), F.col("n").alias("seen")), "token", "left").na.fill({"seen": 0})
     starts = counted.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - window + 1), F.greatest(F.lit(0), F.least("place", F.col("n") - window)))).alias("start"))
-    prefix = starts.groupBy("item", "start").agg(F.min_by("token", F.struct("seen", "token", "place")).alias("token")).select("item", "token").distinct()
+    prefix = starts.groupBy("row", "start").agg(F.min_by("token", F.struct("seen", "token", "place")).alias("token")).select("row", "token").distinct()
     keyed = own.withColumn("_key", F.md5(F.coalesce("_text", F.lit(""))))
     distinct = keyed.groupBy("_key").agg(F.first("_text").alias("_text"))
     said = distinct.select("_key", F.explode(F.array_distinct(F.split(_lowered(F.col("_text")), "[^0-9a-z\u0080-\U0010ffff]+"))).alias("token"))
-    pairs = said.join(prefix, "token").select("_key", "item").distinct().join(items, "item")
+    pairs = said.join(prefix, "token").select("_key", "row").distinct().join(items, "row")
     lists = pairs.groupBy("_key").agg(F.collect_list(F.struct("item", "item_text")).alias("_items"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == 15 and all(r.n_hit == 0 for r in rows)
     assert find_contamination(no_docs, bench).count() == 0
     assert find_contamination(odd_docs, bench.limit(0)).count() == 15
+
+
+def test_one_id_with_several_texts_both_ways(spark):
+    rng = random.Random(12)
+    items = [("1", " ".join(f"{name}{rng.randrange(10**6)}" for _ in range(20))) for name in "abcd"]
+    texts = [f"so {own} it is" for _, own in items] + ["nothing of these"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, own) for _, own in items], "item_id long, text string")
+    for bound in (10_000, 0):
+        rows = find_contamination(docs, bench, max_local_words=bound).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in rows} == {i: brute(t, items) for i, t in enumerate(texts)}
