@@ -111,7 +111,11 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int, most: int =
             for k in range(end - begin):
                 if bounds[k + 1] > bounds[k]:
                     some = rows[bounds[k] : bounds[k + 1]]
-                    out[begin + k] = np.concatenate([out[begin + k], some]) if len(out[begin + k]) else some
+                    before = out[begin + k]
+                    if len(before) and before["x"][-1] == some["x"][0]:  # windows on both sides of a step's end picked one place
+                        some["first"][0] = before["first"][-1]
+                        before = before[:-1]
+                    out[begin + k] = np.concatenate([before, some]) if len(before) else some
             if end - begin > 1:
                 break
     return out

@@ -95,3 +95,24 @@ def test_hot_text_and_empty_table(spark):
 def test_odd_rows(odd_docs):
     rows = repeated_spans(odd_docs).collect()
     assert len(rows) == 15
+
+
+def test_anchors_do_not_depend_on_steps():
+    import numpy as np
+
+    rng = random.Random(2)
+    data = np.frombuffer(bytes(rng.randrange(97, 123) for _ in range(5000)), np.uint8)
+    want = find_anchors(data, np.array([0, len(data)]), 200)[0]
+    for most in (1, 64, 512, 777):
+        assert find_anchors(data, np.array([0, len(data)]), 200, most=most)[0].tolist() == want.tolist()
+
+
+def test_texts_of_several_steps_against_brute_force(spark):
+    rng = random.Random(4)
+    length, step = 30, 1 << 19
+    gram = gram_length(length)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=step + 4000))
+    seam = text[step - 2 * length : step + 2 * length]
+    copies = [seam[k : k + gram] for k in range(len(seam) - gram)]  # each gram stands in a second place, no window of 30 does
+    texts = [text, *("#" * 5 + c + "%" * 40 for c in copies)]
+    check(spark, texts, length)
