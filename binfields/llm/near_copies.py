@@ -1,12 +1,20 @@
-"""Near-copies by the exact Jaccard similarity of word shingles: a prefix-filtered set join, then connected components.
+"""Near-copies by Jaccard similarity of word shingles: SimHash links, completed by a prefix-filtered set join.
 
-1. Each text is the set of 64-bit hashes of its shingles; equal sets are one node, named by a 64-bit digest of the set.
-2. Two sets of similarity ``p/q`` at least share a token among the first ``n - ceil(p n / q) + 1`` of each, in any order
-   of all tokens. The order puts tokens that a sample of texts repeats last, so boilerplate seldom stands in a prefix;
-   the sample bears on the time only.
-3. Nodes that share a prefix token are linked to the token's smallest node if their sets are near enough. Tokens whose
-   nodes are then not yet in one component have all pairs of different components compared.
-4. Sizes and places bound the overlap of a pair beforehand; what is left is decided by the whole sets.
+SimHash tells texts that differ in a few bits; at a similarity of 0.8 fingerprints differ in 10 of 64 bits on average,
+where its buckets hold most of the corpus. So SimHash links the closest copies, which make the large groups, and a set
+join finds the links that it can't see. Every link is decided by the whole sets; no link is lost.
+
+1. Each text is the set of 64-bit hashes of its shingles, and equal sets are one node, named by a digest. A node has its
+   SimHash fingerprint, its size and a parity map: bit h mod w is flipped by each hash h, w a power of two, two bits for a
+   hash at least. Two maps, folded to equal width, differ in no more bits than the sets do in tokens, so most pairs that
+   are not similar enough are told by a twentieth of the bytes of the sets.
+2. Pairs within ``tau`` bits of SimHash are candidates (``simhash.near_pairs``).
+3. Two sets of similarity ``p/q`` at least share a token among the first ``n - ceil(p n / q) + 1`` of each, in any order
+   of all tokens. The order puts tokens that many texts of a batch share last, over the batches of all texts, so
+   boilerplate seldom stands in a prefix; it bears on the time only. Nodes that share a prefix token are candidates with
+   the token's smallest node.
+4. Candidates that sizes, places and parity maps leave are decided by the whole sets, and make groups. Tokens whose nodes
+   are then not yet in one group have the pairs of different groups compared in the same way.
 
 Defined cases: null, empty and wordless texts have the empty set and are copies of each other; a text of fewer words
 than a shingle is one shingle; rows with a null id belong to their component but never name it; repeated rows keep
@@ -15,7 +23,6 @@ their rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +34,17 @@ from pyspark.sql import types as T
 
 from binfields.llm.common import checkpoint, join_counted, text_bytes
 from binfields.llm.components import components
-from binfields.llm.simhash import keep_leaders
+from binfields.llm.simhash import fingerprint_of, keep_leaders, near_pairs, shingle_hashes
+
+#: What the hot-token count keeps of a batch and in all.
+MOST_OF_BATCH, MOST_HOT = 20_000, 500_000
+#: Bits of the sketch that tells which sets a comparison needs; fuller sketches let more through, nothing is lost.
+SKETCH_BITS = 1 << 24
 
 
-def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
     """Sorted different hashes of the text's shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words])
-    first = min(shingle, len(words)) - 1
-    begins = [0, *ends[: len(words) - first - 1].tolist()]
-    return np.unique(np.array([digest(joined[a : b - 1], seed) for a, b in zip(begins, ends[first:].tolist(), strict=True)], "<u8"))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def set_name(tokens: np.ndarray) -> int:
@@ -47,15 +52,20 @@ def set_name(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def repeated_tokens(docs: DataFrame, shingle: int, text_column: str, sample: int = 2000, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that two or more of about ``sample`` different texts hold, sorted, and in how many of them."""
-    one_in = max(1, docs.count() // sample)
-    some = docs.select(F.xxhash64(text_column).alias("h"), F.substring(text_column, 1, 20_000).alias("text")).filter(F.pmod("h", F.lit(one_in)) == 0)
-    counts: Counter[int] = Counter()
-    for row in some.dropDuplicates(["h"]).toLocalIterator():
-        counts.update(shingle_set((row["text"] or "").encode(), shingle).tolist())
-    often = sorted((t, n) for t, n in counts.most_common(most) if n > 1)
-    return np.array([t for t, _ in often], "<u8"), np.array([n for _, n in often], np.int64)
+def parity_map(tokens: np.ndarray) -> bytes:
+    width = 64
+    while width < 2 * len(tokens):
+        width *= 2
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Bits that differ after the longer map is folded to the shorter one's width: at most the tokens that differ."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def prefix(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray], near: tuple[int, int]) -> np.ndarray:
@@ -68,43 +78,69 @@ def prefix(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray], near: tuple
     return tokens[np.lexsort((tokens, seen))[: len(tokens) + near[0] * -len(tokens) // near[1] + 1]] if len(tokens) else tokens
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b, and further columns) whose sets have the similarity."""
+def _described(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """id, node, size, fingerprint, and at a node's first row in a task its parity map; at a batch's first row its hot tokens."""
+    pairs = np.dtype([("token", "<u8"), ("n", "<i8")])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            left, right = (batch.column(k).to_pylist() for k in (0, 1))
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                keep.append((near[0] + near[1]) * len(np.intersect1d(x, y, assume_unique=True)) >= near[0] * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=names).filter(pa.array(keep, pa.bool_()))
+            names, sizes, prints, maps, sets = [], [], [], [], {}
+            for text in text_bytes(batch.column(1)):
+                hashes = shingle_hashes(text, shingle)
+                tokens = np.unique(hashes)
+                name = set_name(tokens)
+                names.append(name)
+                sizes.append(len(tokens))
+                prints.append(int(np.uint64(fingerprint_of(hashes)).astype(np.int64)))
+                maps.append(None if name in seen else parity_map(tokens))
+                seen.add(name)
+                sets[name] = tokens
+            tokens, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, "<u8")]), return_counts=True)
+            top = np.flatnonzero(counts > 2)
+            top = top[np.argsort(-counts[top], kind="stable")[:MOST_OF_BATCH]]
+            hot = np.zeros(len(top), pairs)
+            hot["token"], hot["n"] = tokens[top], counts[top]
+            blobs = [hot.tobytes() if k == 0 and len(hot) else None for k in range(len(names))]
+            arrays = [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
-    pairs, names = checkpoint(pairs), pairs.columns
-    often = checkpoint(pairs.groupBy("b").agg(F.count("*").alias("n")).join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b"))
-    wide = join_counted(pairs, often, ["b"], "n").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
-    return wide.select("left", "right", *pairs.columns).mapInArrow(compare, pairs.schema)
+    kinds = (("node", T.LongType()), ("size", T.IntegerType()), ("fingerprint", T.LongType()), ("parity", T.BinaryType()), ("hot", T.BinaryType()))
+    fields = [docs.schema[id_column], *(T.StructField(n, k) for n, k in kinds)]
+    return docs.select(id_column, text_column).mapInArrow(describe, T.StructType(fields))
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4, 5), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, fingerprint (name of the set), component (its smallest name) and component_id (its smallest id)."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = docs.sparkSession.sparkContext.broadcast(repeated_tokens(docs, shingle, text_column))
+def _hot_tokens(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that most texts share, as counted batch by batch over all texts: at most MOST_HOT, sorted, with counts."""
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """id, name, size and prefix; the prefix only at the first copy in the task."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], names=["token", "n"])
+
+    counted = described.filter("hot is not null").select("hot").mapInArrow(explode, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
+    tokens, counts = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _places(docs: DataFrame, text_column: str, shingle: int, near: tuple[int, int], hot) -> DataFrame:
+    """token, node, size, place of each prefix token of each node."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             names, sizes, blobs = [], [], []
-            for text in text_bytes(batch.column(1)):
+            for text in text_bytes(batch.column(0)):
                 tokens = shingle_set(text, shingle)
                 name = set_name(tokens)
-                names.append(name)
-                sizes.append(len(tokens))
-                blobs.append(None if name in seen else prefix(tokens, often.value, near).tobytes())
-                seen.add(name)
-            arrays = [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_column, "node", "size", "prefix"])
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    sizes.append(len(tokens))
+                    blobs.append(prefix(tokens, hot.value, near).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "size", "prefix"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,6 +153,56 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4
             arrays = [pa.array(tokens), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "size", "place"])
 
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    single = docs.select(text_column).mapInArrow(cut, "node long, size int, prefix binary").repartition(tasks, "node").dropDuplicates(["node"])
+    return checkpoint(single).mapInArrow(explode, "token long, node long, size int, place int")
+
+
+def _sketch(nodes: DataFrame) -> np.ndarray:
+    """One bit for each node's name, at most SKETCH_BITS / 64 rows for the driver."""
+    word = F.pmod(F.shiftright("node", 6), F.lit(SKETCH_BITS // 64))
+    found = nodes.select(word.alias("w"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(SKETCH_BITS // 64, np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _sketched(sketch: np.ndarray, name: int) -> bool:
+    return bool(int(sketch[(name >> 6) % len(sketch)]) >> (name % 64) & 1)
+
+
+def _with_both(pairs: DataFrame, table: DataFrame, column: str, decide) -> DataFrame:
+    """Rows of ``pairs`` (a, b, more) for which ``decide`` holds of their nodes' values in ``table`` (node, column)."""
+    columns = pairs.columns
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [decide(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=columns).filter(pa.array(keep, pa.bool_()))
+
+    # a node may be the hub of many: those are broadcast
+    own = pairs.groupBy("b").agg(F.count("*").alias("_n"))
+    right = checkpoint(own.join(table.select(F.col("node").alias("b"), F.col(column).alias("_right")), "b"))
+    wide = join_counted(pairs, right, ["b"], "_n").join(table.select(F.col("node").alias("a"), F.col(column).alias("_left")), "a")
+    return wide.select("_left", "_right", *columns).mapInArrow(compare, pairs.schema)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_column: str, shingle: int, near: tuple[int, int]) -> DataFrame:
+    """The pairs of nodes (a, b, and further columns) whose sets have the similarity."""
+    p, q = near
+
+    def may_be(x, y) -> bool:
+        return parity_distance(x["parity"], y["parity"]) * (p + q) <= (q - p) * (x["size"] + y["size"])
+
+    def is_near(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        return (p + q) * len(np.intersect1d(x, y, assume_unique=True)) >= p * (len(x) + len(y))
+
+    described = nodes.select("node", F.struct("size", "parity").alias("own"))
+    left = checkpoint(_with_both(checkpoint(pairs), described, "own", may_be))
+    wanted = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(wanted))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -124,41 +210,55 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4
             for text in text_bytes(batch.column(0)):
                 tokens = shingle_set(text, shingle)
                 name = set_name(tokens)
-                if name not in seen:
+                if name not in seen and _sketched(sketch.value, name):
                     seen.add(name)
                     names.append(name)
                     blobs.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "tokens"])
 
-    kinds = [docs.schema[id_column], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.BinaryType())]
-    marked = checkpoint(docs.select(id_column, text_column).mapInArrow(describe, T.StructType(kinds)))
-    nodes = checkpoint(marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows")))
-    single = marked.filter("prefix is not null").select("node", "size", "prefix").repartition(tasks, "node").dropDuplicates(["node"])
-    places = checkpoint(single).mapInArrow(explode, "token long, node long, size int, place int")
-    hubs = checkpoint(places.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    shared = checkpoint(join_counted(places, hubs, ["token"], "n"))
+    if left.isEmpty():
+        return left
+    sets = docs.select(text_column).mapInArrow(whole, "node long, tokens binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return _with_both(left, checkpoint(sets), "tokens", is_near)
+
+
+def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4, 5), tau: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, fingerprint (name of the set), component (its smallest name) and component_id (its smallest id)."""
+    c = F.col
+    marked = checkpoint(_described(docs, id_column, text_column, shingle))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(marked))
+    nodes = checkpoint(marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.max("parity").alias("parity")))
+
+    by_print = checkpoint(nodes.groupBy("fingerprint").agg(F.min("node").alias("node")))
+    starred, _, links = near_pairs(by_print.select("fingerprint"), tau=tau)
+    prints = starred.unionByName(links.select("a", "b"))
+    own = by_print.select(c("fingerprint").alias("a"), c("node").alias("x"))
+    other = by_print.select(c("fingerprint").alias("b"), c("node").alias("y"))
+    simhash = prints.join(own, "a").join(other, "b").select(c("x").alias("a"), c("y").alias("b"))
+
+    places = _places(docs, text_column, shingle, near, hot)
+    often = checkpoint(places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = checkpoint(join_counted(places, often, ["token"], "n"))
+    hubs = checkpoint(shared.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("hub"), F.count("*").alias("n")))
 
     def may_be(n, i, m, j):
         most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
         return most * (near[0] + near[1]) >= (n + m) * near[0]
 
-    c = F.col
-    starred = shared.filter((c("node") != c("hub.node")) & may_be(c("size"), c("place"), c("hub.size"), c("hub.place")))
-    wanted = shared.select("node").distinct()
-    sets = docs.select(text_column).mapInArrow(whole, "node long, tokens binary").join(wanted, "node", "left_semi")
-    sets = checkpoint(sets.repartition(tasks, "node").dropDuplicates(["node"]))
-    first = components(_verified(starred.select(c("node").alias("a"), c("hub.node").alias("b")).distinct(), sets, near))
+    at_hub = join_counted(shared, hubs, ["token"], "n").filter((c("node") != c("hub.node")) & may_be(c("size"), c("place"), c("hub.size"), c("hub.place")))
+    candidates = at_hub.select(c("node").alias("a"), c("hub.node").alias("b")).unionByName(simhash).distinct()
+    first = components(_confirmed(candidates, docs, nodes, text_column, shingle, near))
     grouped = checkpoint(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
 
-    left = checkpoint(shared.select("token", "node", "size", "place").join(grouped, "node"))
+    left = checkpoint(shared.join(grouped, "node"))
     mixed = left.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).filter("low < high").select("token", "n")
     left = checkpoint(join_counted(left, checkpoint(mixed), ["token"], "n"))
     near_enough = (c("x.group") != c("y.group")) & (c("x.node") < c("y.node")) & may_be(c("x.size"), c("x.place"), c("y.size"), c("y.place"))
     pairs = left.alias("x").join(left.alias("y"), (c("x.token") == c("y.token")) & near_enough)
     pairs = pairs.select(c("x.node").alias("a"), c("y.node").alias("b"), c("x.group").alias("a_group"), c("y.group").alias("b_group")).distinct()
-    second = components(_verified(pairs, sets, near).select(c("a_group").alias("a"), c("b_group").alias("b")))
+    second = components(_confirmed(pairs, docs, nodes, text_column, shingle, near).select(c("a_group").alias("a"), c("b_group").alias("b")))
     merged = grouped.join(second.select(c("node").alias("group"), c("component").alias("top")), "group", "left")
-    named = checkpoint(nodes.join(merged.select("node", F.coalesce("top", "group").alias("component")), "node"))
+    named = checkpoint(nodes.select("node", "least", "rows").join(merged.select("node", F.coalesce("top", "group").alias("component")), "node"))
     names = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     by_node = checkpoint(join_counted(named, names, ["component"], "n").select("node", "component", "component_id", "rows"))
     return join_counted(marked.select(id_column, "node"), by_node, ["node"], "rows").select(id_column, c("node").alias("fingerprint"), "component", "component_id")

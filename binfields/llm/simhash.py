@@ -35,23 +35,31 @@ from binfields.llm.components import components
 BITS = 64
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half the hashes of the text's shingles; no words: zero."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hash of every shingle, repeats included, in order; a text of fewer words is one shingle, no words give none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words])
     first = min(shingle, len(words)) - 1
     begins = [0, *ends[: len(words) - first - 1].tolist()]
-    hashes = [digest(joined[a : b - 1], seed) for a, b in zip(begins, ends[first:].tolist(), strict=True)]
+    return np.array([digest(joined[a : b - 1], seed) for a, b in zip(begins, ends[first:].tolist(), strict=True)], "<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; none: zero."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):  # very long texts in steps
-        some = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        some = hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and its fingerprint as a signed long."""
 
@@ -201,10 +209,10 @@ def _mask(bits: list[int]) -> int:
     return int(np.array(sum(1 << b for b in bits), np.uint64).view(np.int64))
 
 
-def find_components(nodes: DataFrame, *, tau: int = 4, parts: int | None = None, most_parts: int = 4) -> DataFrame:
-    """fingerprint, component (its smallest fingerprint, as signed numbers) of every linked node.
+def near_pairs(nodes: DataFrame, *, tau: int = 4, parts: int | None = None, most_parts: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to the hub of each value (a, b); the groups that they make; links between groups (a, b and their groups).
 
-    ``nodes`` holds distinct fingerprints.
+    ``nodes`` holds distinct fingerprints. Together the links connect all that are within ``tau`` bits.
     """
     spark = nodes.sparkSession
     n, pairs = bit_pair_counts(nodes)
@@ -240,7 +248,8 @@ def find_components(nodes: DataFrame, *, tau: int = 4, parts: int | None = None,
     places = nodes.select("fingerprint").mapInArrow(index, "part int, value long, x long")
     hubs = checkpoint(places.groupBy("part", "value").agg(F.min("x").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
     starred = join_counted(places, hubs, ["part", "value"], "n").filter((F.col("x") != F.col("hub")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("hub"))) <= tau))
-    first = components(starred.select(F.col("x").alias("a"), F.col("hub").alias("b")))
+    starred = starred.select(F.col("x").alias("a"), F.col("hub").alias("b"))
+    first = components(starred)
     known = nodes.select("fingerprint").join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     grouped = checkpoint(known.select("fingerprint", F.coalesce("component", "fingerprint").alias("group")))
 
@@ -274,8 +283,14 @@ def find_components(nodes: DataFrame, *, tau: int = 4, parts: int | None = None,
         & (F.bit_count(differ) <= tau)
         & ~earlier
     )
-    links = probes.alias("p").join(indexed.alias("i"), near).select(F.col("q_group").alias("a"), F.col("x_group").alias("b"))
-    second = components(links)
+    links = probes.alias("p").join(indexed.alias("i"), near).select(F.col("q").alias("a"), F.col("x").alias("b"), F.col("q_group").alias("a_group"), F.col("x_group").alias("b_group"))
+    return starred, grouped, links
+
+
+def find_components(nodes: DataFrame, **options) -> DataFrame:
+    """fingerprint, component (its smallest fingerprint, as signed numbers) of every node."""
+    _, grouped, links = near_pairs(nodes, **options)
+    second = components(links.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
     merged = grouped.join(second.withColumnRenamed("node", "group").withColumnRenamed("component", "top"), "group", "left")
     return merged.select("fingerprint", F.coalesce("top", "group").alias("component"))
 

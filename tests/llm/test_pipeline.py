@@ -9,7 +9,7 @@ from binfields.llm.quality import score_quality
 from binfields.llm.queries import tokenizer_path
 from tests.llm.test_decontamination import brute as hits
 from tests.llm.test_line_dedup import brute as removed_lines
-from tests.llm.test_simhash import plain, reachable, signed
+from tests.llm.test_near_copies import brute as components_by_jaccard
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,11 +20,7 @@ def test_run_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if r.doc_id in good]
     gone = removed_lines(rows, 50)
     rows = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k]) if gone[k] else t) for k, (i, t) in enumerate(rows)]
-    prints = {i: signed(plain(t)) for i, t in rows}
-    top, least = reachable(prints.values()), {}
-    for i, p in prints.items():
-        least[top[p]] = min(least.get(top[p], i), i)
-    rows = [(i, t) for i, t in rows if least[top[prints[i]]] == i]
+    rows = [rows[k] for k in sorted(set(components_by_jaccard([t for _, t in rows])))]  # five words, 0.8 or more: not the rule of op5's query
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
 
     def dirty(text):
