@@ -35,7 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 at least) stays, the one with the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 at least) stays, the one with the smallest id.
+
+    SimHash links the closest copies, and a set join those that fingerprints can't tell (see ``near_copies``).
+    """
     small_batches(spark)
     return one_of_each_copy(docs)
 
