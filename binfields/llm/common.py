@@ -24,7 +24,7 @@ WORD_BYTES = bytes(
 )
 
 
-def small_batches(spark: SparkSession, most: str = "16m") -> None:
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bounds the Arrow batches that Python workers hold, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 

@@ -37,7 +37,7 @@ from binfields.llm.components import components
 from binfields.llm.simhash import fingerprint_of, keep_leaders, near_pairs, shingle_hashes
 
 #: What the hot-token count keeps of a batch and in all.
-MOST_OF_BATCH, MOST_HOT = 20_000, 500_000
+MOST_OF_BATCH, MOST_HOT = 50_000, 500_000
 #: Bits of the sketch that tells which sets a comparison needs; fuller sketches let more through, nothing is lost.
 SKETCH_BITS = 1 << 24
 
@@ -97,7 +97,7 @@ def _described(docs: DataFrame, id_column: str, text_column: str, shingle: int)
                 seen.add(name)
                 sets[name] = tokens
             tokens, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, "<u8")]), return_counts=True)
-            top = np.flatnonzero(counts > 2)
+            top = np.flatnonzero(counts > 1)
             top = top[np.argsort(-counts[top], kind="stable")[:MOST_OF_BATCH]]
             hot = np.zeros(len(top), pairs)
             hot["token"], hot["n"] = tokens[top], counts[top]
@@ -118,8 +118,14 @@ def _hot_tokens(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], names=["token", "n"])
 
-    counted = described.filter("hot is not null").select("hot").mapInArrow(explode, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
+    counted = checkpoint(described.filter("hot is not null").select("hot").mapInArrow(explode, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    least, total = 2, 0
+    for row in sorted(counted.groupBy("n").agg(F.count("*").alias("tokens")).collect(), key=lambda r: -r["n"]):  # a row for each count
+        total += row["tokens"]
+        if total > MOST_HOT:
+            least = row["n"] + 1
+            break
+    found = counted.filter(F.col("n") >= least).toArrow()
     tokens, counts = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
@@ -242,8 +248,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4
     hubs = checkpoint(shared.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("hub"), F.count("*").alias("n")))
 
     def may_be(n, i, m, j):
-        most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-        return most * (near[0] + near[1]) >= (n + m) * near[0]
+        """What is left from a place on bounds the overlap, as a pair that is near passes at the first token that it shares."""
+        return F.least(n - i, m - j) * (near[0] + near[1]) >= (n + m) * near[0]
 
     at_hub = join_counted(shared, hubs, ["token"], "n").filter((c("node") != c("hub.node")) & may_be(c("size"), c("place"), c("hub.size"), c("hub.place")))
     candidates = at_hub.select(c("node").alias("a"), c("hub.node").alias("b")).unionByName(simhash).distinct()
