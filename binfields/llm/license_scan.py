@@ -108,11 +108,11 @@ class Scanner:
             raise ValueError(f"templates have over {MAX_TEMPLATE_WORDS} words; give them in several scans")
         self.min_coverage, self.slack = min_coverage, slack
         self.keys: dict[bytes, list[int]] = {}
-        #: for each template: own words with a place, and how many of them a passage needs at least
-        self.need, self.place = [], []
+        #: for each template: own words with their places, and how many of them a passage needs at least
+        self.need, self.places = [], []
         for k, (_, own) in enumerate(self.templates):
             keys = [w for w in own if w not in FUNCTION_WORDS] or own
-            self.place.append({w: own.index(w) for w in keys})
+            self.places.append({w: [q for q, x in enumerate(own) if x == w] for w in keys})
             self.need.append(max(1, ceil(min_coverage * len(own)) - (len(own) - len(keys))))
             for w in set(keys):
                 self.keys.setdefault(w, []).append(k)
@@ -144,25 +144,43 @@ class Scanner:
             if at == len(hits) or hits[at] - hits[at - 1] > reach:
                 clusters.append(hits[begin:at])
                 begin = at
-        out = []
+        out: list[tuple[str, int, int, float]] = []
         for cluster in clusters:
             if len(cluster) < self.need[k]:
                 continue
-            counts = Counter(words[p] for p in cluster)
-            pivot = min(counts, key=lambda w: (counts[w], self.place[k][w]))
-            if counts[pivot] == 1:
-                passages = [(cluster[0] - reach, cluster[-1] + 1 + reach)]
-            else:  # a passage around each use of the pivot, up to the next use
-                uses = [p for p in cluster if words[p] == pivot]
-                lead = self.place[k][pivot]
-                passages = [(p - lead - self.slack, p - lead + len(own) + self.slack) for p in uses]
-            for low, high in passages:
-                low, high = max(low, 0), min(high, len(words))
-                aligned = self._densest(patience(words[low:high], own))
-                if len(aligned) >= self.min_coverage * len(own):
-                    out.append((self.templates[k][0], low + aligned[0][0], low + aligned[-1][0] + 1, len(aligned) / len(own)))
+            free = [(max(cluster[0] - reach, 0), min(cluster[-1] + 1 + reach, len(words)))]
+            if min(Counter(words[p] for p in cluster).values()) == 1:  # often one copy only
+                self._claim(k, words, free, *free[0], out)
+            for start in self._starts(k, cluster, words):
+                self._claim(k, words, free, start - self.slack, start + reach, out)
+            while any(self._claim(k, words, free, *gap, out) for gap in sorted(free)):
+                pass
         return out
 
+    def _starts(self, k: int, cluster: list[int], words: list[bytes]) -> list[int]:
+        """Where copies may begin: each own word votes for its distance from the template's begin; most votes first."""
+        step = self.slack + 1
+        votes = Counter((p - q) // step for p in cluster for q in self.places[k][words[p]])
+        near = {b: n + votes[b - 1] + votes[b + 1] for b, n in list(votes.items())}
+        return [b * step for b in sorted(near, key=lambda b: (-near[b], b)) if near[b] >= max(1, self.need[k] // 4)]
+
+    def _claim(self, k: int, words: list[bytes], free: list[tuple[int, int]], low: int, high: int, out: list[tuple[str, int, int, float]]) -> bool:
+        """Aligns what is free from low to high; a find's words are then no longer free."""
+        name, own = self.templates[k]
+        least = self.min_coverage * len(own)
+        for a, b in free:
+            begin, end = max(a, low), min(b, high)
+            if end - begin < least:
+                continue
+            aligned = self._densest(patience(words[begin:end], own))
+            if len(aligned) >= least:
+                first, last = begin + aligned[0][0], begin + aligned[-1][0] + 1
+                out.append((name, first, last, len(aligned) / len(own)))
+                free.remove((a, b))
+                free += [(a, first), (last, b)]
+                return True
+        return False
+
     def _densest(self, aligned: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The largest run of aligned words without a gap in the text of more than ``slack`` over that in the template."""
         breaks = [k for k in range(1, len(aligned)) if aligned[k][0] - aligned[k - 1][0] - (aligned[k][1] - aligned[k - 1][1]) > self.slack]

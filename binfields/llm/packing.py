@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from binfields.llm.common import checkpoint
 
-#: Outside of these characters texts go to the tokenizers library itself; tiktoken, several times as fast and with the
-#: same vocabulary, handles the others. Both are equal there (tests/llm/test_packing.py).
+#: Outside of these characters, or with a special token in them, texts go to the tokenizers library itself; tiktoken,
+#: several times as fast and with the same vocabulary, handles the others. Both are equal there (tests/llm/test_packing.py).
 _PLAIN = re.compile("[^\x00-ɏ -⁯]")
 
 
@@ -40,9 +40,9 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    special = [t.content for t in slow.get_added_tokens_decoder().values()]
     ranks_file = path.removesuffix(".json") + ".tiktoken"
-    fast = None
+    fast, other = None, re.compile("|".join([_PLAIN.pattern, *map(re.escape, special)]))
     if os.path.exists(ranks_file):
         import base64
 
@@ -52,13 +52,13 @@ def _tokenizer(path: str):
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast
+    return slow, fast, other
 
 
 def encode(text: str, path: str) -> np.ndarray:
     """The ids of a whole text as unsigned 32-bit numbers."""
-    slow, fast = _tokenizer(path)
-    if fast is not None and not _PLAIN.search(text):
+    slow, fast, other = _tokenizer(path)
+    if fast is not None and not other.search(text):
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
     return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -183,7 +183,7 @@ def top_k(
     with_cutoff = checkpoint(with_cutoff)
     sent = _grid(_blocks(with_cutoff, lists, width, block), listed).mapInArrow(_above(lists), entries)
 
-    limit = F.ceil(F.col("cutoff") / F.lit(lists)).cast("long")
+    limit = -F.expr(f"(-cutoff - pmod(-cutoff, {lists})) div {lists}")  # cutoff / lists rounded up, in whole numbers
     joined = sent.groupBy("q", "n").agg(F.sum("score").alias("sum"), F.count("*").alias("parts"))
     bounded = joined.join(with_cutoff.select(F.col("n").alias("q"), "cutoff"), "q")
     bounded = checkpoint(bounded.select("q", "n", "parts", "sum", "cutoff", (F.col("sum") + (lists - F.col("parts")) * (limit - 1)).alias("most")))

@@ -48,6 +48,50 @@ def test_changed_repeated_and_missing_notices():
     assert scanner.scan(b"") == (0, [])
 
 
+def test_copies_in_every_order():
+    """Intact copies and one that lacks a word (any of the notice's): each is found, wherever it stands."""
+    for name, text in (TEMPLATES[0], max(TEMPLATES, key=lambda t: len(t[1]))):
+        own = [w.decode() for w in words_of(text.encode())]
+        least = -(-8 * len(own) // 10)
+        for missing in range(len(own)):
+            edited = [*own[:missing], "zebra", *own[missing + 1 :]]
+            if len(own) - 1 < least:
+                continue
+            for copies in ([edited, own, own], [own, edited, own], [own, own, edited], [edited, own], [own, edited]):
+                for gap in ([], ["filler"] * 3):
+                    words = [w for c in copies for w in (*c, *gap)]
+                    spans = sorted(f[1:3] for f in scanner.scan(" ".join(words).encode())[1] if f[0] == name)
+                    want = [(k * (len(own) + len(gap)), k * (len(own) + len(gap)) + len(own)) for k in range(len(copies))]
+                    hit = [any(max(a, x) < min(b, y) and min(b, y) - max(a, x) >= least for x, y in spans) for a, b in want]
+                    assert all(hit), (name, missing, spans, want)
+
+
+def test_planted_notices_against_plain_search(spark):
+    """Of random files with planted notices the scan tells every planted one, and nothing where no notice stands."""
+    import random
+
+    rng = random.Random(3)
+    docs, want = [], {}
+    for i in range(60):
+        words, planted = [], set()
+        for _ in range(rng.randint(0, 4)):
+            words += [f"filler{rng.randrange(500)}" for _ in range(rng.randint(0, 30))]
+            name, text = rng.choice(TEMPLATES)
+            own = [w.decode() for w in words_of(text.encode())]
+            if len(own) >= 10 and rng.random() < 0.5:
+                own[rng.randrange(len(own))] = "edited"
+            planted.add((name, len(words), len(words) + len(own)))
+            words += own
+        docs.append((i, " ".join(words)))
+        want[i] = planted
+    for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect():
+        finds = [(f.license, f.begin, f.end) for f in r.finds]
+        for name, a, b in want[r.doc_id]:
+            assert any(n == name and min(b, y) - max(a, x) >= 0.8 * (b - a) - 1 for n, x, y in finds), (r.doc_id, name, a, b, finds)
+        for n, x, y in finds:
+            assert any(max(a, x) < min(b, y) for _, a, b in want[r.doc_id]), (n, x, y)
+
+
 def test_places_are_words_of_the_text():
     text = "alpha beta Released under the MIT License. gamma"
     _, begin, end, coverage = scanner.scan(text.encode())[1][0]

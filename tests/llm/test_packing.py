@@ -14,7 +14,6 @@ from binfields.llm.queries import tokenizer_path
 @pytest.fixture(scope="module")
 def slow():
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -24,8 +23,12 @@ def test_ids_are_those_of_the_tokenizer(slow, text):
     assert encode(text, tokenizer_path()).tolist() == slow(text)
 
 
-def test_special_strings_are_text(slow):
-    assert encode("a<|endoftext|>b", tokenizer_path()).tolist() == slow("a<|endoftext|>b")
+def test_special_tokens_are_those_of_the_tokenizer(slow):
+    special = [t.content for t in Tokenizer.from_file(tokenizer_path()).get_added_tokens_decoder().values()]
+    assert special
+    for t in special:
+        for text in (t, f"a {t} b", f"a{t}b{t}", t[:-1]):
+            assert encode(text, tokenizer_path()).tolist() == slow(text), text
 
 
 @settings(deadline=None)
