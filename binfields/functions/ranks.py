@@ -8,14 +8,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binfields.functions.scalar import normal_sf
+from binfields.sources.scratch import checkpoint
+
+
+def running_sum(rows: DataFrame, order: Sequence[Column | str], n: str, groups: Sequence[str] = (), name: str = "below") -> DataFrame:
+    """Adds the sum of ``n`` over the rows of the group that come before in the order, without a group in one task.
+
+    Rows are dealt by range of groups and order and written once; sums run within a partition, and those of the partitions
+    before it are added: one number for each partition and group in it, groups cut by a border being at most as many as
+    partitions.
+    """
+    # the partition number is written with the row: a second evaluation of the shuffle could draw other borders
+    dealt = checkpoint(rows.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_local", F.coalesce(F.sum(n).over(local), F.lit(0)))
+    if not groups:
+        sizes = dealt.groupBy("_part").agg(F.sum(n).alias("_n"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
+    sizes = dealt.groupBy(*groups, "_part").agg(F.sum(n).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.sum("_n").over(before)).filter("_start is not null").drop("_n")
+    # a group has a start only where it goes on from the partition before, so a partition has one such group at most
+    joined = join_null_safe(summed, F.broadcast(starts), [*groups, "_part"], "left")
+    return joined.select(*rows.columns, (F.coalesce("_start", F.lit(0)) + F.col("_local")).alias(name))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which null equals null; the left side's keys stay."""
+    names = {k: f"_right_{n}" for n, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for k, n in names.items():
+        condition = condition & F.col(k).eqNullSafe(F.col(n))
+    return left.join(renamed, condition, how).drop(*names.values())
 
 
 def midrank(rows: DataFrame, value: str, groups: Sequence[str] = (), name: str = "midrank") -> DataFrame:
-    """Adds the average rank of ``value`` (nulls get none). Ties are counted first, so windows run over different values only."""
+    """Adds the average rank of ``value`` (nulls get none). Ties are counted first, so sums run over different values only."""
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    below = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn(name, F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
-    return rows.join(ranked, [*groups, value], "left")
+    ranked = running_sum(counted, [value], "_n", groups, "_below")
+    ranked = ranked.select(*groups, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    return join_null_safe(rows, ranked, [*groups, value], "left")
+
+
+def order_statistics(rows: DataFrame, value: str, qs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """groups, and q0, q1, ..: exact quantiles with linear interpolation, nulls and NaN left out; no group meets in one task."""
+    counted = rows.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+    placed = checkpoint(running_sum(counted, ["_v"], "_n", groups, "_below"))
+    totals = placed.groupBy(*groups).agg(F.max(F.col("_below") + F.col("_n")).alias("_total"))
+    joined = join_null_safe(placed, totals, groups) if groups else placed.join(F.broadcast(totals))
+    parts = []
+    for k, q in enumerate(qs):
+        at = (F.col("_total") - 1) * F.lit(float(q))
+        for name, place in ((f"_l{k}", F.floor(at)), (f"_h{k}", F.ceil(at))):
+            parts.append(F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_v"))).alias(name))
+        parts.append(F.max(at - F.floor(at)).alias(f"_f{k}"))
+    found = joined.groupBy(*groups).agg(*parts)
+    return found.select(*groups, *((F.col(f"_l{k}") + F.when(F.col(f"_f{k}") > 0, (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}")).otherwise(0.0)).alias(f"q{k}") for k in range(len(qs))))
 
 
 def rank_sums(values: DataFrame, sizes: DataFrame, label: str, *, item: str = "feature_name", value: str = "cpm", among: Column | None = None) -> DataFrame:
@@ -29,9 +80,8 @@ def rank_sums(values: DataFrame, sizes: DataFrame, label: str, *, item: str = "f
     seen = nonzero.groupBy(item, label).agg(F.sum("n").alias("nnz"))
     zeros = grid.join(seen, [item, label], "left").select(item, label, F.lit(0.0).alias(value), (F.col("n_cells") - F.coalesce("nnz", F.lit(0))).alias("n"))
     every = nonzero.unionByName(zeros.filter("n > 0"))
-    by_value = every.groupBy(item, value).agg(F.sum("n").alias("t"))
-    below = Window.partitionBy(item).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_value.withColumn("rank", F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2)
+    by_value = checkpoint(every.groupBy(item, value).agg(F.sum("n").alias("t")))
+    ranked = running_sum(by_value, [value], "t", [item], "_below").withColumn("rank", F.col("_below") + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
     ties = by_value.groupBy(item).agg(F.sum(t * t * t - t).alias("ties"), F.sum("t").alias("total"))
     sums = every.join(ranked, [item, value]).groupBy(item, label).agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("n1"))
@@ -76,9 +126,12 @@ def partial_spearman(rows: DataFrame, x: str, y: str, covariate: str, groups: Se
     ranked = complete.select(*groups, x, y, covariate)
     for column, rank in ((x, "_rx"), (y, "_ry"), (covariate, "_rc")):
         ranked = midrank(ranked, column, groups, rank)
-    own = Window.partitionBy(*groups)
+    ranked = checkpoint(ranked)
+    fits = [f for r in ("_rx", "_ry") for f in (F.coalesce(F.regr_slope(r, "_rc"), F.lit(0.0)).alias(f"{r}_slope"), F.avg(r).alias(f"{r}_mean"))]
+    lines = ranked.groupBy(*groups).agg(F.avg("_rc").alias("_rc_mean"), *fits)
+    ranked = ranked.join(F.broadcast(lines), list(groups))  # one row for each group, of which there are few
     for rank in ("_rx", "_ry"):
-        fit = F.coalesce(F.regr_slope(rank, "_rc").over(own), F.lit(0.0)) * (F.col("_rc") - F.avg("_rc").over(own)) + F.avg(rank).over(own)
+        fit = F.col(f"{rank}_slope") * (F.col("_rc") - F.col("_rc_mean")) + F.col(f"{rank}_mean")
         ranked = ranked.withColumn(f"{rank}_left", F.round(F.col(rank) - fit, 9))
     again = midrank(midrank(ranked, "_rx_left", groups, "_a"), "_ry_left", groups, "_b")
     return again.groupBy(*groups).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("_a", "_b")).alias(name))
@@ -102,21 +155,18 @@ def adjusted_rand(rows: DataFrame, a: str, b: str, groups: Sequence[str] = ()) -
 
 
 def global_rank(rows: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
-    """Rank from 1 over all rows: a range shuffle, ranks within partitions, and the sizes of the partitions before.
-
-    The number of partitions bounds what is broadcast.
-    """
-    ordered = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = ordered.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return local.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
+    """Rank from 1 over all rows."""
+    summed = running_sum(rows.withColumn("_one", F.lit(1)), order, "_one", (), name)
+    return summed.withColumn(name, F.col(name) + 1).drop("_one")
 
 
 def weighted_quantile(rows: DataFrame, value: str, weight: str, groups: Sequence[str], q: float, name: str) -> DataFrame:
     """The smallest value whose cumulative weight reaches q times the total; no interpolation."""
     by_value = rows.groupBy(*groups, value).agg(F.sum(weight).alias("_w"))
-    own = Window.partitionBy(*groups)
-    summed = by_value.withColumn("_cum", F.sum("_w").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_w").over(own))
-    return summed.filter(F.col("_cum") >= q * F.col("_total")).groupBy(*groups).agg(F.min(value).alias(name))
+    summed = checkpoint(running_sum(by_value, [value], "_w", groups, "_below"))
+    reached = F.col("_below") + F.col("_w")
+    if not groups:
+        totals = summed.agg(F.sum("_w").alias("_total"))
+        return summed.join(F.broadcast(totals)).filter(reached >= q * F.col("_total")).agg(F.min(value).alias(name))
+    totals = summed.groupBy(*groups).agg(F.sum("_w").alias("_total"))
+    return summed.join(totals, list(groups)).filter(reached >= q * F.col("_total")).groupBy(*groups).agg(F.min(value).alias(name))

@@ -45,11 +45,12 @@ def dge_category(q: Column, lfc: Column, mean: Column, *, q_max: float = 0.05, l
 
 
 def clean_term(term: Column, longest: int = 45) -> Column:
-    """Readable name of a gene set: known prefixes and ids go, words begin upper-case, long names are cut."""
+    """Readable name of a gene set: known prefixes and ids go, each run of letters begins upper-case, long names are cut."""
     out = F.regexp_replace(term, r"\s*\(GO:\d+\)", "")
-    out = F.regexp_replace(out, r"\s*Homo sapiens hsa\d*", "")
-    out = F.replace(F.regexp_replace(out, "^HALLMARK_", ""), F.lit("_"), F.lit(" "))
-    out = F.initcap(F.trim(out))
+    out = F.regexp_replace(out, r"\s*Homo sapiens\s*hsa\d+", "")
+    out = F.replace(F.replace(out, F.lit("HALLMARK_"), F.lit("")), F.lit("_"), F.lit(" "))
+    runs = F.regexp_extract_all(out, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1))
+    out = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 2**31 - 1)))), "")
     return F.when(F.length(out) > longest, F.concat(F.substring(out, 1, longest - 3), F.lit("..."))).otherwise(out)
 
 

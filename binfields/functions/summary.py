@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binfields.functions.ranks import order_statistics
 from binfields.functions.scalar import conf_bins
 
 
@@ -19,18 +20,19 @@ def cohens_d(x: Column, in_a: Column, in_b: Column) -> Column:
 
 
 def global_quantile(rows: DataFrame, value: str, q: float, name: str = "quantile") -> DataFrame:
-    """Exact, linearly interpolated."""
-    return rows.agg(F.percentile(value, F.lit(q)).alias(name))
+    """Exact, linearly interpolated; null without values."""
+    return order_statistics(rows, value, [q]).withColumnRenamed("q0", name)
 
 
 def median_mad(rows: DataFrame, value: str) -> DataFrame:
-    """Median and median absolute deviation: two aggregates."""
-    middle = rows.agg(F.median(value).alias("median"))
-    return rows.join(F.broadcast(middle)).groupBy("median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    """Median and median absolute deviation."""
+    middle = global_quantile(rows, value, 0.5, "median").first()["median"]
+    far = rows.select(F.abs(F.col(value) - F.lit(middle)).alias("_far"))
+    return global_quantile(far, "_far", 0.5, "mad").select(F.lit(middle).cast("double").alias("median"), "mad")
 
 
 def group_median(rows: DataFrame, label: str, value: str) -> DataFrame:
-    return rows.groupBy(label).agg(F.median(value).alias("median"))
+    return order_statistics(rows, value, [0.5], [label]).withColumnRenamed("q0", "median")
 
 
 def relabel_by_median(rows: DataFrame, label: str, value: str, name: str) -> DataFrame:
@@ -56,7 +58,7 @@ def conf_bin_stats(rows: DataFrame, value: str, confidence: str) -> DataFrame:
 
 def extreme_fractions(rows: DataFrame, value: str, confidence: str, q: float = 0.95) -> DataFrame:
     """Shares of rows at or beyond the quantile of the absolute value: all, of low and of high confidence."""
-    limit = rows.agg(F.percentile(F.abs(value), F.lit(q)).alias("threshold"))
+    limit = global_quantile(rows.select(F.abs(value).alias("_size")), "_size", q, "threshold")
     hit = (F.abs(value) >= F.col("threshold")).cast("int")
     return rows.join(F.broadcast(limit)).groupBy("threshold").agg(F.avg(hit).alias("fraction_all"), F.avg(F.when(F.col(confidence) < 0.4, hit)).alias("fraction_low"), F.avg(F.when(F.col(confidence) >= 0.7, hit)).alias("fraction_high"))
 

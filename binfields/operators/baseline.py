@@ -12,7 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binfields.functions.summary import median_mad
+from binfields.functions.summary import global_quantile, median_mad
 from binfields.operators.grid import CELL
 from binfields.operators.neighbors import knn_join
 
@@ -36,7 +36,7 @@ def weighted_subsample(cells: DataFrame, n: int, weight: str = "transcript_count
 
 def fit_region(density: DataFrame, *, column: str = "rho", q: float = 0.6, least: int = 50, most_added: int = 5000) -> DataFrame:
     """Cells with pilot density at or above the q quantile; if those are too few, the densest cells as well."""
-    limit = density.agg(F.percentile(column, F.lit(q)).alias("_limit"))
+    limit = global_quantile(density, column, q, "_limit")
     inside = density.join(F.broadcast(limit)).filter(F.col(column) >= F.col("_limit")).drop("_limit")
     if inside.count() >= least:
         return inside
@@ -160,5 +160,5 @@ def trend_guard(cells: DataFrame, trend: bool, *, residual: str = "z_residual",
     """Adds local_scale: lower confidence where a remaining trend leaves large residuals."""
     if not trend:
         return cells.withColumn("local_scale", F.lit(1.0))
-    limit = cells.agg(F.percentile(F.abs(residual), F.lit(q)).alias("_limit"))
+    limit = global_quantile(cells.select(F.abs(residual).alias("_size")), "_size", q, "_limit")
     return cells.join(F.broadcast(limit)).withColumn("local_scale", F.when(F.abs(residual) >= F.col("_limit"), down).otherwise(1.0)).drop("_limit")

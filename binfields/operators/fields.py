@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binfields.functions.ranks import global_rank
+from binfields.functions.ranks import global_rank, order_statistics
 from binfields.functions.scalar import clip_range, imbalance, normal_cdf
 from binfields.operators.grid import BIN_SIZE_UM, CELL
 from binfields.operators.neighbors import disc, radius_join, with_halo
@@ -150,13 +150,12 @@ def sigma_fields(cells: DataFrame, sigmas: Sequence[float] = SIGMAS, *, z: str =
 def confidence_weight(fields: DataFrame, *, local_scale: Column | None = None, q: float = 0.9, exponent: float = 0.5, blend: float = 0.5) -> DataFrame:
     """Adds confidence_weight to rows of one sigma: shares of the q quantiles of neighbours and of the smaller half, blended with their rank."""
     half = F.least("n_up", "n_low")
-    refs = fields.agg(
-        F.greatest(F.coalesce(F.percentile(F.when(F.col("n_neighbor") > 0, F.col("n_neighbor")), F.lit(q)), F.lit(1.0)), F.lit(1.0)).alias("_nb"),
-        F.greatest(F.coalesce(F.percentile(F.when(half > 0, half), F.lit(q)), F.lit(1.0)), F.lit(1.0)).alias("_hf"),
-    )
-    parts = [clip_range(F.pow(F.try_divide(n.cast("double"), F.col(ref)), F.lit(exponent)), 0.0, 1.0) for n, ref in ((F.col("n_neighbor"), "_nb"), (half, "_hf"))]
+    sizes = fields.select(F.inline(F.array(*(F.struct(F.lit(n).alias("_ref"), F.when(c > 0, c).cast("double").alias("_v")) for n, c in (("_nb", F.col("n_neighbor")), ("_hf", half))))))
+    at = {r["_ref"]: r["q0"] for r in order_statistics(sizes, "_v", [q], ["_ref"]).collect()}  # two rows
+    refs = {n: F.lit(float(max(at.get(n) or 1.0, 1.0))) for n in ("_nb", "_hf")}
+    parts = [clip_range(F.pow(F.try_divide(n.cast("double"), refs[ref]), F.lit(exponent)), 0.0, 1.0) for n, ref in ((F.col("n_neighbor"), "_nb"), (half, "_hf"))]
     raw = clip_range(parts[0] * parts[1] * (F.lit(1.0) if local_scale is None else local_scale), 0.0, 1.0)
-    return confidence_rank_blend(fields.join(F.broadcast(refs)).withColumn("_raw", raw).drop("_nb", "_hf"), "_raw", blend).drop("_raw")
+    return confidence_rank_blend(fields.withColumn("_raw", raw), "_raw", blend).drop("_raw")
 
 
 def confidence_rank_blend(rows: DataFrame, raw: str, blend: float = 0.5, name: str = "confidence_weight") -> DataFrame:

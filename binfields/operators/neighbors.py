@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binfields.functions.summary import global_quantile
 from binfields.operators.grid import BIN_SIZE_UM, CELL
 from binfields.sources.scratch import checkpoint
 
@@ -68,8 +69,10 @@ def edge_similarity(edges: DataFrame, cells: DataFrame, features: str = "feature
     right = cells.select(F.col("x_bin").alias("nx"), F.col("y_bin").alias("ny"), F.col(features).alias("_b"))
     squares = F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     far = edges.join(left, list(CELL)).join(right, ["nx", "ny"]).select(*CELL, "nx", "ny", squares.alias("_d2"))
-    tau = far.filter("_d2 > 0").agg(F.greatest(F.coalesce(F.median(F.sqrt("_d2")), F.lit(1.0)), F.lit(1e-6)).alias("_tau"))
-    return far.join(F.broadcast(tau)).select(*CELL, "nx", "ny", F.exp(-F.col("_d2") / (F.col("_tau") * F.col("_tau"))).alias("w"))
+    far = checkpoint(far)
+    middle = global_quantile(far.filter("_d2 > 0").select(F.sqrt("_d2").alias("_d")), "_d", 0.5).first()["quantile"]
+    tau = max(1.0 if middle is None else middle, 1e-6)
+    return far.select(*CELL, "nx", "ny", F.exp(-F.col("_d2") / F.lit(tau * tau)).alias("w"))
 
 
 def boundary_cells(cells: DataFrame, region: str = "region", radius: float = 30.0, size: float = BIN_SIZE_UM) -> DataFrame:
@@ -98,9 +101,9 @@ def nearest_boundary(cells: DataFrame, boundary: DataFrame, first_reach: int = 8
         out = best if out is None else out.unionByName(best)
         open_ = checkpoint(open_.join(best.select(*CELL), list(CELL), "left_anti"))
         if open_.isEmpty():
-            break
+            return out
         reach *= 2
-    return out
+    raise RuntimeError(f"cells without a boundary cell within {reach} bins after {most_rounds} rounds")
 
 
 def signed_distance(cells: DataFrame, negative: str, positive: str, *, region: str = "region", radius: float = 30.0, size: float = BIN_SIZE_UM) -> DataFrame:

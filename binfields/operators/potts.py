@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binfields.functions.ranks import adjusted_rand
+from binfields.functions.summary import global_quantile
 from binfields.operators.baseline import SEED, unit_hash
 from binfields.operators.grid import CELL
 from binfields.sources.scratch import checkpoint
@@ -28,7 +29,8 @@ def unary_margin(cells: DataFrame, unary: str = "unary") -> DataFrame:
     """One row, lambda0: median of the positive gaps between the two smallest energies."""
     ordered = F.array_sort(unary)
     gap = F.when(F.size(unary) >= 2, ordered[1] - ordered[0]).otherwise(1.0)
-    return cells.select(gap.alias("g")).filter("g > 0").agg(F.greatest(F.coalesce(F.median("g"), F.lit(1.0)), F.lit(1e-6)).alias("lambda0"))
+    middle = global_quantile(cells.select(gap.alias("g")).filter("g > 0"), "g", 0.5, "lambda0")
+    return middle.select(F.greatest(F.coalesce("lambda0", F.lit(1.0)), F.lit(1e-6)).alias("lambda0"))
 
 
 def _ends(edges: DataFrame, labels: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -340,7 +340,7 @@ def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fx.cells(spark, sf_dir).select(*CELL, s.alias("signed"), F.abs(s).alias("absolute")))
 
 
-@query("""select p_partkey, case when length(t) > 45 then left(t, 42) || '...' else t end as label from (select p_partkey, array_to_string(list_transform(string_split(trim(lower(replace(p_name || '_' || p_type, '_', ' '))), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') as t from part)""")
+@query(r"""select p_partkey, case when length(t) > 45 then left(t, 42) || '...' else t end as label from (select p_partkey, array_to_string(list_transform(regexp_extract_all(replace(p_name || '_' || p_type, '_', ' '), '[\p{L}]+|[^\p{L}]+'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '') as t from part)""")
 def clean_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     raw = F.concat(F.lit("HALLMARK_"), "p_name", F.lit("_"), "p_type", F.lit(" (GO:0001)"))
