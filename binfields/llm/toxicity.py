@@ -3,17 +3,19 @@
 1. At most ``max_examples`` training rows of each label are the examples (smallest hashes of their ids, so the choice
    does not depend on partitions). Their class weights restore the shares that the labels have.
 2. Terms are words and word beginnings of four to eight bytes, and each of them again as "at least twice" and "at least
-   three times", as a cosine alone can't tell one use from many. The index keeps the terms that go with label 1 beyond
-   chance in the examples. Document frequencies come from all documents.
+   three times", as a cosine alone can't tell one use from many. The vectors are over all terms that go with label 1
+   beyond chance in the examples, however many: a cosine over every word would find texts of the same subject, as a few
+   insults weigh nothing beside a thousand other words. Document frequencies come from all documents.
 3. The index lists each term's examples with weights, in blocks that know their largest weight. A query adds up the
-   block maxima of its terms, visits the blocks with the highest bounds, and then those only that could still beat the
-   k-th best cosine: the neighbours are exact.
-4. The score is the weighted share of label 1 among the neighbours, each counting as a power of its cosine, with the share
-   of label 1 among examples that have no term as the prior. The neighbours are the evidence.
+   block maxima of its terms, reads the postings of the blocks with the highest bounds, and then of those blocks only
+   that could still beat the k-th best cosine: the neighbours are exact.
+4. A vote is the share of label 1 among the neighbours, each counting as a power of its cosine, with the share of label 1
+   among examples that have no term as the prior. The score is its calibration: a logistic curve fitted to the votes that
+   each example gets from the others. The neighbours are the evidence.
 
 Defined cases: null, empty and term-free texts get the prior; null labels and labels other than 0 and 1 are left out,
-disagreeing ones count as the lower; without labels the score is 0.5; repeated rows keep their rows; an empty
-table gives an empty result; other columns are left out. The score never sees labels, lang, source or the id.
+disagreeing ones count as the lower; of texts with one id the smallest is the example; without labels the score is 0.5;
+repeated rows keep their rows; an empty table gives an empty result; other columns are left out. The score never sees labels, lang, source or the id.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ class BlockMaxIndex:
         # examples with the same heaviest term stand together, which makes block maxima tell more
         weighted.sort(key=lambda v: (v[2][0][int(np.argmax(v[2][1]))], v[0]))
         self.idf, self.block = idf, block
-        self.ids = np.array([v[0] for v in weighted], np.int64)
+        self.ids = np.array([v[0] for v in weighted])
         self.labels = np.array([v[1] for v in weighted], np.int64)
         self.n = len(weighted)
         blocks = max(1, -(-self.n // block))
@@ -119,31 +121,84 @@ class BlockMaxIndex:
         """Places and cosines of the k nearest examples with a positive cosine; ties go to the smaller place."""
         terms, weights = self.weights(counts, self.idf)
         bounds = weights @ self.maxima[terms]
-        lists = [slice(self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]) for t in terms.tolist()]
-        owners = np.concatenate([self.owners[s] for s in lists])
-        parts = np.concatenate([self.postings[s] * w for s, w in zip(lists, weights.tolist(), strict=True)])
-        blocks = owners // self.block
         # the blocks with the highest bounds first; then all that could still beat the k-th best of those
-        visit = np.zeros(self.blocks, bool)
-        visit[np.argsort(-bounds, kind="stable")[: self.first_blocks]] = True
-        places, cosines = self._visited(owners, parts, visit[blocks], k)
+        order = np.argsort(-bounds, kind="stable")[: self.first_blocks]
+        first = np.sort(order[bounds[order] > 0])
+        places, cosines = self._read(terms, weights, first, k)
         least = cosines[-1] if len(cosines) >= k else 0.0
-        rest = ~visit & (bounds > 0) & (bounds >= least - 1e-12)
-        if rest.any():
-            more = self._visited(owners, parts, rest[blocks], k)
+        open_ = (bounds > 0) & (bounds >= least - 1e-12)
+        open_[first] = False
+        rest = np.flatnonzero(open_)
+        if len(rest):
+            more = self._read(terms, weights, rest, k)
             places, cosines = np.concatenate([places, more[0]]), np.concatenate([cosines, more[1]])
             best = np.lexsort((places, -np.round(cosines, 12)))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
-    def _visited(self, owners: np.ndarray, parts: np.ndarray, chosen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        scores = np.bincount(owners[chosen], weights=parts[chosen], minlength=self.n)
+    def _read(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some blocks; only the terms' postings in those blocks are read."""
+        lists = (terms[:, None] * self.blocks + blocks).ravel()
+        begins = self.starts[lists]
+        sizes = self.starts[lists + 1] - begins
+        at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        owners = self.owners[at]
+        slots = np.searchsorted(blocks, owners // self.block) * self.block + owners % self.block
+        scores = np.bincount(slots, weights=self.postings[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), minlength=len(blocks) * self.block)
         hit = np.flatnonzero(scores > 0)
-        best = np.lexsort((hit, -np.round(scores[hit], 12)))[:k]
-        return hit[best], scores[hit[best]]
+        best = hit[np.lexsort((hit, -np.round(scores[hit], 12)))[:k]]
+        return blocks[best // self.block] * self.block + best % self.block, scores[best]
+
+
+class Voter:
+    """Votes of the nearest examples, and their calibration."""
+
+    def __init__(self, terms: list[bytes], index: BlockMaxIndex, weight: list[float], prior: float, neighbours: int, prior_weight: float, sharpness: float) -> None:
+        self.terms, self.index, self.weight, self.prior = terms, index, weight, prior
+        self.neighbours, self.prior_weight, self.sharpness = neighbours, prior_weight, sharpness
+        self.curve = (0.0, 1.0)
+
+    def vote(self, counts: dict[int, int], but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of label 1, and places and cosines of the neighbours; ``but`` is the id of an example to leave out."""
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not counts or not self.index.n:
+            return self.prior, *none
+        places, cosines = self.index.nearest(counts, self.neighbours + (but is not None))
+        if but is not None:
+            other = self.index.ids[places] != but
+            places, cosines = places[other][: self.neighbours], cosines[other][: self.neighbours]
+        if not len(places):
+            return self.prior, *none
+        ones = self.index.labels[places] == 1
+        votes = cosines**self.sharpness * np.where(ones, self.weight[1], self.weight[0])
+        scale = self.prior_weight * (votes.sum() / max(cosines.sum(), 1e-12))
+        return float((votes[ones].sum() + scale * self.prior) / max(votes.sum() + scale, 1e-12)), places, cosines
 
-
-def _select_terms(examples: DataFrame, max_terms: int, least: int, evidence: float, lift: float) -> list[bytes]:
+    @staticmethod
+    def _odds(shares: np.ndarray) -> np.ndarray:
+        return np.log((shares + 0.01) / (1.01 - shares))
+
+    def calibrate(self, shares: np.ndarray, labels: np.ndarray) -> None:
+        """Fits the logistic curve by Newton steps; a falling curve or a single label keeps the shares as they are."""
+        if len(set(labels.tolist())) < 2:
+            return
+        x = np.stack([np.ones(len(shares)), self._odds(shares)], 1)
+        w, out = np.where(labels == 1, self.weight[1], self.weight[0]), np.array([0.0, 1.0])
+        ridge = np.diag([1e-3, 1e-3])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ out, -30, 30)))
+            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (labels - p)) - ridge @ (out - [0.0, 1.0]))
+            out = out + np.clip(step, -2, 2)
+        if np.isfinite(out).all() and out[1] > 0:
+            self.curve = (float(out[0]), float(out[1]))
+
+    def score(self, share: float) -> float:
+        if self.curve == (0.0, 1.0):
+            return share
+        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * self._odds(np.array(share)), -30, 30))))
+
+
+def _select_terms(examples: DataFrame, least: int, evidence: float, lift: float) -> list[bytes]:
     """Terms of examples (text, label) that go with label 1: ``lift`` times as often, by a log-likelihood ratio over ``evidence``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +223,7 @@ def _select_terms(examples: DataFrame, max_terms: int, least: int, evidence: flo
     ratio = 2 * (part(a, F.lit(n1), seen) + part(b, F.lit(n0), seen) + part(n1 - a, F.lit(n1), 1 - seen) + part(n0 - b, F.lit(n0), 1 - seen))
     counted = examples.select("text", "label").mapInArrow(count, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     chosen = counted.filter(F.col("n1") >= least).withColumn("ratio", ratio).filter((a / n1 >= lift * b / n0) & (F.col("ratio") > evidence))
-    return sorted(bytes(r["term"]) for r in chosen.orderBy(F.desc("ratio"), "term").limit(max_terms).collect())
+    return sorted(bytes(r["term"]) for r in chosen.select("term").collect())  # terms of 2 * max_examples texts
 
 
 def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -201,7 +256,6 @@ def score_toxicity(
     threshold: float = 0.7,
     neighbours: int = 15,
     max_examples: int = 4000,
-    max_terms: int = 4000,
     prior_weight: float = 0.3,
     sharpness: float = 4.0,
 ) -> DataFrame:
@@ -213,39 +267,47 @@ def score_toxicity(
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64(id_column), id_column).limit(max_examples) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_examples rows of two numbers
-    examples = checkpoint(texts.join(chosen, id_column).dropDuplicates([id_column]))
-    terms = _select_terms(examples, max_terms, least=3, evidence=20.0, lift=3.0)
+    examples = checkpoint(texts.join(chosen, id_column).groupBy(id_column, "label").agg(F.min("text").alias("text")))
+    terms = _select_terms(examples, least=3, evidence=20.0, lift=3.0)
     total, frequency = _document_frequencies(texts, terms)
     idf = np.log((total + 1) / (frequency + 1)) + 1 if terms else np.zeros(0)
-    reader = TermReader(terms)
-    vectors, bare, count = [], [0, 0], [0, 0]
-    for row in examples.toLocalIterator():  # 2 * max_examples texts, one partition at a time
-        counts = reader.counted((row["text"] or "").encode())
-        count[row["label"]] += 1
-        bare[row["label"]] += not counts
-        if counts:
-            vectors.append((row[id_column], row["label"], counts))
+
+    def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TermReader(terms)
+        for batch in batches:
+            counts = [own.counted(t) for t in text_bytes(batch.column(2))]
+            lists = [pa.array([list(f(c)) for c in counts], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "label", "terms", "uses"])
+
+    made = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("label", T.IntegerType()), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("terms", "uses"))])
+    vectors = checkpoint(examples.select(id_column, "label", "text").mapInArrow(vectors_of, made))
+    rows = [(r["id"], r["label"], dict(zip(r["terms"], r["uses"], strict=True))) for r in vectors.collect()]  # 2 * max_examples vectors
     # an example stands for this many labelled rows
+    count, bare = ([sum(y == k and (every or not c) for _, y, c in rows) for k in (0, 1)] for every in (True, False))
     weight = [sizes.get(k, 0) / max(count[k], 1) for k in (0, 1)]
     without = [bare[k] * weight[k] for k in (0, 1)]
     prior = (without[1] + 0.5) / (sum(without) + 1)
-    index = context.broadcast((reader.numbers, BlockMaxIndex(vectors, idf)))  # max_examples and max_terms bound it
+    voter = Voter(terms, BlockMaxIndex([r for r in rows if r[2]], idf), weight, prior, neighbours, prior_weight, sharpness)
+    uncalibrated = context.broadcast(voter)  # max_examples bounds it
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, uses, counts = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            shares = [uncalibrated.value.vote(dict(zip(t, n, strict=True)), but=i)[0] for i, t, n in zip(ids, uses, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(shares, pa.float64())], names=["label", "share"])
+
+    told_by_others = vectors.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").mapInArrow(left_out, "label int, share double").collect()
+    voter.calibrate(np.array([r["share"] for r in told_by_others]), np.array([r["label"] for r in told_by_others]))
+    shared = context.broadcast(voter)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, near = index.value
-        own = TermReader(list(numbers))
+        own = shared.value
+        reader, near = TermReader(own.terms), own.index
         for batch in batches:
             scores, evidence = [], []
             for text in text_bytes(batch.column(1)):
-                counts = own.counted(text)
-                if not counts or not near.n:
-                    scores.append(prior)
-                    evidence.append([])
-                    continue
-                places, cosines = near.nearest(counts, neighbours)
-                votes = cosines**sharpness * np.where(near.labels[places] == 1, weight[1], weight[0])
-                scale = prior_weight * (votes.sum() / max(cosines.sum(), 1e-12))
-                scores.append(float((votes[near.labels[places] == 1].sum() + scale * prior) / max(votes.sum() + scale, 1e-12)))
+                share, places, cosines = own.vote(reader.counted(text))
+                scores.append(own.score(share))
                 evidence.append([{"id": str(i), "label": int(y), "cosine": float(c)} for i, y, c in zip(near.ids[places], near.labels[places], cosines, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[id_column, "score", "evidence"])
 

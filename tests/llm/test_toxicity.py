@@ -52,6 +52,69 @@ def test_held_out_rows_are_told_apart(spark):
     assert bounded >= 560
 
 
+def test_evidence_equals_brute_force_cosines(spark):
+    """Terms, document frequencies, cosines and neighbours recomputed plainly for every document."""
+    from collections import Counter
+    from math import log, sqrt
+    from zlib import crc32
+
+    from binfields.llm.toxicity import bases_of, terms_in
+
+    docs, labels = corpus(spark, 300)
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    train = [i for i in texts if crc32(str(i).encode()) % 3 != 1]
+    has = {i: terms_in(t) for i, t in texts.items()}
+    n = Counter(label[i] for i in train)
+    a, b = (Counter(t for i in train if label[i] == k for t in has[i]) for k in (1, 0))
+
+    def ratio(t):
+        seen = (a[t] + b[t]) / (n[0] + n[1])
+        parts = ((a[t], n[1] * seen), (b[t], n[0] * seen), (n[1] - a[t], n[1] * (1 - seen)), (n[0] - b[t], n[0] * (1 - seen)))
+        return 2 * sum(x * log(x / e) for x, e in parts if x > 0)
+
+    terms = {t for t in a if a[t] >= 3 and a[t] / n[1] >= 3 * b[t] / n[0] and ratio(t) > 20}
+    frequency = Counter(t for own in has.values() for t in own & terms)
+
+    def vector(text):
+        words = Counter(x for w in text.split() for x in bases_of(w))
+        raw = {t: (1 + log(1 if b"#" in t else words[t])) * (log((len(texts) + 1) / (frequency[t] + 1)) + 1) for t in terms_in(text) & terms}
+        norm = sqrt(sum(v * v for v in raw.values()))
+        return {t: v / norm for t, v in raw.items()}
+
+    vectors = {i: vector(t) for i, t in texts.items()}
+    rows = score_toxicity(docs, labels).collect()
+    told = 0
+    for r in rows:
+        cosines = {str(i): sum(v * vectors[i].get(t, 0) for t, v in vectors[r.doc_id].items()) for i in train}
+        best = sorted((c for c in cosines.values() if c > 1e-12), reverse=True)[:15]
+        assert np.allclose([e.cosine for e in r.evidence], best)
+        assert all(abs(cosines[e.id] - e.cosine) < 1e-9 and label[int(e.id)] == e.label for e in r.evidence)
+        told += bool(best)
+    assert told > 50
+    # a higher vote never gives a lower score, and calibrated scores sum up to the labels they were fitted to
+    assert abs(sum(r.score for r in rows if r.doc_id in set(train)) - n[1]) < 0.25 * n[1]
+
+
+def test_postings_outside_of_open_blocks_are_not_read():
+    rng = random.Random(4)
+    idf = np.ones(40)
+    vectors = [(i, i % 2, {g: 1, **({20 + g: 1} if i % 3 else {})}) for i in range(2000) for g in [rng.randrange(20)]]
+    index = BlockMaxIndex(vectors, idf, block=16)
+    read = []
+    own = index._read
+    index._read = lambda terms, weights, blocks, k: (read.append(len(blocks)), own(terms, weights, blocks, k))[1]
+    places, cosines = index.nearest({3: 1, 23: 1}, 5)
+    assert len(places) == 5 and np.allclose(cosines, 1) and sum(read) < index.blocks / 2
+
+
+def test_one_example_of_a_repeated_id(spark):
+    docs, labels = corpus(spark, 300)
+    twice = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' tail') as text"))
+    scores = [sorted((r.doc_id, r.score) for r in score_toxicity(d, labels).collect()) for d in (twice, twice.repartition(2, "text"))]
+    assert scores[0] == scores[1]
+
+
 def test_odd_rows(spark, odd_docs, no_docs, labels):
     rows = score_toxicity(odd_docs, labels).collect()
     assert len(rows) == 15 and all(0 <= r.score <= 1 for r in rows)
