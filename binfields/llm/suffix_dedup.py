@@ -348,19 +348,27 @@ def _merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         codes = np.frombuffer(b"".join(o[16:] for o in owners), "<i8")
         return pa.RecordBatch.from_pydict({"digest": pa.array([o[:16] for o in owners], pa.binary()), "code": pa.array(codes)})
 
+    def pieces(runs: list[bytes], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+        owners: list[bytes] = []
+        for owner in merged(runs):
+            owners.append(owner)
+            if len(owners) == most:
+                yield out(owners)
+                owners = []
+        if owners:
+            yield out(owners)
+
     now, runs = None, []
     for batch in batches:
         for r, known, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if r != now:
-                if owners := list(merged(runs)):
-                    yield out(owners)
+                yield from pieces(runs)
                 now, runs = r, []
             if known:
                 yield out([body[k : k + 24] for k in range(0, len(body), 24)])
             else:
                 runs.append(body)
-    if owners := list(merged(runs)):
-        yield out(owners)
+    yield from pieces(runs)
 
 
 def _decide(first_level: bool):
@@ -463,16 +471,12 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, id_column: str = "doc_
     texts = docs.select(text_column).mapInArrow(_texts, "digest binary, packed binary").repartition(tasks, "digest").dropDuplicates(["digest"])
     texts = checkpoint(texts.join(nodes.select("digest").repartition(tasks, "digest"), "digest", "left_semi"))
 
-    sample = nodes.select("digest", "nodes", F.xxhash64("digest").alias("h")).orderBy("h").limit(2000).select("digest", "nodes")
-    picked = texts.join(F.broadcast(sample), "digest").select("digest", "packed", "nodes").mapInArrow(_sample(length), "key binary")
-    keys = sorted(bytes(r["key"]) for r in picked.collect())  # 2000 suffixes of under two lengths
-    splitters = [keys[k * len(keys) // tasks] for k in range(1, tasks)] if keys else []
-
     found, level, width = [], 0, length - gram_length(length) + 1
     while True:
+        splitters = _splitters(texts, nodes, length, width, tasks)
         own = texts.join(nodes.repartition(tasks, "digest"), "digest").select("digest", "packed", "nodes")
         runs = own.mapInArrow(_make_runs(length, level == 0, splitters), "range int, known boolean, body binary")
-        repeated = runs.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(_merge_ranges, "digest binary, code long")
+        repeated = runs.repartition(len(splitters) + 1, "range").sortWithinPartitions("range").mapInArrow(_merge_ranges, "digest binary, code long")
         codes = repeated.groupBy("digest").agg(F.collect_list("code").alias("codes"))
         decided = checkpoint(nodes.join(codes, "digest", "left").select("digest", "nodes", "codes").mapInArrow(_decide(level == 0), "digest binary, nodes binary, found binary"))
         found.append(decided.filter("found is not null").select("digest", "found"))
@@ -518,18 +522,39 @@ def _pack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["digest", "nodes"])
 
 
-def _sample(length: int):
-    """One suffix of each row given, at the place that the digest picks."""
+#: Bytes of suffixes that a range should have before front-coding, keys sampled for each range, bytes of a splitter.
+RANGE_BYTES, KEYS_A_RANGE, SPLITTER_BYTES = 16 << 20, 20, 128
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _splitters(texts: DataFrame, nodes: DataFrame, length: int, width: int, tasks: int) -> list[bytes]:
+    """Keys between ranges of suffixes, drawn anew for each level from a hashed share of the nodes, so long texts count by their nodes."""
+    total = nodes.agg(F.coalesce(F.sum(F.length("nodes")), F.lit(0)).alias("n")).first()["n"] // _NODE.itemsize
+    ranges = max(tasks, -(-total * (length + width) // RANGE_BYTES))
+    share = min(1.0, KEYS_A_RANGE * ranges / max(total, 1))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, blobs = [], []
+            for digest, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(blob, _NODE)
+                chosen = own[np.random.default_rng(int.from_bytes(digest[:8], "big")).random(len(own)) < share]
+                if len(chosen):
+                    digests.append(digest)
+                    blobs.append(chosen.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], names=["digest", "nodes"])
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             keys = []
-            for digest, packed, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                nodes, text = np.frombuffer(blob, _NODE), unpacker.decompress(packed)
-                node = nodes[int.from_bytes(digest[:8], "big") % len(nodes)]
-                begin = max(0, int(node["x"]) - int(node["high"]))
-                keys.append(text[begin : begin + 2 * length])
+            for packed, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = unpacker.decompress(packed)
+                for _, x, _, _, _, high, _, _ in np.frombuffer(blob, _NODE).tolist():
+                    begin = max(0, x - high)
+                    keys.append(text[begin : begin + SPLITTER_BYTES])
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary())})
 
-    return run
+    drawn = nodes.select("digest", "nodes").mapInArrow(draw, "digest binary, nodes binary")
+    picked = texts.join(F.broadcast(drawn), "digest").select("packed", "nodes").mapInArrow(keys_of, "key binary")
+    keys = sorted(bytes(r["key"]) for r in picked.collect())  # KEYS_A_RANGE short keys for each range
+    return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []

@@ -95,6 +95,21 @@ def test_hot_text_and_empty_table(spark):
 def test_odd_rows(odd_docs):
     rows = repeated_spans(odd_docs).collect()
     assert len(rows) == 15
+    texts = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    want = Counter((i, *map(str, w)) for (i, _), w in zip(texts, brute([(t or "").encode() for _, t in texts], 400), strict=True))
+    assert Counter((r.doc_id, str([tuple(s) for s in r.spans]), r.kept_sha256) for r in rows) == want
+
+
+def test_small_ranges_against_brute_force(spark, monkeypatch):
+    """Many more ranges than tasks, and owners told in small pieces."""
+    from binfields.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "SPLITTER_BYTES", 8)
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (40, 70)]
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 80))) + rng.choice(passages)[rng.randint(0, 9) :] for _ in range(80)]
+    check(spark, texts, 30)
 
 
 def test_anchors_do_not_depend_on_steps():
