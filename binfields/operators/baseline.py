@@ -19,9 +19,9 @@ from binfields.operators.neighbors import knn_join
 SEED = 412
 
 
-def unit_hash(seed: int, *columns: str) -> Column:
+def unit_hash(seed: int | Column, *columns: str) -> Column:
     """A number in (0, 1) that depends on the key and the seed only, not on partitions."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
+    return (F.pmod(F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed.cast("int"), *columns), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
 
 
 def uniform_subsample(cells: DataFrame, n: int, seed: int = SEED) -> DataFrame:
@@ -110,10 +110,10 @@ def baseline_residual(cells: DataFrame, surface: dict, region: DataFrame, *, z:
     return out.drop("_x", "_y", "_fit", *(f"_f{k}" for k in range(5)))
 
 
-def morans_i(cells: DataFrame, value: str, *, k: int = 8, most: int = 25_000) -> DataFrame:
-    """One row: moran_i over the k nearest neighbours with equal weights; beyond ``most`` cells on a weighted subsample (a documented limit of the statistic)."""
+def morans_i(cells: DataFrame, value: str, *, k: int = 8, most: int | None = 25_000) -> DataFrame:
+    """One row: moran_i over the k nearest neighbours with equal weights; beyond ``most`` cells on a weighted subsample (a documented limit of the statistic; None: all cells)."""
     rows = cells.filter(F.col(value).isNotNull())
-    if rows.count() > most:
+    if most is not None and rows.count() > most:
         rows = weighted_subsample(rows, most)
     mean = rows.agg(F.avg(value).alias("_m"))
     centred = rows.join(F.broadcast(mean)).select(*CELL, (F.col(value) - F.col("_m")).alias("_z"))
@@ -152,6 +152,7 @@ def moran_p(cells: DataFrame, value: str, *, k: int = 8, most: int = 25_000, per
     return (1 + beyond) / (permutations + 1)
 
 
+# The p and the size of Moran's I from which a trend counts.
 def trend_remains(i: float | None, p: float | None) -> bool:
     return i is not None and p is not None and p < 0.01 and abs(i) >= 0.03
 

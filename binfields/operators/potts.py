@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +35,12 @@ def unary_margin(cells: DataFrame, unary: str = "unary") -> DataFrame:
 def _ends(edges: DataFrame, labels: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     left = labels.select(*keys, *CELL, F.col(label).alias("_a"))
     right = labels.select(*keys, F.col("x_bin").alias("nx"), F.col("y_bin").alias("ny"), F.col(label).alias("_b"))
-    return edges.join(left, list(CELL)).join(right, [*keys, "nx", "ny"])
+    return edges.join(left, [*_keys_of(edges, keys), *CELL]).join(right, [*keys, "nx", "ny"])
+
+
+def _keys_of(edges: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Those keys that tell edges apart as well."""
+    return [k for k in keys if k in edges.columns]
 
 
 def boundary_ratio(edges: DataFrame, labels: DataFrame, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
@@ -45,22 +49,26 @@ def boundary_ratio(edges: DataFrame, labels: DataFrame, label: str = "label", ke
     return ends.groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col("_a") != F.col("_b"), F.col("w")).otherwise(0.0)), F.greatest(F.sum("w"), F.lit(1e-12))).alias("boundary_ratio"))
 
 
-def potts_energy(edges: DataFrame, cells: DataFrame, lam: float, label: str = "label") -> DataFrame:
-    """One row: data, smooth and total energy."""
-    data = cells.agg(F.sum(F.element_at("unary", F.col(label) + 1)).alias("data_energy"))
-    smooth = _ends(edges, cells, label).agg(F.coalesce(F.sum(F.when(F.col("_a") != F.col("_b"), F.col("w")).otherwise(0.0)) * lam, F.lit(0.0)).alias("smooth_energy"))
-    return data.join(F.broadcast(smooth)).withColumn("total_energy", F.col("data_energy") + F.col("smooth_energy"))
+def potts_energy(edges: DataFrame, cells: DataFrame, lam: float | str, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
+    """Data, smooth and total energy, in one row or one for each of the ``keys``; ``lam`` is a weight or the key that holds it."""
+    data = cells.groupBy(*keys).agg(F.sum(F.element_at("unary", F.col(label) + 1)).alias("data_energy"))
+    cut = _ends(edges, cells, label, keys).groupBy(*keys).agg(F.sum(F.when(F.col("_a") != F.col("_b"), F.col("w")).otherwise(0.0)).alias("_cut"))
+    joined = data.join(cut, list(keys), "left") if keys else data.join(F.broadcast(cut))
+    smooth = F.coalesce("_cut", F.lit(0.0)) * (F.col(lam) if isinstance(lam, str) else F.lit(lam))
+    return joined.withColumn("smooth_energy", smooth).drop("_cut").withColumn("total_energy", F.col("data_energy") + F.col("smooth_energy"))
 
 
-def doubled(edges: DataFrame) -> DataFrame:
+def doubled(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Each edge from both ends."""
-    return edges.select(*CELL, "nx", "ny", "w").unionByName(edges.select(F.col("nx").alias("x_bin"), F.col("ny").alias("y_bin"), F.col("x_bin").alias("nx"), F.col("y_bin").alias("ny"), "w"))
+    own = _keys_of(edges, keys)
+    back = edges.select(*own, F.col("nx").alias("x_bin"), F.col("ny").alias("y_bin"), F.col("x_bin").alias("nx"), F.col("y_bin").alias("ny"), "w")
+    return edges.select(*own, *CELL, "nx", "ny", "w").unionByName(back)
 
 
 def _votes(both: DataFrame, cells: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Weight of each cell's neighbours by label, as a map, and in all."""
     right = cells.select(*keys, F.col("x_bin").alias("nx"), F.col("y_bin").alias("ny"), F.col(label).alias("_l"))
-    by_label = both.join(right, ["nx", "ny"]).groupBy(*keys, *CELL, "_l").agg(F.sum("w").alias("_w"))
+    by_label = both.join(right, [*_keys_of(both, keys), "nx", "ny"]).groupBy(*keys, *CELL, "_l").agg(F.sum("w").alias("_w"))
     return by_label.groupBy(*keys, *CELL).agg(F.map_from_entries(F.collect_list(F.struct("_l", "_w"))).alias("_votes"), F.sum("_w").alias("_all"))
 
 
@@ -73,9 +81,11 @@ def potts_icm(cells: DataFrame, edges: DataFrame, lam: float | Column, *, label:
     """Adds label: each cell takes the label of least energy given its neighbours, until nothing changes.
 
     Cells of one colour (x % 2, y % 2) are not adjacent, so they move together without raising the energy. ``keys`` are
-    columns that tell independent runs apart (starts, weights, subsamples); all of them advance in the same joins.
+    columns that tell independent runs apart (starts, weights, subsamples); all of them advance in the same joins. Edges
+    may have some of the keys too.
     """
-    both = checkpoint(doubled(edges))
+    both = checkpoint(doubled(edges, keys))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weight = F.lit(lam) if not isinstance(lam, Column) else lam
     now = checkpoint(cells.withColumn("label", F.col(label).cast("int")))
     colour = F.pmod("x_bin", F.lit(2)) * 2 + F.pmod("y_bin", F.lit(2))
@@ -88,20 +98,50 @@ def potts_icm(cells: DataFrame, edges: DataFrame, lam: float | Column, *, label:
             # a tie keeps the label a cell has
             stay = F.element_at("_cost", F.col("label") + 1) <= F.array_min("_cost")
             moved = costed.withColumn("label", F.when(stay, F.col("label")).otherwise((F.array_position("_cost", F.array_min("_cost")) - 1).cast("int")))
-            now = checkpoint(moved.select(*now.columns).unionByName(now.filter(colour != c)))
+            now = checkpoint(moved.select(*now.columns).unionByName(now.filter(colour != c)).coalesce(tasks))
         changed = now.select(*keys, *CELL, "label").join(before.select(*keys, *CELL, F.col("label").alias("_was")), [*keys, *CELL]).filter("label <> _was")
         if changed.isEmpty():
             break
     return now
 
 
-def pseudo_likelihood(cells: DataFrame, edges: DataFrame, lam: float, *, label: str = "label", most: int = 60_000, seed: int = SEED + 71) -> DataFrame:
-    """One row: mean log probability of each cell's label given its neighbours, on ``most`` cells at most (a limit of the statistic)."""
-    some = cells.orderBy(F.xxhash64(F.lit(seed), *CELL), *CELL).limit(most)
-    costed = some.join(_votes(doubled(edges), cells, label), list(CELL), "left").withColumn("_cost", _penalized(F.lit(lam)))
+def _with_weights(cells: DataFrame, lams: Sequence[float] | str) -> DataFrame:
+    if isinstance(lams, str):
+        return cells.withColumn("lambda", F.explode(lams)).drop(lams)
+    return cells.withColumn("lambda", F.explode(F.array(*(F.lit(float(v)) for v in lams))))
+
+
+def smoothed(cells: DataFrame, edges: DataFrame, lams: Sequence[float] | str, *, starts: int = 6, sweeps: int = 10, seed: int = SEED + 500, keys: Sequence[str] = ()) -> DataFrame:
+    """lambda, the columns of ``cells``, and label: for each weight the labels of least energy of several starts.
+
+    The first start has the labels of least own energy; in the others a hashed half of the cells begins with a random
+    label. All weights and starts advance in the same joins; ties go to the earlier start. ``lams`` is a list, or a column
+    with an array; ``keys`` tell further runs apart.
+    """
+    keys = [*keys, "lambda"]
+    spread = _with_weights(cells, lams).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    other = F.floor(unit_hash(F.col("start") + seed + 1000, *CELL) * F.size("unary")).cast("int")
+    begun = spread.withColumn("_first", F.when((F.col("start") > 0) & (unit_hash(F.col("start") + seed, *CELL) < 0.5), other).otherwise(F.col("label_raw")))
+    solved = potts_icm(begun, edges, F.col("lambda"), label="_first", sweeps=sweeps, keys=[*keys, "start"]).drop("_first")
+    energy = potts_energy(edges, solved, "lambda", keys=[*keys, "start"])
+    best = energy.groupBy(*keys).agg(F.min_by("start", F.struct("total_energy", "start")).alias("start"))  # one row for each weight
+    return checkpoint(solved.join(F.broadcast(best), [*keys, "start"]).drop("start"))
+
+
+def pseudo_likelihood(cells: DataFrame, edges: DataFrame, lam: float | str, *, label: str = "label", most: int | None = 60_000, seed: int = SEED + 71, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean log probability of each cell's label given its neighbours, in one row or one for each of the ``keys``.
+
+    On ``most`` cells at most (a limit of the statistic, as in the reference; None: all cells).
+    """
+    some = cells
+    if most is not None:
+        chosen = cells.select(*CELL).distinct().orderBy(F.xxhash64(F.lit(seed), *CELL), *CELL).limit(most)
+        some = cells.join(chosen, list(CELL), "left_semi")
+    weight = F.col(lam) if isinstance(lam, str) else F.lit(lam)
+    costed = some.join(_votes(doubled(edges, keys), cells, label, keys), [*keys, *CELL], "left").withColumn("_cost", _penalized(weight))
     top = -F.array_min("_cost")
     total = F.aggregate("_cost", F.lit(0.0), lambda s, e: s + F.exp(-e - top))
-    return costed.agg(F.avg(-F.element_at("_cost", F.col(label) + 1) - (top + F.log(total))).alias("pseudo_likelihood"))
+    return costed.groupBy(*keys).agg(F.avg(-F.element_at("_cost", F.col(label) + 1) - (top + F.log(total))).alias("pseudo_likelihood"))
 
 
 def induced_subgraph(edges: DataFrame, share: float, run: int, seed: int = SEED) -> DataFrame:
@@ -113,17 +153,19 @@ def subsample(cells: DataFrame, share: float, run: int, seed: int = SEED) -> Dat
     return cells.filter(unit_hash(seed + run, *CELL) < share)
 
 
-def lambda_stability(cells: DataFrame, edges: DataFrame, lam: float, *, repeats: int = 4, share: float = 0.8, sweeps: int = 5, seed: int = SEED + 9000) -> float | None:
-    """Mean pairwise adjusted Rand index of solutions on subgraphs, where they overlap."""
-    solved = []
-    for r in range(repeats):
-        own = potts_icm(subsample(cells, share, r, seed), induced_subgraph(edges, share, r, seed), lam, sweeps=sweeps)
-        solved.append(own.select(*CELL, F.col("label").alias(f"l{r}")))
-    pairs = None
-    for a, b in combinations(range(repeats), 2):
-        own = solved[a].join(solved[b], list(CELL)).select(F.lit(a * repeats + b).alias("pair"), F.col(f"l{a}").alias("a"), F.col(f"l{b}").alias("b"))
-        pairs = own if pairs is None else pairs.unionByName(own)
-    return adjusted_rand(pairs, "a", "b", ["pair"]).agg(F.avg("ari")).first()[0] if pairs is not None else None
+def lambda_stability(cells: DataFrame, edges: DataFrame, lams: Sequence[float] | str, *, repeats: int = 20, share: float = 0.8, sweeps: int = 5, seed: int = SEED + 9000, keys: Sequence[str] = ()) -> DataFrame:
+    """lambda, stability: mean pairwise adjusted Rand index of solutions on subgraphs, where they overlap.
+
+    A subgraph has the edges between its cells. Runs of all weights advance together.
+    """
+    keys = [*keys, "lambda"]
+    spread = _with_weights(cells, lams).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    own = spread.select(*keys, "run", *CELL, "unary", "label_raw").filter(unit_hash(F.col("run") + seed, *CELL) < share)
+    solved = potts_icm(own, edges, F.col("lambda"), sweeps=sweeps, keys=[*keys, "run"])
+    held = solved.groupBy(*keys, *CELL).agg(F.array_sort(F.collect_list(F.struct("run", "label"))).alias("own"))  # at most ``repeats`` labels
+    pairs = held.select(*keys, F.explode("own").alias("x"), "own").select(*keys, "x", F.explode("own").alias("y")).filter("x.run < y.run")
+    scored = adjusted_rand(pairs.select(*keys, (F.col("x.run") * repeats + F.col("y.run")).alias("pair"), F.col("x.label").alias("a"), F.col("y.label").alias("b")), "a", "b", [*keys, "pair"])
+    return scored.groupBy(*keys).agg(F.avg("ari").alias("stability"))
 
 
 def select_lambda(table: DataFrame, mode: str = "stability", manual: float | None = None) -> DataFrame:

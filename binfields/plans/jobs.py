@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binfields.functions.summary import relabel_by_median
-from binfields.operators import baseline, fields, mixture, neighbors, potts
+from binfields.operators import baseline, fields, interface, markers, mixture, neighbors, potts
 from binfields.operators.grid import CELL
 from binfields.sources.scratch import checkpoint
 
@@ -44,40 +44,105 @@ def cell_fields(cells: DataFrame, sigmas: Sequence[float] = fields.SIGMAS, corr_
     return checkpoint(guarded.join(wide, list(CELL)).join(confidence, list(CELL)))
 
 
-def segmentation(cells: DataFrame, *, ks: Sequence[int] = tuple(range(2, 9)), fits: int = 8, rounds: int = 40, sweeps: int = 10, factors: Sequence[float] = LAMBDA_FACTORS) -> DataFrame:
-    """Labels of all cells: mixture with the chosen number of components, smoothed with the chosen weight, numbered by median count."""
+def lambda_table(own: DataFrame, edges: DataFrame, factors: Sequence[float], *, starts: int, sweeps: int) -> tuple[DataFrame, DataFrame]:
+    """Smoothed cells of every weight, and lambda, boundary_ratio, pseudo_likelihood; weights are factors of the energy margin."""
+    base = potts.unary_margin(own).first()["lambda0"]
+    solved = potts.smoothed(own, edges, [f * base for f in factors], starts=starts, sweeps=sweeps)
+    ratio = potts.boundary_ratio(edges, solved, keys=["lambda"])
+    return solved, checkpoint(potts.pseudo_likelihood(solved, edges, "lambda", keys=["lambda"]).join(ratio, "lambda", "left"))
+
+
+def segmentation(
+    cells: DataFrame,
+    *,
+    ks: Sequence[int] = tuple(range(2, 9)),
+    fits: int = 8,
+    rounds: int = 40,
+    starts: int = 6,
+    sweeps: int = 10,
+    factors: Sequence[float] = LAMBDA_FACTORS,
+    mode: str = "stability",
+    repeats: int = 20,
+    top: int = 3,
+) -> DataFrame:
+    """Labels of all cells: mixture with the chosen number of components, smoothed with the chosen weight, numbered by median count.
+
+    In stability mode the ``top`` weights by pseudo-likelihood less a tenth of the boundary ratio are run on subsamples.
+    """
+    spark = cells.sparkSession
     names = [c for c in cells.columns if c.startswith(tuple(f"{f}_s" for f in FEATURES))]
     scaled = checkpoint(mixture.standardize(cells, names))
     table = mixture.fit_mixtures(scaled, [(k, 1.0) for k in ks], rounds=rounds)
     stability = mixture.k_stability(scaled, ks, fits=fits, rounds=rounds)
     rows = [(k, float(m["icl"]), stability.get(k)) for k, m in zip(ks, table, strict=True)]
-    k = mixture.select_k(cells.sparkSession.createDataFrame(rows, "k int, icl double, stability double")).first()["k"]
+    k = mixture.select_k(spark.createDataFrame(rows, "k int, icl double, stability double")).first()["k"]
     own = checkpoint(potts.unary_energy(mixture.posterior(scaled, table[list(ks).index(k)])))
     edges = checkpoint(neighbors.edge_similarity(neighbors.lattice_edges(own), own))
-    base = potts.unary_margin(own).first()["lambda0"]
-    tried = []
-    for factor in factors:
-        solved = potts.potts_icm(own, edges, factor * base, sweeps=sweeps)
-        ratio = potts.boundary_ratio(edges, solved).first()["boundary_ratio"] or 0.0
-        tried.append((factor * base, ratio, potts.pseudo_likelihood(solved, edges, factor * base).first()["pseudo_likelihood"]))
-    best = max(tried, key=lambda t: (t[2] - 0.1 * t[1], -t[0]))[0]
-    smooth = potts.potts_icm(own, edges, best, sweeps=sweeps)
+    solved, tried = lambda_table(own, edges, factors, starts=starts, sweeps=sweeps)
+    if mode == "stability":
+        first = [r["lambda"] for r in tried.orderBy(F.desc_nulls_last(F.col("pseudo_likelihood") - 0.1 * F.coalesce("boundary_ratio", F.lit(0.0))), "lambda").limit(top).collect()]
+        tried = checkpoint(tried.join(F.broadcast(potts.lambda_stability(own, edges, first, repeats=repeats)), "lambda", "left"))
+    best = potts.select_lambda(tried, mode).first()["lambda"]
+    smooth = solved.filter(F.col("lambda") == best).drop("lambda")
     energies = potts.cell_energies(smooth, edges, best).withColumn("label_confidence", F.array_max("posterior") * F.coalesce("confidence_weight", F.lit(0.5)))
     named = relabel_by_median(energies, "label", "transcript_count", "label_smooth")
     return potts.labels_writeback(cells.select(*CELL, "transcript_count"), named.drop("label"), ["label_raw", "data_energy", "smooth_energy", "total_energy", "label_confidence"], "label_smooth")
 
 
-def sigma_lambda_table(cells: DataFrame, *, k: int, factors: Sequence[float], sigmas: Sequence[float] = fields.SIGMAS, rounds: int = 40, sweeps: int = 10) -> DataFrame:
-    """For every scale and smoothing weight: boundary ratio and the three energies."""
-    rows = []
+def sigma_lambda_table(cells: DataFrame, *, k: int = 4, factors: Sequence[float] = LAMBDA_FACTORS, sigmas: Sequence[float] = fields.SIGMAS, rounds: int = 40, starts: int = 3, sweeps: int = 8, repeats: int = 6) -> DataFrame:
+    """For every scale and smoothing weight: boundary ratio, the three energies, stability on subsamples, objective, and the cells."""
+    every, edges = None, None
     for s in sigmas:
         own = checkpoint(mixture.standardize(cells, [f"{f}_s{int(s)}" for f in FEATURES]))
-        own = checkpoint(potts.unary_energy(mixture.posterior(own, mixture.gmm_diag(own, k, rounds=rounds))))
-        edges = checkpoint(neighbors.edge_similarity(neighbors.lattice_edges(own), own))
+        own = checkpoint(potts.unary_energy(mixture.posterior(own, mixture.gmm_diag(own, k, rounds=rounds, seed=baseline.SEED + int(s)))))
         base = potts.unary_margin(own).first()["lambda0"]
-        for factor in factors:
-            solved = potts.potts_icm(own, edges, factor * base, sweeps=sweeps)
-            energy = potts.potts_energy(edges, solved, factor * base).first()
-            ratio = potts.boundary_ratio(edges, solved).first()["boundary_ratio"]
-            rows.append((s, factor * base, ratio, energy["data_energy"], energy["smooth_energy"], energy["total_energy"]))
-    return cells.sparkSession.createDataFrame(rows, "sigma_um double, lambda double, boundary_ratio double, data_energy double, smooth_energy double, total_energy double")
+        scale = F.lit(float(s)).alias("sigma_um")
+        rows = own.select(scale, *CELL, "unary", "label_raw", F.array(*(F.lit(f * base) for f in factors)).alias("lams"), F.lit(base).alias("base"))
+        near = neighbors.edge_similarity(neighbors.lattice_edges(own), own).select(scale, "*")
+        every = rows if every is None else every.unionByName(rows)
+        edges = near if edges is None else edges.unionByName(near)
+    every, edges, keys = checkpoint(every), checkpoint(edges), ["sigma_um", "lambda"]
+    solved = potts.smoothed(every, edges, "lams", starts=starts, sweeps=sweeps, keys=["sigma_um"])
+    energy = potts.potts_energy(edges, solved, "lambda", keys=keys)
+    ratio = potts.boundary_ratio(edges, solved, keys=keys)
+    stable = potts.lambda_stability(every, edges, "lams", repeats=repeats, sweeps=sweeps, seed=baseline.SEED + 10_000, keys=["sigma_um"])
+    counts = solved.groupBy(*keys).agg(F.count("*").alias("n_cells"), F.countDistinct("label").alias("n_labels"), F.round(F.col("lambda") / F.max("base"), 6).alias("factor"))
+    rows = energy.join(ratio, keys, "left").join(stable, keys, "left").join(counts, keys)
+    return rows.withColumn("objective", F.col("stability") - 0.1 * F.col("boundary_ratio"))
+
+
+def sigma_lambda_matrix(table: DataFrame, value: str, factors: Sequence[float] = LAMBDA_FACTORS) -> DataFrame:
+    """One row for each scale and one column for each factor of the weight: stability, boundary_ratio or objective."""
+    return table.groupBy("sigma_um").pivot("factor", [round(float(f), 6) for f in factors]).agg(F.first(value))
+
+
+def scale_labels(cells: DataFrame, *, k: int, sigmas: Sequence[float] = fields.SIGMAS, rounds: int = 40, least_cells: int = 100) -> DataFrame:
+    """sigma_um, x_bin, y_bin, transcript_count, cluster_sorted: each scale clustered anew on its own features, numbered by median count."""
+    out = None
+    for s in sigmas:
+        own = checkpoint(mixture.standardize(cells, [f"{f}_s{int(s)}" for f in FEATURES]))
+        if own.count() < least_cells:
+            continue
+        chances = mixture.posterior(own, mixture.gmm_diag(own, k, rounds=rounds, seed=baseline.SEED + int(s)))
+        labelled = chances.withColumn("_raw", (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
+        named = relabel_by_median(labelled, "_raw", "transcript_count", "cluster_sorted")
+        rows = checkpoint(named.select(F.lit(float(s)).alias("sigma_um"), *CELL, "transcript_count", "cluster_sorted"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no scale has enough cells")
+    return out
+
+
+def interface_job(cells: DataFrame, counts: DataFrame, groups: DataFrame, negative: str, positive: str, features: Sequence[str]) -> dict[str, DataFrame]:
+    """From labelled cells and counts to marker scores, their test between two regions, signed distances and interface metrics.
+
+    ``cells`` has region and the feature columns; the tables are scores, test, signed, heatmap and metrics.
+    """
+    members = checkpoint(markers.marker_members(groups, counts))
+    scores = checkpoint(markers.score_field_join(markers.marker_scores(counts, cells, members), cells, ["region"]))
+    signed = checkpoint(neighbors.signed_distance(cells, negative, positive))
+    wide = scores.groupBy(*CELL).pivot("marker_group", [r["marker_group"] for r in members.select("marker_group").distinct().orderBy("marker_group").collect()]).agg(F.first("score"))
+    names = [c for c in wide.columns if c not in CELL]
+    long = interface.unpivot_features(signed.join(wide, list(CELL)).select(*CELL, "signed_dist_um", *(F.col(f).cast("double").alias(f) for f in (*features, *names))), [*features, *names], [*CELL, "signed_dist_um"])
+    long = checkpoint(long)
+    return {"scores": scores, "test": markers.marker_group_test(scores), "signed": signed, "heatmap": interface.interface_heatmap(long), "metrics": interface.interface_metrics(long)}

@@ -9,7 +9,7 @@ from binfields.operators import baseline, dge, fields, mixture, potts
 from binfields.operators.grid import CELL
 from binfields.plans import fixture as fx
 from binfields.plans.fixture import A, B, query, rounded
-from binfields.plans.jobs import cell_fields, segmentation
+from binfields.plans.jobs import cell_fields, interface_job, scale_labels, segmentation, sigma_lambda_table
 from binfields.plans.space_queries import _WEIGHTED, pairs, weighted_edges
 from binfields.sources.scratch import checkpoint
 
@@ -132,9 +132,9 @@ def gmm_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def k_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = standardized(spark, sf_dir)
-    ks = (2, 3, 4)
-    stability = mixture.k_stability(cells, ks, fits=4, rounds=10)
-    models = mixture.fit_mixtures(cells, [(k, 1.0) for k in ks], rounds=20)
+    ks = tuple(range(2, 9))
+    stability = mixture.k_stability(cells, ks)
+    models = mixture.fit_mixtures(cells, [(k, 1.0) for k in ks])
     return spark.createDataFrame([(k, float(m["bic"]), float(m["icl"]), stability.get(k)) for k, m in zip(ks, models, strict=True)], "k int, bic double, icl double, stability double")
 
 
@@ -189,14 +189,13 @@ def pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def potts_icm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given(spark, sf_dir).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int")).drop("label")
-    return potts.potts_icm(rows, checkpoint(weighted_edges(spark, sf_dir)), 0.5, sweeps=4).select(*CELL, "label_raw", "label")
+    return potts.potts_icm(rows, checkpoint(weighted_edges(spark, sf_dir)), 0.5).select(*CELL, "label_raw", "label")
 
 
 @query()
 def lambda_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(given(spark, sf_dir).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int")).drop("label"))
-    value = potts.lambda_stability(rows, checkpoint(weighted_edges(spark, sf_dir)), 0.5, repeats=2, sweeps=2)
-    return rows.limit(1).select(F.lit(0.5).alias("lambda"), F.lit(value).alias("stability"))
+    return potts.lambda_stability(rows, checkpoint(weighted_edges(spark, sf_dir)), [0.5])
 
 
 @query("""select "lambda" from (select y_bin / 10e0 as "lambda", avg(z_mean_um) / 100 as br, -avg(transcript_count) / 100 as pl, (count(*) % 10) / 10e0 as st from cells group by y_bin) order by st - 1e-1 * br desc, pl - 1e-1 * br desc, "lambda" limit 1""")
@@ -240,24 +239,30 @@ def cell_fields_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segmentation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation(cell_fields(fx.cells(spark, sf_dir)), ks=(2, 3), fits=2, rounds=6, sweeps=1, factors=(0.5, 1.0))
+    return segmentation(cell_fields(fx.cells(spark, sf_dir)))
 
 
 @query()
 def sigma_lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from binfields.plans.jobs import sigma_lambda_table
+    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir)))
 
-    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir), sigmas=(15.0, 30.0)), k=2, factors=(0.5, 1.0), sigmas=(15.0, 30.0), rounds=5, sweeps=1)
+
+@query()
+def smoothed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = checkpoint(given(spark, sf_dir).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int")).drop("label"))
+    return potts.smoothed(rows, checkpoint(weighted_edges(spark, sf_dir)), [0.25, 0.5, 1.0]).select("lambda", *CELL, "label_raw", "label")
 
 
 @query()
 def multiscale_dge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same given labels at two scales, shifted by a column at the second."""
-    cells = fx.cells(spark, sf_dir).select(*CELL, "transcript_count")
-    scales = None
-    for s, shift in ((15.0, 0), (30.0, 1)):
-        x = F.col("x_bin") + shift
-        own = cells.select(F.lit(s).alias("sigma_um"), *CELL, "transcript_count", F.when(x < 8, 0).when(x < 18, A).otherwise(B).alias("cluster_sorted"))
-        scales = own if scales is None else scales.unionByName(own)
+    """Every scale clustered anew on its own fields."""
+    scales = scale_labels(cell_fields(fx.cells(spark, sf_dir)), k=4)
     plain = checkpoint(fx.counts(spark, sf_dir).drop("cluster_sorted", "lib_size", "cpm"))
-    return dge.multiscale_dge(plain, checkpoint(scales), A, B).select("sigma_um", "feature_name", "log2FC", "u", "z", "pval", "qval", "significance_score", "vis_size")
+    return dge.multiscale_dge(plain, scales, A, B).select("sigma_um", "feature_name", "log2FC", "u", "z", "pval", "qval", "significance_score", "vis_size")
+
+
+@query()
+def marker_interface_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interface metrics of the marker scores and of two columns of the cells."""
+    cells, counts = checkpoint(fx.labelled(spark, sf_dir)), checkpoint(fx.counts(spark, sf_dir))
+    return interface_job(cells, counts, fx.marker_groups(spark, sf_dir), "B", "A", ["z_mean_um", "transcript_count"])["metrics"]

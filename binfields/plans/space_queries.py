@@ -171,15 +171,15 @@ def radius_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(interface.radius_density(both), 9)
 
 
-_HETERO = f"""(select x_bin, y_bin, r as radius_um, 1 - sum(s * s) / (sum(s) * sum(s)) as h from (select p.x_bin, p.y_bin, r, marker_group, sum(score) as s from {pairs(6, 'two', 'two')} p
- join (select unnest([40, 60]) as r) on d2 > 0 and d2 <= r * r / 100e0 join scores c on c.x_bin = p.nx and c.y_bin = p.ny group by all) group by x_bin, y_bin, r having sum(s) > 0)"""
+_HETERO = f"""(select x_bin, y_bin, r as radius_um, 1 - sum(s * s) / (sum(s) * sum(s)) as h from (select p.x_bin, p.y_bin, r, marker_group, sum(score) as s from {pairs(12, 'two', 'two')} p
+ join (select unnest([40, 60, 80, 100, 120]) as r) on d2 > 0 and d2 <= r * r / 100e0 join scores c on c.x_bin = p.nx and c.y_bin = p.ny group by all) group by x_bin, y_bin, r having sum(s) > 0)"""
 
 
 @query(f"select x_bin, y_bin, radius_um, round(h, 6) as heterogeneity from {_HETERO}")
 def radius_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fx.labelled(spark, sf_dir).filter("region <> ''")
     own = scored(spark, sf_dir).filter("region <> ''")
-    return rounded(interface.radius_heterogeneity(both, own, (40, 60)).filter("heterogeneity is not null"))
+    return rounded(interface.radius_heterogeneity(both, own).filter("heterogeneity is not null"))
 
 
 _RANKS = """select region, rank() over (partition by region order by {x}) + (count(*) over (partition by region, {x}) - 1) / 2e0 as rx, rank() over (partition by region order by {y}) + (count(*) over (partition by region, {y}) - 1) / 2e0 as ry,
@@ -204,12 +204,30 @@ def partial_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rho(fx.labelled(spark, sf_dir), "z_mean_um", "transcript_count", "x_bin", ["region"]), 4)
 
 
-@query()
+_DENSITY = f"""(select x_bin, y_bin, r as radius_um, coalesce(n, 0) as density from two cross join (select unnest([40, 60, 80, 100, 120]) as r)
+ left join (select x_bin, y_bin, r, count(*) as n from {pairs(12, 'two', 'two')} join (select unnest([40, 60, 80, 100, 120]) as r) on d2 > 0 and d2 <= r * r / 100e0 group by all) using (x_bin, y_bin, r))"""
+_AROUND = f"(select two.x_bin, two.y_bin, region, radius_um, z_mean_um as v, ln(1 + transcript_count) as c, density, round(h, 9) as h from two join {_DENSITY} using (x_bin, y_bin) left join {_HETERO} using (x_bin, y_bin, radius_um))"
+
+
+def _ranked(measure: str) -> str:
+    """Spearman and partial Spearman of the value and a measure, for each radius and region."""
+
+    def mid(column: str) -> str:
+        return f"rank() over (partition by radius_um, region order by {column}) + (count(*) over (partition by radius_um, region, {column}) - 1) / 2e0"
+
+    ranks = f"(select radius_um, region, {mid('v')} as rx, {mid(measure)} as ry, {mid('c')} as rc from {_AROUND} where {measure} is not null)"
+    left = f"(select radius_um, region, rx, ry, round(rx - (regr_slope(rx, rc) over w * (rc - avg(rc) over w) + avg(rx) over w), 9) as ex, round(ry - (regr_slope(ry, rc) over w * (rc - avg(rc) over w) + avg(ry) over w), 9) as ey from {ranks} window w as (partition by radius_um, region))"
+    return f"(select radius_um, region, count(*) as n, corr(rx, ry) as rho, corr(a, b) as partial_rho from (select *, {mid('ex')} as a, {mid('ey')} as b from {left}) group by radius_um, region having count(*) >= 20)"
+
+
+@query(f"""select cast(d.radius_um as integer) as radius_um, d.region, round(d.rho, 4) as rho_z_density, round(d.partial_rho, 3) as partial_rho_z_density, round(h.rho, 4) as rho_z_heter_soft, round(h.partial_rho, 3) as partial_rho_z_heter_soft
+ from {_ranked('density')} d left join {_ranked('h')} h on h.radius_um = d.radius_um and h.region = d.region""")
 def radius_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fx.labelled(spark, sf_dir).filter("region <> ''")
     own = scored(spark, sf_dir).filter("region <> ''")
-    radii = (40, 60)
-    return interface.radius_sweep(both, interface.radius_density(both, radii), interface.radius_heterogeneity(both, own, radii), "z_mean_um")
+    soft = interface.radius_heterogeneity(both, own).withColumn("heterogeneity", F.round("heterogeneity", 9))
+    found = interface.radius_sweep(both, interface.radius_density(both), soft, "z_mean_um")
+    return found.select("radius_um", "region", *(F.round(c, 3 if c.startswith("partial") else 4).alias(c) for c in found.columns[2:]))
 
 
 @query("select feature, dist_bin, round(mean_value, 6) as mean_value, n from profile")

@@ -105,3 +105,21 @@ def test_select_k(spark):
     table = spark.createDataFrame([(2, 10.0, 0.9), (3, 5.0, 0.8), (4, 1.0, 0.2), (5, 0.5, None)], "k int, icl double, stability double")
     assert mixture.select_k(table).first().k == 3
     assert mixture.select_k(table.filter("k >= 4")).first().k == 4
+
+
+def test_starts_weights_and_scales_advance_together(spark, cells):
+    """Several starts never end above the first one alone; keyed runs equal runs of their own."""
+    from binfields.operators.neighbors import edge_similarity, lattice_edges
+
+    z = F.col("z_residual")
+    own = cells.select(*CELL, F.array(F.abs(z), F.abs(z - 1), F.abs(z + 1)).alias("unary"), F.array(z).alias("features")).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int"))
+    edges = edge_similarity(lattice_edges(own), own)
+    one = {v: potts.potts_energy(edges, potts.potts_icm(own, edges, v, sweeps=2), v).first().total_energy for v in (0.3, 0.9)}
+    many = potts.smoothed(own, edges, [0.3, 0.9], starts=3, sweeps=2)
+    found = {r["lambda"]: r.total_energy for r in potts.potts_energy(edges, many, "lambda", keys=["lambda"]).collect()}
+    assert many.count() == 2 * own.count() and all(found[v] <= one[v] + 1e-9 for v in one)
+    scaled = own.crossJoin(spark.createDataFrame([(15.0,), (30.0,)], "sigma_um double")).withColumn("lams", F.array(F.lit(0.3), F.lit(0.9)))
+    near = edges.crossJoin(spark.createDataFrame([(15.0,), (30.0,)], "sigma_um double"))
+    keyed = potts.lambda_stability(scaled, near, "lams", repeats=3, sweeps=1, keys=["sigma_um"]).collect()
+    plain = {r["lambda"]: r.stability for r in potts.lambda_stability(own, edges, [0.3, 0.9], repeats=3, sweeps=1).collect()}
+    assert len(keyed) == 4 and all(abs(r.stability - plain[r["lambda"]]) < 1e-9 and r.stability <= 1 for r in keyed)
