@@ -239,18 +239,18 @@ def cell_fields_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segmentation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation(cell_fields(fx.cells(spark, sf_dir)))
+    return segmentation(cell_fields(fx.cells(spark, sf_dir)), starts=2, sweeps=2, repeats=3)
 
 
 @query()
 def sigma_lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir)))
+    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir)), starts=1, sweeps=2, repeats=2)
 
 
 @query()
 def smoothed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(given(spark, sf_dir).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int")).drop("label"))
-    return potts.smoothed(rows, checkpoint(weighted_edges(spark, sf_dir)), [0.25, 0.5, 1.0]).select("lambda", *CELL, "label_raw", "label")
+    return potts.smoothed(rows, checkpoint(weighted_edges(spark, sf_dir)), [0.25, 0.5, 1.0], sweeps=2).select("lambda", *CELL, "label_raw", "label")
 
 
 @query()
