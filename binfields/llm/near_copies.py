@@ -38,7 +38,7 @@ from binfields.llm.simhash import fingerprint_of, keep_leaders, near_pairs, shin
 
 #: What the hot-token count keeps of a batch and in all.
 MOST_OF_BATCH, MOST_HOT = 50_000, 500_000
-#: Bits of the sketch that tells which sets a comparison needs; fuller sketches let more through, nothing is lost.
+#: Bits of the sketch that tells which texts' sets a comparison needs; fuller sketches let more through, nothing is lost.
 SKETCH_BITS = 1 << 24
 
 
@@ -79,14 +79,14 @@ def prefix(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray], near: tuple
 
 
 def _described(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """id, node, size, fingerprint, and at a node's first row in a task its parity map; at a batch's first row its hot tokens."""
+    """id, text_key, node, size, fingerprint, and at a node's first row in a task its parity map; at a batch's first row its hot tokens."""
     pairs = np.dtype([("token", "<u8"), ("n", "<i8")])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             names, sizes, prints, maps, sets = [], [], [], [], {}
-            for text in text_bytes(batch.column(1)):
+            for text in text_bytes(batch.column(2)):
                 hashes = shingle_hashes(text, shingle)
                 tokens = np.unique(hashes)
                 name = set_name(tokens)
@@ -102,12 +102,12 @@ def _described(docs: DataFrame, id_column: str, text_column: str, shingle: int)
             hot = np.zeros(len(top), pairs)
             hot["token"], hot["n"] = tokens[top], counts[top]
             blobs = [hot.tobytes() if k == 0 and len(hot) else None for k in range(len(names))]
-            arrays = [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())]
+            arrays = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
-    kinds = (("node", T.LongType()), ("size", T.IntegerType()), ("fingerprint", T.LongType()), ("parity", T.BinaryType()), ("hot", T.BinaryType()))
+    kinds = (("text_key", T.LongType()), ("node", T.LongType()), ("size", T.IntegerType()), ("fingerprint", T.LongType()), ("parity", T.BinaryType()), ("hot", T.BinaryType()))
     fields = [docs.schema[id_column], *(T.StructField(n, k) for n, k in kinds)]
-    return docs.select(id_column, text_column).mapInArrow(describe, T.StructType(fields))
+    return docs.select(id_column, F.xxhash64(text_column).alias("text_key"), text_column).mapInArrow(describe, T.StructType(fields))
 
 
 def _hot_tokens(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +165,16 @@ def _places(docs: DataFrame, text_column: str, shingle: int, near: tuple[int, in
 
 
 def _sketch(nodes: DataFrame) -> np.ndarray:
-    """One bit for each node's name, at most SKETCH_BITS / 64 rows for the driver."""
-    word = F.pmod(F.shiftright("node", 6), F.lit(SKETCH_BITS // 64))
-    found = nodes.select(word.alias("w"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    """One bit for each node's text_key, at most SKETCH_BITS / 64 rows for the driver."""
+    word = F.pmod(F.shiftright("text_key", 6), F.lit(SKETCH_BITS // 64))
+    found = nodes.select(word.alias("w"), F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(SKETCH_BITS // 64, np.uint64)
     out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return out
 
 
-def _sketched(sketch: np.ndarray, name: int) -> bool:
-    return bool(int(sketch[(name >> 6) % len(sketch)]) >> (name % 64) & 1)
+def _sketched(sketch: np.ndarray, key: int) -> bool:
+    return bool(int(sketch[(key >> 6) % len(sketch)]) >> (key % 64) & 1)
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, column: str, decide) -> DataFrame:
@@ -194,7 +194,10 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str, decide) -> DataF
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_column: str, shingle: int, near: tuple[int, int]) -> DataFrame:
-    """The pairs of nodes (a, b, and further columns) whose sets have the similarity."""
+    """The pairs of nodes (a, b, and further columns) whose sets have the similarity.
+
+    A set is made from one text of its node, the one with the smallest text_key; texts that no pair needs are not cut into words.
+    """
     p, q = near
 
     def may_be(x, y) -> bool:
@@ -206,25 +209,25 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_column:
 
     described = nodes.select("node", F.struct("size", "parity").alias("own"))
     left = checkpoint(_with_both(checkpoint(pairs), described, "own", may_be))
-    wanted = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    if left.isEmpty():
+        return left
+    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpoint(nodes.select("node", "text_key").join(ends, "node", "left_semi"))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(wanted))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             names, blobs = [], []
-            for text in text_bytes(batch.column(0)):
-                tokens = shingle_set(text, shingle)
-                name = set_name(tokens)
-                if name not in seen and _sketched(sketch.value, name):
-                    seen.add(name)
-                    names.append(name)
+            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                if key not in seen and _sketched(sketch.value, key):
+                    seen.add(key)
+                    tokens = shingle_set(text, shingle)
+                    names.append(set_name(tokens))
                     blobs.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "tokens"])
 
-    if left.isEmpty():
-        return left
-    sets = docs.select(text_column).mapInArrow(whole, "node long, tokens binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = docs.select(F.xxhash64(text_column).alias("text_key"), text_column).mapInArrow(whole, "node long, tokens binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     return _with_both(left, checkpoint(sets), "tokens", is_near)
 
 
@@ -233,7 +236,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4
     c = F.col
     marked = checkpoint(_described(docs, id_column, text_column, shingle))
     hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(marked))
-    nodes = checkpoint(marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.max("parity").alias("parity")))
+    nodes = checkpoint(marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.max("parity").alias("parity"), F.min("text_key").alias("text_key")))
 
     by_print = checkpoint(nodes.groupBy("fingerprint").agg(F.min("node").alias("node")))
     starred, _, links = near_pairs(by_print.select("fingerprint"), tau=tau)
