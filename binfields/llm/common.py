@@ -49,6 +49,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each that a task takes at ease.
+ROWS_A_TASK = 50_000
+
+
+def narrowed(df: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` (its number of rows, or a bound of it) call for, but enough for all cores.
+
+    The number of shuffle partitions fits texts; a table of graph nodes or links would be many small files there, for each
+    task of each shuffle and checkpoint.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text; null gives the empty text."""
     offsets, data = text_view(column)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binfields.llm.common import checkpoint, join_counted, text_bytes
+from binfields.llm.common import checkpoint, join_counted, narrowed, text_bytes
 from binfields.llm.components import components
 from binfields.llm.simhash import fingerprint_of, keep_leaders, near_pairs, shingle_hashes
 
@@ -40,6 +40,8 @@ from binfields.llm.simhash import fingerprint_of, keep_leaders, near_pairs, shin
 MOST_OF_BATCH, MOST_HOT = 50_000, 500_000
 #: Bits of the sketch that tells which texts' sets a comparison needs; fuller sketches let more through, nothing is lost.
 SKETCH_BITS = 1 << 24
+#: Nodes whose prefix tokens a task takes, and pairs whose whole sets it compares.
+NODES_A_TASK, SETS_A_TASK = 10_000, 5_000
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -131,8 +133,8 @@ def _hot_tokens(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _places(docs: DataFrame, text_column: str, shingle: int, near: tuple[int, int], hot) -> DataFrame:
-    """token, node, size, place of each prefix token of each node."""
+def _places(docs: DataFrame, text_column: str, shingle: int, near: tuple[int, int], hot, n: int) -> DataFrame:
+    """token, node, size, place of each prefix token of each of the ``n`` nodes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,7 +163,7 @@ def _places(docs: DataFrame, text_column: str, shingle: int, near: tuple[int, in
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = docs.select(text_column).mapInArrow(cut, "node long, size int, prefix binary").repartition(tasks, "node").dropDuplicates(["node"])
-    return checkpoint(single).mapInArrow(explode, "token long, node long, size int, place int")
+    return checkpoint(narrowed(single, n, NODES_A_TASK)).mapInArrow(explode, "token long, node long, size int, place int")
 
 
 def _sketch(nodes: DataFrame) -> np.ndarray:
@@ -177,9 +179,10 @@ def _sketched(sketch: np.ndarray, key: int) -> bool:
     return bool(int(sketch[(key >> 6) % len(sketch)]) >> (key % 64) & 1)
 
 
-def _with_both(pairs: DataFrame, table: DataFrame, column: str, decide) -> DataFrame:
-    """Rows of ``pairs`` (a, b, more) for which ``decide`` holds of their nodes' values in ``table`` (node, column)."""
-    columns = pairs.columns
+def _with_both(pairs: DataFrame, table: DataFrame, column: str, decide, each: int) -> DataFrame:
+    """Rows of ``pairs`` (a, b, more) for which ``decide`` holds of their nodes' values in ``table`` (node, column), ``each`` in a task."""
+    columns, n = pairs.columns, pairs.count()
+    pairs = narrowed(pairs, n, each)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +191,9 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str, decide) -> DataF
 
     # a node may be the hub of many: those are broadcast
     own = pairs.groupBy("b").agg(F.count("*").alias("_n"))
-    right = checkpoint(own.join(table.select(F.col("node").alias("b"), F.col(column).alias("_right")), "b"))
-    wide = join_counted(pairs, right, ["b"], "_n").join(table.select(F.col("node").alias("a"), F.col(column).alias("_left")), "a")
-    return wide.select("_left", "_right", *columns).mapInArrow(compare, pairs.schema)
+    right = checkpoint(narrowed(own.join(table.select(F.col("node").alias("b"), F.col(column).alias("_right")), "b"), n, each))
+    wide = narrowed(join_counted(pairs, right, ["b"], "_n"), n, each).join(table.select(F.col("node").alias("a"), F.col(column).alias("_left")), "a")
+    return narrowed(wide.select("_left", "_right", *columns), n, each).mapInArrow(compare, pairs.schema)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_column: str, shingle: int, near: tuple[int, int]) -> DataFrame:
@@ -208,11 +211,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_column:
         return (p + q) * len(np.intersect1d(x, y, assume_unique=True)) >= p * (len(x) + len(y))
 
     described = nodes.select("node", F.struct("size", "parity").alias("own"))
-    left = checkpoint(_with_both(checkpoint(pairs), described, "own", may_be))
-    if left.isEmpty():
+    left = checkpoint(_with_both(checkpoint(pairs), described, "own", may_be, NODES_A_TASK))
+    n = left.count()
+    if not n:
         return left
     ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    wanted = checkpoint(nodes.select("node", "text_key").join(ends, "node", "left_semi"))
+    wanted = checkpoint(narrowed(nodes.select("node", "text_key").join(ends, "node", "left_semi"), 2 * n))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(wanted))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,27 +232,34 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_column:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "tokens"])
 
     sets = docs.select(F.xxhash64(text_column).alias("text_key"), text_column).mapInArrow(whole, "node long, tokens binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    return _with_both(left, checkpoint(sets), "tokens", is_near)
+    return _with_both(left, checkpoint(narrowed(sets, 2 * n, SETS_A_TASK)), "tokens", is_near, SETS_A_TASK)
 
 
 def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4, 5), tau: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, fingerprint (name of the set), component (its smallest name) and component_id (its smallest id)."""
     c = F.col
     marked = checkpoint(_described(docs, id_column, text_column, shingle))
+    rows = marked.count()
+    marked = narrowed(marked, rows, NODES_A_TASK)
     hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(marked))
-    nodes = checkpoint(marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.max("parity").alias("parity"), F.min("text_key").alias("text_key")))
+    nodes = marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.max("parity").alias("parity"), F.min("text_key").alias("text_key"))
+    nodes = checkpoint(narrowed(nodes, rows, NODES_A_TASK))
+    n = nodes.count()
 
-    by_print = checkpoint(nodes.groupBy("fingerprint").agg(F.min("node").alias("node")))
+    by_print = checkpoint(narrowed(nodes.groupBy("fingerprint").agg(F.min("node").alias("node")), n))
     starred, _, links = near_pairs(by_print.select("fingerprint"), tau=tau)
     prints = starred.unionByName(links.select("a", "b"))
     own = by_print.select(c("fingerprint").alias("a"), c("node").alias("x"))
     other = by_print.select(c("fingerprint").alias("b"), c("node").alias("y"))
     simhash = prints.join(own, "a").join(other, "b").select(c("x").alias("a"), c("y").alias("b"))
 
-    places = _places(docs, text_column, shingle, near, hot)
-    often = checkpoint(places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = checkpoint(join_counted(places, often, ["token"], "n"))
-    hubs = checkpoint(shared.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("hub"), F.count("*").alias("n")))
+    def by_nodes(df: DataFrame) -> DataFrame:
+        return checkpoint(narrowed(df, n, NODES_A_TASK))
+
+    places = _places(docs, text_column, shingle, near, hot, n)
+    often = by_nodes(places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = by_nodes(join_counted(places, often, ["token"], "n"))
+    hubs = by_nodes(shared.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("hub"), F.count("*").alias("n")))
 
     def may_be(n, i, m, j):
         """What is left from a place on bounds the overlap, as a pair that is near passes at the first token that it shares."""
@@ -257,19 +268,19 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4
     at_hub = join_counted(shared, hubs, ["token"], "n").filter((c("node") != c("hub.node")) & may_be(c("size"), c("place"), c("hub.size"), c("hub.place")))
     candidates = at_hub.select(c("node").alias("a"), c("hub.node").alias("b")).unionByName(simhash).distinct()
     first = components(_confirmed(candidates, docs, nodes, text_column, shingle, near))
-    grouped = checkpoint(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
+    grouped = by_nodes(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
 
-    left = checkpoint(shared.join(grouped, "node"))
+    left = by_nodes(shared.join(grouped, "node"))
     mixed = left.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).filter("low < high").select("token", "n")
-    left = checkpoint(join_counted(left, checkpoint(mixed), ["token"], "n"))
+    left = by_nodes(join_counted(left, by_nodes(mixed), ["token"], "n"))
     near_enough = (c("x.group") != c("y.group")) & (c("x.node") < c("y.node")) & may_be(c("x.size"), c("x.place"), c("y.size"), c("y.place"))
     pairs = left.alias("x").join(left.alias("y"), (c("x.token") == c("y.token")) & near_enough)
     pairs = pairs.select(c("x.node").alias("a"), c("y.node").alias("b"), c("x.group").alias("a_group"), c("y.group").alias("b_group")).distinct()
     second = components(_confirmed(pairs, docs, nodes, text_column, shingle, near).select(c("a_group").alias("a"), c("b_group").alias("b")))
     merged = grouped.join(second.select(c("node").alias("group"), c("component").alias("top")), "group", "left")
-    named = checkpoint(nodes.select("node", "least", "rows").join(merged.select("node", F.coalesce("top", "group").alias("component")), "node"))
-    names = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
-    by_node = checkpoint(join_counted(named, names, ["component"], "n").select("node", "component", "component_id", "rows"))
+    named = by_nodes(nodes.select("node", "least", "rows").join(merged.select("node", F.coalesce("top", "group").alias("component")), "node"))
+    names = by_nodes(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    by_node = by_nodes(join_counted(named, names, ["component"], "n").select("node", "component", "component_id", "rows"))
     return join_counted(marked.select(id_column, "node"), by_node, ["node"], "rows").select(id_column, c("node").alias("fingerprint"), "component", "component_id")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binfields.llm.common import checkpoint, join_counted, text_bytes
+from binfields.llm.common import checkpoint, join_counted, narrowed, text_bytes
 from binfields.llm.components import components
 
 BITS = 64
@@ -215,6 +215,7 @@ def near_pairs(nodes: DataFrame, *, tau: int = 4, parts: int | None = None, most
     ``nodes`` holds distinct fingerprints. Together the links connect all that are within ``tau`` bits.
     """
     spark = nodes.sparkSession
+    nodes = narrowed(nodes, nodes.count())
     n, pairs = bit_pair_counts(nodes)
     groups = group_bits(n, pairs, parts or choose_parts(n, tau, min(most_parts, tau + 1)))
     partitions = Partitions(groups, tau)
@@ -246,12 +247,12 @@ def near_pairs(nodes: DataFrame, *, tau: int = 4, parts: int | None = None, most
                             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["part", "value", "q", "limits"])
 
     places = nodes.select("fingerprint").mapInArrow(index, "part int, value long, x long")
-    hubs = checkpoint(places.groupBy("part", "value").agg(F.min("x").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    hubs = checkpoint(narrowed(places.groupBy("part", "value").agg(F.min("x").alias("hub"), F.count("*").alias("n")).filter("n > 1"), n * len(groups)))
     starred = join_counted(places, hubs, ["part", "value"], "n").filter((F.col("x") != F.col("hub")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("hub"))) <= tau))
     starred = starred.select(F.col("x").alias("a"), F.col("hub").alias("b"))
     first = components(starred)
     known = nodes.select("fingerprint").join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    grouped = checkpoint(known.select("fingerprint", F.coalesce("component", "fingerprint").alias("group")))
+    grouped = checkpoint(narrowed(known.select("fingerprint", F.coalesce("component", "fingerprint").alias("group")), n))
 
     wide = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("q", T.LongType()), T.StructField("limits", T.LongType())])
 
@@ -298,11 +299,13 @@ def find_components(nodes: DataFrame, **options) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, tau: int = 4, shingle: int = 4, parts: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, fingerprint (signed long), component (its smallest fingerprint) and component_id (its smallest id)."""
     marked = checkpoint(fingerprints(docs, shingle=shingle, id_column=id_column, text_column=text_column))
-    nodes = checkpoint(marked.groupBy("fingerprint").agg(F.min(id_column).alias("least"), F.count("*").alias("rows")))
+    rows = marked.count()
+    marked = narrowed(marked, rows)
+    nodes = checkpoint(narrowed(marked.groupBy("fingerprint").agg(F.min(id_column).alias("least"), F.count("*").alias("rows")), rows))
     found = find_components(nodes, tau=tau, parts=parts)
-    named = checkpoint(nodes.join(found, "fingerprint"))
-    names = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
-    by_node = checkpoint(join_counted(named, names, ["component"], "n").select("fingerprint", "component", "component_id", "rows"))
+    named = checkpoint(narrowed(nodes.join(found, "fingerprint"), rows))
+    names = checkpoint(narrowed(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), rows))
+    by_node = checkpoint(narrowed(join_counted(named, names, ["component"], "n").select("fingerprint", "component", "component_id", "rows"), rows))
     return join_counted(marked, by_node, ["fingerprint"], "rows").select(id_column, "fingerprint", "component", "component_id")
 
 
@@ -318,10 +321,12 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 def keep_leaders(docs: DataFrame, marked: DataFrame, name_of: Callable[[bytes], int], *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component in ``marked``; ``name_of`` gives a text's (signed) fingerprint there."""
     marked = checkpoint(marked)
+    n = marked.count()
+    marked = narrowed(marked, n)
     leaders = marked.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
     kept = leaders.groupBy("component").agg(F.min(F.struct(F.col(id_column).alias("id"), "fingerprint")).alias("kept")).select("kept.*")
     rows_of_id = marked.groupBy(F.col(id_column).alias("id")).agg(F.count("*").alias("rows"))
-    kept = checkpoint(kept.join(rows_of_id, kept["id"].eqNullSafe(rows_of_id["id"])).select(kept["id"].alias("_id"), F.col("fingerprint").alias("_fingerprint"), "rows"))
+    kept = checkpoint(narrowed(kept.join(rows_of_id, kept["id"].eqNullSafe(rows_of_id["id"])).select(kept["id"].alias("_id"), F.col("fingerprint").alias("_fingerprint"), "rows"), n))
     single = docs.join(kept.filter("rows = 1 and _id is not null").select("_id"), F.col(id_column) == F.col("_id"), "left_semi")
     # ids with several rows are told apart by their fingerprints
     several = kept.filter("rows > 1 or _id is null").select("_id", "_fingerprint")
