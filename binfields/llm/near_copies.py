@@ -14,7 +14,8 @@ join finds the links that it can't see. Every link is decided by the whole sets;
    boilerplate seldom stands in a prefix; it bears on the time only. Nodes that share a prefix token are candidates with
    the token's smallest node.
 4. Candidates that sizes, places and parity maps leave are decided by the whole sets, and make groups. Tokens whose nodes
-   are then not yet in one group have the pairs of different groups compared in the same way.
+   are then not yet in one group have the pairs of different groups compared in the same way,
+   but a pair leaves the join on the token only if parity maps of FOLD_BITS bits allow it.
 
 Defined cases: null, empty and wordless texts have the empty set and are copies of each other; a text of fewer words
 than a shingle is one shingle; rows with a null id belong to their component but never name it; repeated rows keep
@@ -40,6 +41,8 @@ from binfields.llm.simhash import fingerprint_of, keep_leaders, near_pairs, shin
 MOST_OF_BATCH, MOST_HOT = 50_000, 500_000
 #: Bits of the sketch that tells which texts' sets a comparison needs; fuller sketches let more through, nothing is lost.
 SKETCH_BITS = 1 << 24
+#: Bits of the parity map that the join on tokens itself compares.
+FOLD_BITS = 512
 #: Nodes whose prefix tokens a task takes, and pairs whose whole sets it compares.
 NODES_A_TASK, SETS_A_TASK = 10_000, 5_000
 
@@ -62,6 +65,12 @@ def parity_map(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def fold_of(tokens: np.ndarray) -> list[int]:
+    """The parity map of FOLD_BITS bits, as signed 64-bit numbers."""
+    odd = np.bincount((tokens & np.uint64(FOLD_BITS - 1)).astype(np.int64), minlength=FOLD_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 def parity_distance(a: bytes, b: bytes) -> int:
     """Bits that differ after the longer map is folded to the shorter one's width: at most the tokens that differ."""
     x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
@@ -81,13 +90,13 @@ def prefix(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray], near: tuple
 
 
 def _described(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """id, text_key, node, size, fingerprint, and at a node's first row in a task its parity map; at a batch's first row its hot tokens."""
+    """id, text_key, node, size, fingerprint, and at a node's first row in a task its parity map and fold; at a batch's first row its hot tokens."""
     pairs = np.dtype([("token", "<u8"), ("n", "<i8")])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            names, sizes, prints, maps, sets = [], [], [], [], {}
+            names, sizes, prints, maps, folds, sets = [], [], [], [], [], {}
             for text in text_bytes(batch.column(2)):
                 hashes = shingle_hashes(text, shingle)
                 tokens = np.unique(hashes)
@@ -96,6 +105,7 @@ def _described(docs: DataFrame, id_column: str, text_column: str, shingle: int)
                 sizes.append(len(tokens))
                 prints.append(int(np.uint64(fingerprint_of(hashes)).astype(np.int64)))
                 maps.append(None if name in seen else parity_map(tokens))
+                folds.append(None if name in seen else fold_of(tokens))
                 seen.add(name)
                 sets[name] = tokens
             tokens, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, "<u8")]), return_counts=True)
@@ -104,10 +114,10 @@ def _described(docs: DataFrame, id_column: str, text_column: str, shingle: int)
             hot = np.zeros(len(top), pairs)
             hot["token"], hot["n"] = tokens[top], counts[top]
             blobs = [hot.tobytes() if k == 0 and len(hot) else None for k in range(len(names))]
-            arrays = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())]
+            arrays = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
-    kinds = (("text_key", T.LongType()), ("node", T.LongType()), ("size", T.IntegerType()), ("fingerprint", T.LongType()), ("parity", T.BinaryType()), ("hot", T.BinaryType()))
+    kinds = (("text_key", T.LongType()), ("node", T.LongType()), ("size", T.IntegerType()), ("fingerprint", T.LongType()), ("parity", T.BinaryType()), ("fold", T.ArrayType(T.LongType())), ("hot", T.BinaryType()))
     fields = [docs.schema[id_column], *(T.StructField(n, k) for n, k in kinds)]
     return docs.select(id_column, F.xxhash64(text_column).alias("text_key"), text_column).mapInArrow(describe, T.StructType(fields))
 
@@ -242,7 +252,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4
     rows = marked.count()
     marked = narrowed(marked, rows, NODES_A_TASK)
     hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(marked))
-    nodes = marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.max("parity").alias("parity"), F.min("text_key").alias("text_key"))
+    nodes = marked.groupBy("node").agg(F.min(id_column).alias("least"), F.count("*").alias("rows"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.max("parity").alias("parity"), F.max("fold").alias("fold"), F.min("text_key").alias("text_key"))
     nodes = checkpoint(narrowed(nodes, rows, NODES_A_TASK))
     n = nodes.count()
 
@@ -272,8 +282,10 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, near: tuple[int, int] = (4
 
     left = by_nodes(shared.join(grouped, "node"))
     mixed = left.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).filter("low < high").select("token", "n")
-    left = by_nodes(join_counted(left, by_nodes(mixed), ["token"], "n"))
-    near_enough = (c("x.group") != c("y.group")) & (c("x.node") < c("y.node")) & may_be(c("x.size"), c("x.place"), c("y.size"), c("y.place"))
+    left = by_nodes(join_counted(left, by_nodes(mixed), ["token"], "n").join(nodes.select("node", "fold"), "node"))
+    differ = sum((F.bit_count(c("x.fold")[k].bitwiseXOR(c("y.fold")[k])) for k in range(FOLD_BITS // 64)), F.lit(0))
+    maps_allow = differ * (near[0] + near[1]) <= (c("x.size") + c("y.size")) * (near[1] - near[0])
+    near_enough = (c("x.group") != c("y.group")) & (c("x.node") < c("y.node")) & may_be(c("x.size"), c("x.place"), c("y.size"), c("y.place")) & maps_allow
     pairs = left.alias("x").join(left.alias("y"), (c("x.token") == c("y.token")) & near_enough)
     pairs = pairs.select(c("x.node").alias("a"), c("y.node").alias("b"), c("x.group").alias("a_group"), c("y.group").alias("b_group")).distinct()
     second = components(_confirmed(pairs, docs, nodes, text_column, shingle, near).select(c("a_group").alias("a"), c("b_group").alias("b")))
