@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binfields.llm.common import table
+from binfields.llm import lexical
+from binfields.llm.clustering import cluster_vectors
+from binfields.llm.common import checkpoint, table
 from binfields.llm.decontamination import find_contamination, is_contaminated
 from binfields.llm.license_scan import licenses, scan_licenses
 from binfields.llm.line_dedup import dedup_lines
+from binfields.llm.neighbours import nearest_neighbours
 from binfields.llm.packing import pack_documents
 from binfields.llm.quality import score_quality
 from binfields.llm.simhash import near_duplicates
@@ -98,6 +101,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = checkpoint(lexical.build_index(table(spark, sf_dir, "documents")))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    told = F.sha2(F.concat_ws(",", F.transform("centroid", lambda x: x.cast("string"))), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", told.alias("centroid_sha256"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -109,9 +127,60 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
+
+def _lloyd_sql(rounds: int = 5) -> str:
+    """Rounds of assignment and update, one pair of common tables for each."""
+    gap = "cast(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (
+    select n, v, vec_id, cluster, distance from (select p.n, p.v, p.vec_id, c.cluster, {gap} as distance from kept p, c{r} c)
+    qualify row_number() over (partition by n order by distance, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} as materialized (
+    select cluster, list((s - ((s % m) + m) % m) // m order by place) as v
+    from (select cluster, place, cast(sum(x) as bigint) as s, count(*) as m from (select cluster, unnest(range(64)) as place, unnest(v) as x from a{r}) group by cluster, place)
+    group by cluster union all select cluster, v from c{r} where cluster not in (select cluster from a{r}))""")
+    return ",\n".join(steps)
+
+
 ORACLE_SQL = {
+    "op11_lexical_search": r"""
+with doc_terms as (
+    select row_number() over () as k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10ffff}]+') as w
+    from documents),
+sizes as (select k, doc_id, len(w) as n from doc_terms where len(w) > 0),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as terms from sizes),
+item_terms as (
+    select distinct q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10ffff}]+')) as term
+    from (select row_number() over () as q, * from benchmark)),
+postings as (
+    select k, term, count(*) as tf from (select k, unnest(w) as term from doc_terms) where term in (select term from item_terms) group by k, term),
+weights as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as weight from postings, totals group by term, docs),
+scored as (
+    select q, item_id, doc_id, k, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as bigint) as score
+    from item_terms join weights using (term) join postings using (term) join sizes using (k), totals group by q, item_id, doc_id, k)
+select item_id, cast(row_number() over w as integer) as rank, doc_id, score from scored where score > 0
+window w as (partition by q order by score desc, doc_id) qualify row_number() over w <= 10
+""",
+    "op12_centroid_clustering": f"""
+with kept as materialized (
+    select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+    select cast(row_number() over (order by sha256('2:' || cast(vec_id as varchar)), v) - 1 as integer) as cluster, v from kept
+    qualify row_number() over (order by sha256('2:' || cast(vec_id as varchar)), v) <= 40),
+{_lloyd_sql()}
+select vec_id, a5.cluster, distance, cast(sum(distance) over (partition by a5.cluster) as bigint) as cluster_inertia,
+       cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c5.v, ',')) as centroid_sha256
+from a5 join c5 on a5.cluster = c5.cluster
+""",
     "op8_exact_top_k": """
 with fine as (
     select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
