@@ -216,13 +216,13 @@ def nearest_neighbours(
     asked = vectors.withColumnRenamed("id", id_column).filter(is_query).withColumnRenamed(id_column, "id").distinct()
     asked = checkpoint(asked)
     tasks = index.count()
-    blocks = index.groupBy(F.lit(0).alias("one")).agg(F.collect_list("block").alias("blocks"))  # one number for each block
+    routed = index.withColumn("route", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int")).repartition(tasks, "route")
 
     def found(queries: DataFrame, reach: int) -> DataFrame:
-        # groups go to the blocks, which are larger
+        # every group goes to every route, and so to every block; blocks are larger and stay
         grouped = _groups(queries.coalesce(max(1, -(-queries.count() // group))), width, group)
-        sent = grouped.withColumn("one", F.lit(0)).join(blocks, "one").select(F.explode("blocks").alias("block"), "q_ids", "q_floats")
-        cells = sent.repartition(tasks, "block").join(index.repartition(tasks, "block"), "block").select("q_ids", "q_floats", "ids", "codes", "orders", "floats")
+        sent = grouped.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("route"), "q_ids", "q_floats")
+        cells = sent.repartition(tasks, "route").join(routed, "route").select("q_ids", "q_floats", "ids", "codes", "orders", "floats")
         local = cells.mapInArrow(_answer(codes, width, parts, reach, k), "query_id long, id long, d2 double")
         nearest = local.groupBy("query_id", "id").agg(F.min("d2").alias("d2"))
         ranked = nearest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id")))
