@@ -137,9 +137,9 @@ def partial_spearman(rows: DataFrame, x: str, y: str, covariate: str, groups: Se
     return again.groupBy(*groups).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("_a", "_b")).alias(name))
 
 
-def adjusted_rand(rows: DataFrame, a: str, b: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Adjusted Rand index of two labelings of the same rows: the pair table is all that is aggregated."""
-    cells = rows.groupBy(*groups, a, b).agg(F.count("*").alias("n"))
+def adjusted_rand(rows: DataFrame, a: str, b: str, groups: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """Adjusted Rand index of two labelings of the same rows: the pair table is all that is aggregated. ``n``: how many rows a row counts for."""
+    cells = rows.groupBy(*groups, a, b).agg((F.count("*") if n is None else F.sum(n)).alias("n"))
 
     def pairs(x):
         return F.sum(x * (x - 1) / 2)

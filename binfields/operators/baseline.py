@@ -24,14 +24,20 @@ def unit_hash(seed: int | Column, *columns: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed.cast("int"), *columns), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
 
 
+def shared_hash(seed: int, *columns: str) -> Column:
+    """Like ``unit_hash``, from 52 bits of the md5 of seed and key, which other SQL engines have too."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
+    return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+
+
 def uniform_subsample(cells: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     """n rows without replacement."""
-    return cells.orderBy(F.xxhash64(F.lit(seed), *CELL), *CELL).limit(n)
+    return cells.orderBy(shared_hash(seed, *CELL), *CELL).limit(n)
 
 
 def weighted_subsample(cells: DataFrame, n: int, weight: str = "transcript_count", seed: int = SEED) -> DataFrame:
     """n rows without replacement, likelier with more weight (Efraimidis and Spirakis: the n smallest -ln(u) / w)."""
-    return cells.filter(F.col(weight) > 0).orderBy(-F.log(unit_hash(seed, *CELL)) / F.col(weight), *CELL).limit(n)
+    return cells.filter(F.col(weight) > 0).orderBy(-F.log(shared_hash(seed, *CELL)) / F.col(weight), *CELL).limit(n)
 
 
 def fit_region(density: DataFrame, *, column: str = "rho", q: float = 0.6, least: int = 50, most_added: int = 5000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from binfields.functions.scalar import distance_bin
 from binfields.functions.summary import cohens_d
 from binfields.operators.grid import BIN_SIZE_UM, CELL
 from binfields.operators.markers import two_sided
-from binfields.operators.neighbors import radius_join
+from binfields.operators.neighbors import with_halo
 
 # Radii and distance windows.
 RADII = (40, 60, 80, 100, 120)
@@ -24,22 +26,79 @@ def in_window(d: Column, window: tuple[float, float]) -> Column:
     return d.between(*window)
 
 
-def radius_density(cells: DataFrame, radii: Sequence[int] = RADII, size: float = BIN_SIZE_UM) -> DataFrame:
-    """x_bin, y_bin, radius_um, density: other cells within each radius over its area; one join at the largest radius."""
-    near = radius_join(cells, cells.select(*CELL), max(radii), size).filter("d2 > 0")
-    counted = near.groupBy(*CELL).agg(*(F.count_if(F.col("d2") <= (r / size) ** 2).alias(f"n{r}") for r in radii))
-    every = cells.select(*CELL).join(counted, list(CELL), "left").na.fill(0)
-    rows = F.array(*(F.struct(F.lit(r).alias("radius_um"), (F.col(f"n{r}") / (math.pi * r * r)).alias("density")) for r in radii))
-    return every.select(*CELL, F.inline(rows))
+def _disc_sums(raster: np.ndarray, radius: float, halo: int) -> np.ndarray:
+    """Sums over the disc of ``radius`` bins around each inner place of rasters (.., x, y): an interval of each row, by prefix sums."""
+    n, m = raster.shape[-2] - 2 * halo, raster.shape[-1] - 2 * halo
+    below = np.concatenate([np.zeros((*raster.shape[:-1], 1), raster.dtype), np.cumsum(raster, axis=-1)], axis=-1)
+    out = np.zeros((*raster.shape[:-2], n, m), raster.dtype)
+    for dx in range(-int(radius), int(radius) + 1):
+        half = math.isqrt(int(radius * radius - dx * dx + 1e-9))
+        rows = below[..., halo + dx : halo + dx + n, :]
+        out += rows[..., halo + half + 1 : halo + half + 1 + m] - rows[..., halo - half : halo - half + m]
+    return out
 
 
-def radius_heterogeneity(cells: DataFrame, scores: DataFrame, radii: Sequence[int] = RADII, size: float = BIN_SIZE_UM) -> DataFrame:
-    """x_bin, y_bin, radius_um, heterogeneity = 1 - sum of squared shares of the neighbours' scores by group; null without any score."""
-    near = radius_join(cells, scores.select(*CELL, "marker_group", "score"), max(radii), size).filter("d2 > 0")
-    sums = near.groupBy(*CELL, "marker_group").agg(*(F.sum(F.when(F.col("d2") <= (r / size) ** 2, F.col("score"))).alias(f"s{r}") for r in radii))
-    rows = F.array(*(F.struct(F.lit(r).alias("radius_um"), F.coalesce(f"s{r}", F.lit(0.0)).alias("s")) for r in radii))
-    long = sums.select(*CELL, F.inline(rows)).groupBy(*CELL, "radius_um").agg(F.sum("s").alias("t"), F.sum(F.col("s") * F.col("s")).alias("q"))
-    return long.select(*CELL, "radius_um", F.when(F.col("t") > 0, 1 - F.col("q") / (F.col("t") * F.col("t"))).alias("heterogeneity"))
+def _by_tile(rows: DataFrame, radii: Sequence[int], size: float, tile_bins: int):
+    """Cells by tile with the halo of the largest radius: a cell is copied about twice, not to each neighbour."""
+    return with_halo(rows, tile_bins, int(max(radii) // size)).groupBy("tile_x", "tile_y")
+
+
+def _inner(key: tuple, tile: pa.Table, halo: int, bins: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], pa.Table]:
+    """Places of all cells in a raster with the halo, of core cells in one without, and the core cells."""
+    core = tile.column("core").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+    at = tuple(tile.column(c).combine_chunks().to_numpy().astype(np.int64) - k.as_py() * bins for c, k in zip(CELL, key, strict=True))
+    return tuple(a + halo for a in at), tuple(a[core] for a in at), tile.filter(pa.array(core))
+
+
+def radius_density(cells: DataFrame, radii: Sequence[int] = RADII, size: float = BIN_SIZE_UM, tile_bins: int = 64) -> DataFrame:
+    """x_bin, y_bin, radius_um, density: other cells within each radius over its area."""
+    halo, radii = int(max(radii) // size), tuple(radii)
+
+    def count(key: tuple, tile: pa.Table) -> pa.Table:
+        at, inner, core = _inner(key, tile, halo, tile_bins)
+        there = np.zeros((tile_bins + 2 * halo,) * 2, np.int64)
+        there[at] = 1
+        parts = [pa.table({"x_bin": core.column("x_bin"), "y_bin": core.column("y_bin"), "radius_um": pa.array(np.full(len(core), r, np.int32)), "density": pa.array((_disc_sums(there, r / size, halo)[inner] - 1) / (math.pi * r * r))}) for r in radii]
+        return pa.concat_tables(parts)
+
+    return _by_tile(cells.select(*CELL), radii, size, tile_bins).applyInArrow(count, "x_bin int, y_bin int, radius_um int, density double")
+
+
+def radius_heterogeneity(cells: DataFrame, scores: DataFrame, radii: Sequence[int] = RADII, size: float = BIN_SIZE_UM, tile_bins: int = 64) -> DataFrame:
+    """x_bin, y_bin, radius_um, heterogeneity = 1 - sum of squared shares of the neighbours' scores by group; null without any score.
+
+    Cells without a scored neighbour in the largest radius have no row.
+    """
+    halo, radii = int(max(radii) // size), tuple(radii)
+    names = [r["marker_group"] for r in scores.select("marker_group").distinct().orderBy("marker_group").collect()]  # a panel of groups
+    places = F.array(*(F.coalesce(F.max(F.when(F.col("marker_group") == n, F.col("score").cast("double"))), F.lit(0.0)) for n in names)) if names else F.array().cast("array<double>")
+    by_cell = scores.filter(F.col("marker_group").isNotNull()).groupBy(*CELL).agg(places.alias("own"))
+    rows = cells.select(*CELL).withColumn("asked", F.lit(True)).join(by_cell, list(CELL), "full")
+
+    def mix(key: tuple, tile: pa.Table) -> pa.Table:
+        at, inner, core = _inner(key, tile, halo, tile_bins)
+        scored, shape = tile.column("own").combine_chunks().is_valid().to_numpy(zero_copy_only=False), (tile_bins + 2 * halo,) * 2
+        there, values = np.zeros(shape, np.int64), np.zeros((len(names), *shape))
+        place = tuple(a[scored] for a in at)
+        there[place] = 1
+        if len(names):
+            values[:, place[0], place[1]] = tile.column("own").combine_chunks().drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names)).T
+        asked = core.column("asked").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+        here = there[tuple(a + halo for a in inner)]
+        asked &= _disc_sums(there, max(radii) / size, halo)[inner] - here > 0
+        own, centre = tuple(a[asked] for a in inner), tuple(a[asked] + halo for a in inner)
+        parts = []
+        for r in radii:
+            # whole numbers tell where nothing was added, as differences of sums may leave a rest
+            filled = _disc_sums((values != 0).astype(np.int64), r / size, halo)[:, own[0], own[1]] - (values != 0)[:, centre[0], centre[1]]
+            sums = np.where(filled > 0, _disc_sums(values, r / size, halo)[:, own[0], own[1]] - values[:, centre[0], centre[1]], 0.0)
+            total = sums.sum(0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mixed = 1 - (sums * sums).sum(0) / (total * total)
+            parts.append(pa.table({"x_bin": core.column("x_bin").filter(pa.array(asked)), "y_bin": core.column("y_bin").filter(pa.array(asked)), "radius_um": pa.array(np.full(len(total), r, np.int32)), "heterogeneity": pa.array(mixed, mask=~(total > 0))}))
+        return pa.concat_tables(parts)
+
+    return _by_tile(rows, radii, size, tile_bins).applyInArrow(mix, "x_bin int, y_bin int, radius_um int, heterogeneity double")
 
 
 def radius_sweep(cells: DataFrame, density: DataFrame, heterogeneity: DataFrame, value: str, region: str = "region") -> DataFrame:

@@ -5,6 +5,10 @@ Cells sit on integer bins, so "within r" is dx*dx + dy*dy <= (r / bin)**2 and ev
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +39,108 @@ def radius_join(cells: DataFrame, others: DataFrame, radius: float, size: float
     return around.join(renamed, ["nx", "ny"])
 
 
+# Widths of the count pyramid grow by this many bits from level to level.
+_LEVEL_BITS = 3
+
+
+def _count_pyramid(points: DataFrame, boxes: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """level, bx, by, n: points in each bucket that has any, and the highest level, whose buckets are as wide as all points and boxes.
+
+    Buckets of level j are 2 ** (bits + 3 j) bins wide, so all levels together are little more than the first.
+    """
+    corners = points.select("x", "y").unionByName(boxes.select(F.col("x0").alias("x"), F.col("y0").alias("y")))
+    box = corners.agg(*(F.coalesce(F.max(a) - F.min(a), F.lit(0)).alias(a) for a in ("x", "y"))).first()
+    top = 0
+    while 2 ** (bits + _LEVEL_BITS * top) <= max(box["x"], box["y"]):
+        top += 1
+    first = checkpoint(points.groupBy(F.shiftright("x", bits).alias("bx"), F.shiftright("y", bits).alias("by")).agg(F.count("*").alias("n")))
+    levels = first.select(F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"), "bx", "by", "n")
+    for a in ("bx", "by"):
+        levels = levels.withColumn(a, F.expr(f"shiftright({a}, {_LEVEL_BITS} * level)"))
+    return checkpoint(levels.groupBy("level", "bx", "by").agg(F.sum("n").alias("n"))), top
+
+
+def _gaps(a: str, low: Column, high: Column) -> tuple[Column, Column]:
+    """Least and greatest distance along one axis between a box (a0 to a1) and the bins from ``low`` to ``high``."""
+    least = F.greatest(low - F.col(f"{a}1"), F.col(f"{a}0") - high, F.lit(0).cast("long"))
+    return least, F.greatest(F.abs(high - F.col(f"{a}0")), F.abs(F.col(f"{a}1") - low))
+
+
+def _with_gaps(rows: DataFrame, low: tuple[Column, Column], width: Column) -> DataFrame:
+    """Adds near2 and far2, squared distances between the box and the bucket that begins at ``low``."""
+    (nx, fx), (ny, fy) = (_gaps(a, at, at + width - 1) for a, at in zip("xy", low, strict=True))
+    return rows.withColumns({"near2": nx * nx + ny * ny, "far2": fx * fx + fy * fy})
+
+
+def _hopeful(rows: DataFrame, ids: Sequence[str], k: Column) -> DataFrame:
+    """Buckets that may hold one of the ``k`` points nearest to any bin of the box: not beyond the distance that surely has as many."""
+    own = Window.partitionBy(*ids)
+    counted = rows.withColumn("_sure", F.sum("n").over(own.orderBy("far2")))
+    limit = F.min(F.when(F.col("_sure") >= k, F.col("far2"))).over(own)
+    return counted.withColumn("_limit", limit).filter(F.col("near2") <= F.col("_limit")).drop("_sure", "_limit")
+
+
+def points_near_boxes(boxes: DataFrame, points: DataFrame, k: int, bits: int) -> DataFrame:
+    """tx, ty, px, py, near2, far2: for each box of 2 ** bits bins (tx, ty) the points among which are the k nearest ones of each of its bins.
+
+    ``points`` (x, y) are distinct. Each box starts at the smallest level of a count pyramid whose buckets around it hold k
+    points, so no empty space is searched however wide it is, and goes down level by level, keeping the buckets that are
+    not farther than k points surely are. Every step is an equi-join on buckets.
+    """
+    points = checkpoint(points.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))
+    wanted = F.lit(min(k, points.count()))
+    spans = {f"{a}{e}": F.shiftleft(F.col(f"t{a}").cast("long"), bits) + (2**bits - 1) * e for a in "xy" for e in (0, 1)}
+    boxes = checkpoint(boxes.select(F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty")).withColumns(spans))
+    pyramid, top = _count_pyramid(points, boxes, bits)
+    ids = ["tx", "ty", "x0", "x1", "y0", "y1"]
+
+    def around(rows: DataFrame, reach: int) -> DataFrame:
+        """The buckets of the row's level around the box."""
+        steps = [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]
+        spread = rows.select("*", F.inline(offsets(steps)))
+        return spread.withColumns({"bx": F.expr(f"shiftright(tx, {_LEVEL_BITS} * level)") + F.col("dx"), "by": F.expr(f"shiftright(ty, {_LEVEL_BITS} * level)") + F.col("dy")}).drop("dx", "dy")
+
+    tried = around(boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))), 1).join(pyramid, ["level", "bx", "by"])
+    enough = tried.groupBy(*ids, "level").agg(F.sum("n").alias("n")).filter(F.col("n") >= wanted)
+    begun = checkpoint(enough.groupBy(*ids).agg(F.min("level").alias("level")))
+    highest = begun.agg(F.max("level").alias("m")).first()["m"]
+    frontier = None
+    for level in range(-1 if highest is None else highest, -1, -1):
+        width = 2 ** (bits + _LEVEL_BITS * level)
+        # points beyond the three buckets around are farther than those inside surely are
+        start = around(begun.filter(F.col("level") == level), 3).join(pyramid.filter(F.col("level") == level).drop("level"), ["bx", "by"]).select(*ids, "bx", "by", "n")
+        rows = start if frontier is None else frontier.unionByName(start)
+        kept = checkpoint(_hopeful(_with_gaps(rows, (F.col("bx") * width, F.col("by") * width), F.lit(width)), ids, wanted).select(*ids, "bx", "by"))
+        if level:
+            down = pyramid.filter(F.col("level") == level - 1).select("bx", "by", "n")
+            inner = down.withColumns({"_px": F.shiftright("bx", _LEVEL_BITS), "_py": F.shiftright("by", _LEVEL_BITS)})
+            frontier = kept.withColumnsRenamed({"bx": "_px", "by": "_py"}).join(inner, ["_px", "_py"]).select(*ids, "bx", "by", "n")
+        else:
+            inner = points.withColumns({"bx": F.shiftright("x", bits), "by": F.shiftright("y", bits), "n": F.lit(1).cast("long")})
+            met = _with_gaps(kept.join(inner, ["bx", "by"]), (F.col("x"), F.col("y")), F.lit(1))
+            return _hopeful(met, ids, wanted).select("tx", "ty", F.col("x").alias("px"), F.col("y").alias("py"), "near2", "far2")
+    return boxes.select("tx", "ty", *(F.lit(0).cast("long").alias(c) for c in ("px", "py", "near2", "far2"))).limit(0)
+
+
 def knn_join(cells: DataFrame, k: int = 8, first_reach: int = 3) -> DataFrame:
     """The k nearest other cells: x_bin, y_bin, nx, ny, d2, rank. Ties go by nx, ny.
 
-    A cell with k neighbours inside the disc is settled, as all others are farther; the rest try a disc twice as wide.
+    A cell with k neighbours inside a small disc is settled, as all others are farther; the rest go to the level of a
+    count pyramid that holds enough cells (``points_near_boxes``), however far these are.
     """
     cells = checkpoint(cells.select(*CELL))
-    total = cells.count()
-    open_, out, reach = cells, None, first_reach
     by_distance = Window.partitionBy(*CELL).orderBy("d2", "nx", "ny")
-    while True:
-        near = radius_join(open_, cells, reach, 1.0).filter("d2 > 0")
-        ranked = near.withColumn("rank", F.row_number().over(by_distance)).withColumn("_n", F.count("*").over(Window.partitionBy(*CELL)))
-        wanted = min(k, total - 1)
-        settled = checkpoint(ranked.filter((F.col("rank") <= k) & (F.col("_n") >= wanted)).drop("_n"))
-        out = settled if out is None else out.unionByName(settled)
-        open_ = open_.join(settled.select(*CELL).distinct(), list(CELL), "left_anti")
-        if wanted <= 0 or open_.isEmpty():
-            return out
-        reach *= 2
+    near = radius_join(cells, cells, first_reach, 1.0).filter("d2 > 0").withColumn("d2", F.col("d2").cast("long"))
+    ranked = near.withColumn("rank", F.row_number().over(by_distance)).withColumn("_n", F.count("*").over(Window.partitionBy(*CELL)))
+    settled = checkpoint(ranked.filter((F.col("rank") <= k) & (F.col("_n") >= k)).drop("_n"))
+    open_ = checkpoint(cells.join(settled.filter("rank = 1").select(*CELL), list(CELL), "left_anti"))
+    if open_.isEmpty():
+        return settled
+    names = dict(zip(CELL, ("tx", "ty"), strict=True))
+    # a box of one bin; its own cell is the nearest of k + 1
+    found = points_near_boxes(open_.withColumnsRenamed(names), cells.withColumnsRenamed({"x_bin": "x", "y_bin": "y"}), k + 1, 0).filter("near2 > 0")
+    far = found.select(*(F.col(t).cast("int").alias(c) for c, t in names.items()), F.col("px").cast("int").alias("nx"), F.col("py").cast("int").alias("ny"), F.col("near2").alias("d2"))
+    return settled.unionByName(far.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k))
 
 
 def lattice_edges(cells: DataFrame, connectivity: int = 8) -> DataFrame:
@@ -82,28 +169,39 @@ def boundary_cells(cells: DataFrame, region: str = "region", radius: float = 30.
     return cells.join(mixed.select(*CELL), list(CELL), "left_semi")
 
 
-def nearest_boundary(cells: DataFrame, boundary: DataFrame, first_reach: int = 8, most_rounds: int = 24) -> DataFrame:
-    """x_bin, y_bin, d2: squared distance (in bins) to the nearest boundary cell.
-
-    Cells look into the nine buckets around them; a distance up to the bucket width is final, and only cells without
-    one go on to buckets twice as wide. Boundaries are lines, so a bucket holds few of their cells.
+def _tile_distances(cells: pa.Table, ends: pa.Table) -> pa.Table:
+    """Squared distance of each cell of a tile to the nearest of ``ends``: within each column first, then across columns."""
+    x, y = (cells.column(c).to_numpy().astype(np.int64) for c in CELL)
+    bx, by = (ends.column(c).to_numpy().astype(np.int64) for c in ("px", "py"))
+    out = np.full(len(x), np.iinfo(np.int64).max)
+    if len(x) and len(bx):
+        order = np.argsort(bx, kind="stable")
+        columns, begin = np.unique(bx[order], return_index=True)
+        rows, row = np.unique(y, return_inverse=True)
+        gap = np.minimum.reduceat((by[order][:, None] - rows) ** 2, begin, axis=0)
+        places, place = np.unique(x, return_inverse=True)
+        best = np.full((len(places), len(rows)), np.iinfo(np.int64).max)
+        for some in range(0, len(columns), 64):
+            across = (places[:, None] - columns[some : some + 64]) ** 2
+            best = np.minimum(best, (across[:, :, None] + gap[some : some + 64]).min(1))
+        out = best[place, row]
+    return pa.table({"x_bin": cells.column("x_bin"), "y_bin": cells.column("y_bin"), "d2": pa.array(out)})
+
+
+def nearest_boundary(cells: DataFrame, boundary: DataFrame, tile_bits: int = 6) -> DataFrame:
+    """x_bin, y_bin, d2: squared distance (in bins) to the nearest boundary cell; null without any.
+
+    Tiles of 2 ** tile_bits bins find the boundary cells that any of their cells may be nearest to
+    (``points_near_boxes``); inside a tile the distance is separable, the nearest row of each boundary column first, then the
+    nearest column, so the work follows the cells and not the distance.
     """
-    ends = checkpoint(boundary.select(F.col("x_bin").alias("_bx"), F.col("y_bin").alias("_by")))
-    open_, out, reach = checkpoint(cells.select(*CELL)), None, first_reach
-    around = offsets([(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    ends = checkpoint(boundary.select(F.col("x_bin").alias("x"), F.col("y_bin").alias("y")).distinct())
     if ends.isEmpty():
-        return open_.select(*CELL, F.lit(None).cast("long").alias("d2"))
-    for _ in range(most_rounds):
-        spread = open_.select(*CELL, F.inline(around)).select(*CELL, (F.floor(F.col("x_bin") / reach) + F.col("dx")).alias("_tx"), (F.floor(F.col("y_bin") / reach) + F.col("dy")).alias("_ty"))
-        held = ends.select("*", F.floor(F.col("_bx") / reach).alias("_tx"), F.floor(F.col("_by") / reach).alias("_ty"))
-        dx, dy = F.col("x_bin").cast("long") - F.col("_bx"), F.col("y_bin").cast("long") - F.col("_by")
-        best = checkpoint(spread.join(held, ["_tx", "_ty"]).groupBy(*CELL).agg(F.min(dx * dx + dy * dy).alias("d2")).filter(F.col("d2") <= reach * reach))
-        out = best if out is None else out.unionByName(best)
-        open_ = checkpoint(open_.join(best.select(*CELL), list(CELL), "left_anti"))
-        if open_.isEmpty():
-            return out
-        reach *= 2
-    raise RuntimeError(f"cells without a boundary cell within {reach} bins after {most_rounds} rounds")
+        return cells.select(*CELL, F.lit(None).cast("long").alias("d2"))
+    tiles = {t: F.shiftright(c, tile_bits).cast("long") for t, c in zip(("tx", "ty"), CELL, strict=True)}
+    placed = cells.select(*CELL).withColumns(tiles)
+    near = points_near_boxes(placed.select("tx", "ty").distinct(), ends, 1, tile_bits).select("tx", "ty", "px", "py")
+    return placed.groupBy("tx", "ty").cogroup(near.groupBy("tx", "ty")).applyInArrow(_tile_distances, "x_bin int, y_bin int, d2 long")
 
 
 def signed_distance(cells: DataFrame, negative: str, positive: str, *, region: str = "region", radius: float = 30.0, size: float = BIN_SIZE_UM) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Potts smoothing of labels over the lattice: energies, neighbour votes, iterated conditional modes in four colours."""
+"""Potts smoothing of labels over the lattice: energies, neighbour votes, runs with several starts, choice of the weight."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binfields.functions.ranks import adjusted_rand
 from binfields.functions.summary import global_quantile
-from binfields.operators.baseline import SEED, unit_hash
+from binfields.operators.baseline import SEED, shared_hash, unit_hash
 from binfields.operators.grid import CELL
+from binfields.operators.smoothing import TILE_BINS, TileRuns, pair_tables
 from binfields.sources.scratch import checkpoint
 
 
@@ -77,55 +79,64 @@ def _penalized(lam: Column) -> Column:
     return F.transform("unary", lambda u, k: u + lam * (F.coalesce("_all", F.lit(0.0)) - F.coalesce(F.try_element_at("_votes", k.cast("int")), F.lit(0.0))))
 
 
-def potts_icm(cells: DataFrame, edges: DataFrame, lam: float | Column, *, label: str = "label_raw", sweeps: int = 10, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds label: each cell takes the label of least energy given its neighbours, until nothing changes.
+def _solved(cells: DataFrame, edges: DataFrame, labels: Column, weights: Mapping[tuple, Sequence[float]], sweeps: int, keys: Sequence[str], tile_bins: int) -> TileRuns:
+    """Runs that begin with ``labels``, an array with one label for each run."""
+    state = TileRuns(cells.select(*keys, *CELL, "unary", labels.alias("labels")), edges, weights, keys=keys, edge_keys=_keys_of(edges, keys), tile_bins=tile_bins)
+    return state.run(sweeps)
 
-    Cells of one colour (x % 2, y % 2) are not adjacent, so they move together without raising the energy. ``keys`` are
-    columns that tell independent runs apart (starts, weights, subsamples); all of them advance in the same joins. Edges
-    may have some of the keys too.
-    """
-    both = checkpoint(doubled(edges, keys))
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weight = F.lit(lam) if not isinstance(lam, Column) else lam
-    now = checkpoint(cells.withColumn("label", F.col(label).cast("int")))
-    colour = F.pmod("x_bin", F.lit(2)) * 2 + F.pmod("y_bin", F.lit(2))
-    for _ in range(sweeps):
-        before = now
-        for c in range(4):
-            movers = now.filter(colour == c)
-            votes = _votes(both.join(movers.select(*CELL).distinct(), list(CELL), "left_semi"), now, "label", keys)
-            costed = movers.join(votes, [*keys, *CELL], "left").withColumn("_cost", _penalized(weight))
-            # a tie keeps the label a cell has
-            stay = F.element_at("_cost", F.col("label") + 1) <= F.array_min("_cost")
-            moved = costed.withColumn("label", F.when(stay, F.col("label")).otherwise((F.array_position("_cost", F.array_min("_cost")) - 1).cast("int")))
-            now = checkpoint(moved.select(*now.columns).unionByName(now.filter(colour != c)).coalesce(tasks))
-        changed = now.select(*keys, *CELL, "label").join(before.select(*keys, *CELL, F.col("label").alias("_was")), [*keys, *CELL]).filter("label <> _was")
-        if changed.isEmpty():
-            break
-    return now
-
-
-def _with_weights(cells: DataFrame, lams: Sequence[float] | str) -> DataFrame:
-    if isinstance(lams, str):
-        return cells.withColumn("lambda", F.explode(lams)).drop(lams)
-    return cells.withColumn("lambda", F.explode(F.array(*(F.lit(float(v)) for v in lams))))
-
-
-def smoothed(cells: DataFrame, edges: DataFrame, lams: Sequence[float] | str, *, starts: int = 6, sweeps: int = 10, seed: int = SEED + 500, keys: Sequence[str] = ()) -> DataFrame:
+
+def potts_icm(cells: DataFrame, edges: DataFrame, lam: float, *, label: str = "label_raw", sweeps: int = 10, tile_bins: int = TILE_BINS) -> DataFrame:
+    """Adds label: each cell takes the label of least energy given its neighbours, until nothing changes (see ``smoothing``)."""
+    state = _solved(cells, edges, F.array(F.col(label)), {(): [lam]}, sweeps, (), tile_bins)
+    return cells.drop("label").join(state.cells().select(*CELL, F.col("labels")[0].alias("label")), list(CELL))
+
+
+def _weights(cells: DataFrame, lams: Sequence[float] | str, keys: Sequence[str]) -> dict[tuple, list[float]]:
+    """Weights by key values: one list for all, or a column that holds the list of each key value."""
+    if not isinstance(lams, str):
+        every = cells.select(*keys).distinct().collect() if keys else [()]  # keys are few: scales
+        return {tuple(r): [float(v) for v in lams] for r in every}
+    return {tuple(r)[:-1]: [float(v) for v in r[lams]] for r in cells.select(*keys, lams).distinct().collect()}
+
+
+def _start_labels(n: int, seed: int, run: Column | int = 0) -> list[Column]:
+    """The label of least own energy for the first start; in the others a hashed half of the cells begins with a random label."""
+    out = [F.col("label_raw").cast("int")]
+    for start in range(1, n):
+        here = (F.lit(run) if isinstance(run, int) else run) * 100 + start
+        other = F.floor(unit_hash(here + seed + 1000, *CELL) * F.size("unary")).cast("int")
+        out.append(F.when(unit_hash(here + seed, *CELL) < 0.5, other).otherwise(F.col("label_raw").cast("int")))
+    return out
+
+
+def _best_runs(state: TileRuns, weights: Mapping[tuple, Sequence[float]], starts: int) -> dict[tuple, list[int]]:
+    """For each group of ``starts`` consecutive runs the one of least energy (the earlier one on a tie), by key values."""
+    energy: dict[tuple, dict[int, float]] = {}
+    for r in state.energies().collect():  # a row for each run
+        key = tuple(r[k] for k in state.keys)
+        energy.setdefault(key, {})[r["run"]] = r["data_energy"] + weights[key][r["run"]] * r["cut"]
+    return {key: [min(range(g, g + starts), key=lambda n: (own[n], n)) for g in range(0, len(own), starts)] for key, own in energy.items()}
+
+
+def smoothed(cells: DataFrame, edges: DataFrame, lams: Sequence[float] | str, *, starts: int = 6, sweeps: int = 10, seed: int = SEED + 500, keys: Sequence[str] = (), tile_bins: int = TILE_BINS) -> DataFrame:
     """lambda, the columns of ``cells``, and label: for each weight the labels of least energy of several starts.
 
     The first start has the labels of least own energy; in the others a hashed half of the cells begins with a random
-    label. All weights and starts advance in the same joins; ties go to the earlier start. ``lams`` is a list, or a column
-    with an array; ``keys`` tell further runs apart.
+    label. All weights and starts are runs of the same tiles; ties go to the earlier start. ``lams`` is a list, or a column
+    with an array; ``keys`` tell further lattices apart.
     """
-    keys = [*keys, "lambda"]
-    spread = _with_weights(cells, lams).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-    other = F.floor(unit_hash(F.col("start") + seed + 1000, *CELL) * F.size("unary")).cast("int")
-    begun = spread.withColumn("_first", F.when((F.col("start") > 0) & (unit_hash(F.col("start") + seed, *CELL) < 0.5), other).otherwise(F.col("label_raw")))
-    solved = potts_icm(begun, edges, F.col("lambda"), label="_first", sweeps=sweeps, keys=[*keys, "start"]).drop("_first")
-    energy = potts_energy(edges, solved, "lambda", keys=[*keys, "start"])
-    best = energy.groupBy(*keys).agg(F.min_by("start", F.struct("total_energy", "start")).alias("start"))  # one row for each weight
-    return checkpoint(solved.join(F.broadcast(best), [*keys, "start"]).drop("start"))
+    cells = checkpoint(cells)
+    own = _weights(cells, lams, keys)
+    runs = {key: [v for v in values for _ in range(starts)] for key, values in own.items()}
+    # every weight has the same starts; lists of the same length for all keys
+    n = max(len(v) for v in own.values()) if own else 0
+    state = _solved(cells, edges, F.array(*(c for _ in range(n) for c in _start_labels(starts, seed))), runs, sweeps, keys, tile_bins)
+    picked = [(*key, float(lam), run) for key, best in _best_runs(state, runs, starts).items() for lam, run in zip(own[key], best, strict=True)]
+    schema = T.StructType([*(cells.schema[k] for k in keys), T.StructField("lambda", T.DoubleType()), T.StructField("_run", T.IntegerType())])
+    best = F.broadcast(cells.sparkSession.createDataFrame(picked, schema))  # one row for each weight
+    labels = state.cells()
+    chosen = (labels.join(best, list(keys)) if keys else labels.join(best)).select(*keys, "lambda", *CELL, F.element_at("labels", F.col("_run") + 1).alias("label"))
+    return checkpoint(cells.drop("label", *([lams] if isinstance(lams, str) else [])).join(chosen, [*keys, *CELL]))
 
 
 def pseudo_likelihood(cells: DataFrame, edges: DataFrame, lam: float | str, *, label: str = "label", most: int | None = 60_000, seed: int = SEED + 71, keys: Sequence[str] = ()) -> DataFrame:
@@ -146,26 +157,35 @@ def pseudo_likelihood(cells: DataFrame, edges: DataFrame, lam: float | str, *, l
 
 def induced_subgraph(edges: DataFrame, share: float, run: int, seed: int = SEED) -> DataFrame:
     """Edges with both ends in the hashed subsample of a run: a condition on each end, no join."""
-    return edges.filter((unit_hash(seed + run, "x_bin", "y_bin") < share) & (unit_hash(seed + run, "nx", "ny") < share))
+    return edges.filter((shared_hash(seed + run, "x_bin", "y_bin") < share) & (shared_hash(seed + run, "nx", "ny") < share))
 
 
 def subsample(cells: DataFrame, share: float, run: int, seed: int = SEED) -> DataFrame:
-    return cells.filter(unit_hash(seed + run, *CELL) < share)
+    return cells.filter(shared_hash(seed + run, *CELL) < share)
 
 
-def lambda_stability(cells: DataFrame, edges: DataFrame, lams: Sequence[float] | str, *, repeats: int = 20, share: float = 0.8, sweeps: int = 5, seed: int = SEED + 9000, keys: Sequence[str] = ()) -> DataFrame:
+def lambda_stability(cells: DataFrame, edges: DataFrame, lams: Sequence[float] | str, *, repeats: int = 20, share: float = 0.8, starts: int = 2, sweeps: int = 8, seed: int = SEED + 9000, keys: Sequence[str] = (), tile_bins: int = TILE_BINS) -> DataFrame:
     """lambda, stability: mean pairwise adjusted Rand index of solutions on subgraphs, where they overlap.
 
-    A subgraph has the edges between its cells. Runs of all weights advance together.
+    A subgraph has the edges between its cells. Runs of all weights are runs of the same tiles; of the starts of a
+    subgraph the one of least energy counts.
     """
-    keys = [*keys, "lambda"]
-    spread = _with_weights(cells, lams).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    own = spread.select(*keys, "run", *CELL, "unary", "label_raw").filter(unit_hash(F.col("run") + seed, *CELL) < share)
-    solved = potts_icm(own, edges, F.col("lambda"), sweeps=sweeps, keys=[*keys, "run"])
-    held = solved.groupBy(*keys, *CELL).agg(F.array_sort(F.collect_list(F.struct("run", "label"))).alias("own"))  # at most ``repeats`` labels
-    pairs = held.select(*keys, F.explode("own").alias("x"), "own").select(*keys, "x", F.explode("own").alias("y")).filter("x.run < y.run")
-    scored = adjusted_rand(pairs.select(*keys, (F.col("x.run") * repeats + F.col("y.run")).alias("pair"), F.col("x.label").alias("a"), F.col("y.label").alias("b")), "a", "b", [*keys, "pair"])
-    return scored.groupBy(*keys).agg(F.avg("ari").alias("stability"))
+    cells = checkpoint(cells)
+    own = _weights(cells, lams, keys)
+    runs = {key: [v for v in values for _ in range(repeats * starts)] for key, values in own.items()}
+    n = max(len(v) for v in own.values()) if own else 0
+    begun = [F.when(shared_hash(seed + r, *CELL) < share, c).otherwise(-1) for r in range(repeats) for c in _start_labels(starts, seed + 500, r)]
+    # made once for all weights
+    once = checkpoint(cells.select(*keys, *CELL, "unary", F.array(*begun).alias("_begun")))
+    state = _solved(once, edges, F.flatten(F.array_repeat("_begun", n)), runs, sweeps, keys, tile_bins)
+    best = _best_runs(state, runs, starts)
+    groups = {key: [best[key][g * repeats : (g + 1) * repeats] for g in range(len(values))] for key, values in own.items() if key in best}
+    k = once.agg(F.max(F.size("unary")).alias("k")).first()["k"]
+    pairs = pair_tables(state.cells(), keys, groups, k or 1)
+    scored = adjusted_rand(pairs, "a", "b", [*keys, "group", "pair"], n="n").groupBy(*keys, "group").agg(F.avg("ari").alias("stability"))
+    named = [(*key, g, float(lam)) for key, values in own.items() for g, lam in enumerate(values)]
+    schema = T.StructType([*(cells.schema[c] for c in keys), T.StructField("group", T.IntegerType()), T.StructField("lambda", T.DoubleType())])
+    return F.broadcast(cells.sparkSession.createDataFrame(named, schema)).join(scored, [*keys, "group"]).select(*keys, "lambda", "stability")
 
 
 def select_lambda(table: DataFrame, mode: str = "stability", manual: float | None = None) -> DataFrame:

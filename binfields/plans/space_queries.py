@@ -42,7 +42,7 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select x_bin, y_bin, nx, ny, d2, cast(r as integer) as rank from (select *, row_number() over (partition by x_bin, y_bin order by d2, nx, ny) as r from {pairs(12)} where d2 > 0) where r <= 8")
 def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.knn_join(fx.cells(spark, sf_dir)).select(*CELL, "nx", "ny", "d2", "rank")
+    return neighbors.knn_join(fx.cells(spark, sf_dir)).select(*CELL, "nx", "ny", F.col("d2").cast("int").alias("d2"), "rank")
 
 
 _EDGES = "(select a.x_bin, a.y_bin, b.x_bin as nx, b.y_bin as ny, abs(a.z_mean_um - b.z_mean_um) as d from cells a join cells b on (b.x_bin - a.x_bin, b.y_bin - a.y_bin) in ((1, 0), (0, 1), (1, 1), (1, -1)))"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from binfields.operators import baseline, fields, mixture, potts
+from binfields.operators import baseline, fields, mixture, potts, smoothing
 from binfields.operators.grid import CELL
 
 
@@ -90,15 +90,74 @@ def test_mixture_finds_two_groups(cells):
         mixture.standardize(cells, ["z_residual"], forbidden=["z_residual"])
 
 
-def test_smoothing_never_raises_the_energy(spark, cells):
+@pytest.fixture(scope="module")
+def lattice(spark, cells):
+    """Cells with three energies, and their weighted edges."""
     from binfields.operators.neighbors import edge_similarity, lattice_edges
 
     z = F.col("z_residual")
-    own = cells.select(*CELL, F.array(F.abs(z), F.abs(z - 1)).alias("unary"), F.array(z).alias("features")).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int"))
-    edges = edge_similarity(lattice_edges(own), own)
-    before = potts.potts_energy(edges, own.withColumn("label", F.col("label_raw")), 0.5).first().total_energy
-    after = potts.potts_energy(edges, potts.potts_icm(own, edges, 0.5, sweeps=2), 0.5).first().total_energy
-    assert after <= before + 1e-9
+    own = cells.select(*CELL, F.array(F.abs(z), F.abs(z - 1), F.abs(z + 1)).alias("unary"), F.array(z).alias("features")).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int"))
+    return own.cache(), edge_similarity(lattice_edges(own), own).cache()
+
+
+@pytest.mark.parametrize("bins", [4, 8, 64])
+def test_smoothing_never_raises_the_energy(lattice, bins):
+    """Each move lowers it, over tile borders as inside; at the end no cell has a better label."""
+    own, edges = lattice
+    unary = {(r.x_bin, r.y_bin): r.unary for r in own.collect()}
+    near = {c: [] for c in unary}
+    for r in edges.collect():
+        near[r.x_bin, r.y_bin].append(((r.nx, r.ny), r.w))
+        near[r.nx, r.ny].append(((r.x_bin, r.y_bin), r.w))
+
+    def energy(labels, lam):
+        cut = sum(w for c in near for d, w in near[c] if labels[c] != labels[d]) / 2
+        return sum(unary[c][k] for c, k in labels.items()) + lam * cut
+
+    weights, last = [0.2, 0.5, 1.5], None
+    begun = own.select(*CELL, "unary", F.array(*["label_raw"] * 3).alias("labels"))
+    state = smoothing.TileRuns(begun, edges, {(): weights}, tile_bins=bins)
+    for _ in range(6):
+        rows = {(r.x_bin, r.y_bin): r.labels for r in state.cells().collect()}
+        assert rows.keys() == unary.keys()
+        now = [energy({c: v[n] for c, v in rows.items()}, lam) for n, lam in enumerate(weights)]
+        assert last is None or all(a <= b + 1e-9 for a, b in zip(now, last, strict=True))
+        told = {r.run: r.data_energy + weights[r.run] * r.cut for r in state.energies().collect()}
+        assert [told[n] for n in range(3)] == pytest.approx(now)
+        last = now
+        state.run(1, 1)
+    final = {(r.x_bin, r.y_bin): r.labels for r in state.run(20).cells().collect()}
+    for n, lam in enumerate(weights):
+        for c, own_energy in unary.items():
+            cost = [u + lam * sum(w for d, w in near[c] if final[d][n] != k) for k, u in enumerate(own_energy)]
+            assert cost[final[c][n]] <= min(cost) + 1e-9
+    assert any(final[c][2] != final[c][0] for c in final)
+
+
+def test_tiles_agree_with_one_tile_on_what_runs_leave_out(lattice):
+    own, edges = lattice
+    half = F.when(F.pmod("x_bin", F.lit(5)) == 0, -1).otherwise(F.col("label_raw"))
+    begun = own.select(*CELL, "unary", F.array(half, F.col("label_raw")).alias("labels"))
+    for bins in (6, 64):
+        rows = smoothing.TileRuns(begun, edges, {(): [0.7, 0.7]}, tile_bins=bins).run(8).cells().collect()
+        assert all((r.labels[0] == -1) == (r.x_bin % 5 == 0) and r.labels[1] >= 0 for r in rows)
+
+
+def test_pair_tables_count_every_pair_of_runs(spark):
+    rng = np.random.default_rng(3)
+    labels = rng.integers(-1, 3, (200, 4))
+    rows = spark.createDataFrame([(float(i % 2), r.tolist()) for i, r in enumerate(labels)], "s double, labels array<int>").repartition(3)
+    found = {(r.s, r.group, r.pair, r.a, r.b): r.n for r in smoothing.pair_tables(rows, ["s"], {(0.0,): [[0, 1, 3]], (1.0,): [[2, 3], [0, 1]]}, 3).collect()}
+    want = {}
+    for i, r in enumerate(labels):
+        for g, runs in enumerate([[0, 1, 3]] if i % 2 == 0 else [[2, 3], [0, 1]]):
+            for p in range(len(runs)):
+                for q in range(p + 1, len(runs)):
+                    a, b = int(r[runs[p]]), int(r[runs[q]])
+                    if a >= 0 and b >= 0:
+                        key = (float(i % 2), g, p * len(runs) + q, a, b)
+                        want[key] = want.get(key, 0) + 1
+    assert found == want
 
 
 def test_select_k(spark):
@@ -107,13 +166,9 @@ def test_select_k(spark):
     assert mixture.select_k(table.filter("k >= 4")).first().k == 4
 
 
-def test_starts_weights_and_scales_advance_together(spark, cells):
+def test_starts_weights_and_scales_advance_together(spark, lattice):
     """Several starts never end above the first one alone; keyed runs equal runs of their own."""
-    from binfields.operators.neighbors import edge_similarity, lattice_edges
-
-    z = F.col("z_residual")
-    own = cells.select(*CELL, F.array(F.abs(z), F.abs(z - 1), F.abs(z + 1)).alias("unary"), F.array(z).alias("features")).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int"))
-    edges = edge_similarity(lattice_edges(own), own)
+    own, edges = lattice
     one = {v: potts.potts_energy(edges, potts.potts_icm(own, edges, v, sweeps=2), v).first().total_energy for v in (0.3, 0.9)}
     many = potts.smoothed(own, edges, [0.3, 0.9], starts=3, sweeps=2)
     found = {r["lambda"]: r.total_energy for r in potts.potts_energy(edges, many, "lambda", keys=["lambda"]).collect()}
@@ -123,3 +178,6 @@ def test_starts_weights_and_scales_advance_together(spark, cells):
     keyed = potts.lambda_stability(scaled, near, "lams", repeats=3, sweeps=1, keys=["sigma_um"]).collect()
     plain = {r["lambda"]: r.stability for r in potts.lambda_stability(own, edges, [0.3, 0.9], repeats=3, sweeps=1).collect()}
     assert len(keyed) == 4 and all(abs(r.stability - plain[r["lambda"]]) < 1e-9 and r.stability <= 1 for r in keyed)
+    smooth = potts.smoothed(scaled, near, "lams", starts=3, sweeps=2, keys=["sigma_um"])
+    apart = potts.potts_energy(near, smooth, "lambda", keys=["sigma_um", "lambda"]).collect()
+    assert len(apart) == 4 and all(r.total_energy == pytest.approx(found[r["lambda"]]) for r in apart)
