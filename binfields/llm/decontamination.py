@@ -6,8 +6,9 @@ word that equals such a token proposes an alignment; the positional bound says w
 where, the length bound drops those that don't fit into the document, and comparing words in both directions from the
 aligned token verifies them exactly. Neighbouring windows with the same rarest token are verified together.
 
-The item index is broadcast only if the benchmark has ``max_local_words`` words at most. A larger benchmark is joined
-with the documents on prefix tokens by a shuffle, and each document is verified against its own candidates.
+The item index is broadcast only if the benchmark has ``max_local_words`` words and ``max_local_bytes`` bytes at most,
+which take a few hundred MB. A larger benchmark is joined with the documents on prefix tokens by a shuffle, hot tokens
+salted, and each document is verified against its own candidates, some at a time.
 
 Defined cases: null or wordless texts have no words and are never contaminated; items with a null id, null text or no
 words take no part; repeated rows keep their own results; an empty table gives an empty result; clashing columns of the
@@ -18,14 +19,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binfields.llm.common import WORD_BYTES, text_bytes
+from binfields.llm.common import HOT_ONE_IN, WORD_BYTES, checkpoint, text_bytes
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -75,13 +76,17 @@ class ItemIndex:
                 if b - a >= size:
                     spans.append((a + shift, b + shift))
                     found.add(k)
-        merged: list[tuple[int, int]] = []
-        for begin, end in sorted(spans):
-            if merged and begin <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-            else:
-                merged.append((begin, end))
-        return merged, sorted(found)
+        return _merged(spans), sorted(found)
+
+
+def _merged(spans: Iterable[Sequence[int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(map(tuple, spans)):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((begin, end))
+    return out
 
 
 def word_counts(docs: DataFrame, wanted: frozenset[bytes] | None, text_column: str = "text") -> DataFrame:
@@ -102,6 +107,8 @@ def word_counts(docs: DataFrame, wanted: frozenset[bytes] | None, text_column: s
     return docs.select(text_column).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: Between words of a lower-cased text.
+_NO_WORD = "[^0-9a-z\u0080-\U0010ffff]+"
 _ADDED = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.ArrayType(T.LongType())))]
 
 
@@ -126,7 +133,8 @@ def find_contamination(
     item_column: str = "item_id",
     item_text_column: str = "text",
     keep_columns: tuple[str, ...] = (),
-    max_local_words: int = 5_000_000,
+    max_local_words: int = 500_000,
+    max_local_bytes: int = 8_000_000,
 ) -> DataFrame:
     """id, kept columns, n_words, n_hit, item_ids (sorted strings), spans (begin and end word of each hit run)."""
     items = benchmark.filter(F.col(item_column).isNotNull() & F.col(item_text_column).isNotNull()).select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).alias("item_text"))
@@ -135,10 +143,11 @@ def find_contamination(
     fields = [docs.schema[c] for c in columns]
     names = [*columns, *(n for n, _ in _ADDED)]
     schema = T.StructType([*fields, *(T.StructField(n, kind) for n, kind in _ADDED)])
-    size = items.agg(F.coalesce(F.sum(F.size(F.split("item_text", "[^0-9a-z\u0080-\U0010ffff]+"))), F.lit(0)).alias("n")).first()["n"]
-    if size > max_local_words:
+    words = F.size(F.array_remove(F.split(_lowered(F.col("item_text")), _NO_WORD), ""))
+    size = items.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("words", words), ("bytes", F.octet_length("item_text") + F.octet_length("item"))))).first()
+    if size["words"] > max_local_words or size["bytes"] > max_local_bytes:
         return _by_join(own, items, window, columns, names, schema)
-    texts = [(r["item"], r["item_text"].encode()) for r in items.collect()]  # max_local_words at most
+    texts = [(r["item"], r["item_text"].encode()) for r in items.collect()]  # max_local_words and max_local_bytes at most
     vocabulary = frozenset(w for _, text in texts for w in words_of(text))
     context = docs.sparkSession.sparkContext
     counts = {bytes(r["word"]): r["n"] for r in word_counts(own, vocabulary, "_text").collect()}  # a row for each benchmark word
@@ -159,30 +168,52 @@ def _matches(index: ItemIndex, texts: Iterable[bytes]) -> Iterator[tuple[int, li
         yield len(words), spans, [index.texts[k][0] for k in found]
 
 
+#: Salts of a hot token, and candidates of a document that are verified in one row.
+_SALTS, _CANDIDATES = 32, 64
+
+
 def _by_join(own: DataFrame, items: DataFrame, window: int, columns: list[str], names: list[str], schema: T.StructType) -> DataFrame:
     """For a benchmark of any size: the prefix tokens meet the words of documents in a join."""
-    counts = word_counts(own, None, "_text")
+    counts = checkpoint(word_counts(own, None, "_text").select(F.col("word").cast("string").alias("token"), F.col("n").alias("seen")))
     items = items.distinct().withColumn("row", F.sha2(F.concat(F.length("item").cast("string"), F.lit(":"), "item", "item_text"), 256))  # an id may have several texts
-    placed = items.withColumn("item_words", F.array_remove(F.split(_lowered(F.col("item_text")), "[^0-9a-z\u0080-\U0010ffff]+"), ""))
+    placed = items.withColumn("item_words", F.array_remove(F.split(_lowered(F.col("item_text")), _NO_WORD), ""))
     tokens = placed.select("row", F.posexplode("item_words").alias("place", "token"), F.size("item_words").alias("n"))
-    counted = tokens.join(counts.select(F.col("word").cast("string").alias("token"), F.col("n").alias("seen")), "token", "left").na.fill({"seen": 0})
+    counted = tokens.join(counts, "token", "left").na.fill({"seen": 0})
     starts = counted.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - window + 1), F.greatest(F.lit(0), F.least("place", F.col("n") - window)))).alias("start"))
     prefix = starts.groupBy("row", "start").agg(F.min_by("token", F.struct("seen", "token", "place")).alias("token")).select("row", "token").distinct()
     keyed = own.withColumn("_key", F.md5(F.coalesce("_text", F.lit(""))))
     distinct = keyed.groupBy("_key").agg(F.first("_text").alias("_text"))
-    said = distinct.select("_key", F.explode(F.array_distinct(F.split(_lowered(F.col("_text")), "[^0-9a-z\u0080-\U0010ffff]+"))).alias("token"))
-    pairs = said.join(prefix, "token").select("_key", "row").distinct().join(items, "row")
-    lists = pairs.groupBy("_key").agg(F.collect_list(F.struct("item", "item_text")).alias("_items"))
+    said = distinct.select("_key", F.explode(F.array_distinct(F.split(_lowered(F.col("_text")), _NO_WORD))).alias("token"))
+    # tokens with over one in HOT_ONE_IN of all words: so many of them at most, by arithmetic
+    total = counts.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(counts.filter(F.col("seen") > max(total // HOT_ONE_IN, HOT_ONE_IN)).select("token", F.lit(True).alias("hot")))
+    salted = said.join(hot, "token", "left").select("_key", "token", F.when(F.col("hot"), F.pmod(F.xxhash64("_key"), F.lit(_SALTS)).cast("int")).otherwise(0).alias("salt"))
+    copied = prefix.join(hot, "token", "left").select("row", "token", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    pairs = checkpoint(salted.join(copied, ["token", "salt"]).select("_key", "row").distinct())
+    parts = pairs.groupBy("_key").agg(F.ceil(F.count("*") / _CANDIDATES).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "_key").select("_key", "row", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"))
+    lists = dealt.join(items, "row").groupBy("_key", "part").agg(F.collect_list(F.struct("item", "item_text")).alias("_items"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matched = []
-            for text, own_items in zip(text_bytes(batch.columns[-2]), batch.columns[-1].to_pylist(), strict=True):
-                index = ItemIndex([(x["item"], x["item_text"].encode()) for x in own_items or ()], window, {})
-                matched += _matches(index, [text])
-            yield _rows(batch.columns[:-2], matched, names)
+            rows = []
+            for key, text, own_items in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                index = ItemIndex([(x["item"], x["item_text"].encode()) for x in own_items], window, {})
+                _, spans, found = next(_matches(index, [text]))
+                rows.append((key, [list(s) for s in spans], sorted(set(found))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(arrow)], names=["_key", "_spans", "_found"])
+
+    arrow = (pa.string(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
+    hits = distinct.join(lists, "_key").select("_key", "_text", "_items").mapInArrow(match, "_key string, _spans array<array<long>>, _found array<string>")
+    by_text = hits.groupBy("_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))).alias("_found"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, found = text_bytes(batch.columns[-3]), batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist()
+            matched = [(len(words_of(t)), _merged(s or ()), f or []) for t, s, f in zip(texts, spans, found, strict=True)]
+            yield _rows(batch.columns[:-3], matched, names)
 
-    return keyed.join(lists, "_key", "left").select(*columns, "_text", "_items").mapInArrow(match, schema)
+    return keyed.join(by_text, "_key", "left").select(*columns, "_text", "_spans", "_found").mapInArrow(merge, schema)
 
 
 def _lowered(text):

@@ -73,3 +73,33 @@ def test_one_id_with_several_texts_both_ways(spark):
     for bound in (10_000, 0):
         rows = find_contamination(docs, bench, max_local_words=bound).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in rows} == {i: brute(t, items) for i, t in enumerate(texts)}
+
+
+def test_bounds_count_words_as_they_are_compared(spark, monkeypatch):
+    """Upper-case words are words; either bound sends a benchmark to the join."""
+    from binfields.llm import decontamination
+
+    ways = []
+    plain = decontamination._by_join
+    monkeypatch.setattr(decontamination, "_by_join", lambda *a: ways.append("join") or plain(*a))
+    loud = " ".join(f"WORD{n}" for n in range(2000))
+    docs = spark.createDataFrame([(1, "x " + loud.lower() + " y"), (2, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, loud)], "item_id long, text string")
+    for bounds, way in (({"max_local_words": 1999}, ["join"]), ({"max_local_words": 2000}, []), ({"max_local_bytes": 15_000}, ["join"])):
+        ways.clear()
+        rows = find_contamination(docs, bench, **bounds).collect()
+        assert ways == way and {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in rows} == {1: (2002, 2000, ["5"]), 2: (1, 0, [])}
+
+
+def test_hot_tokens_and_many_candidates_by_join(spark, monkeypatch):
+    from binfields.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "HOT_ONE_IN", 20)
+    monkeypatch.setattr(decontamination, "_CANDIDATES", 3)
+    rng = random.Random(5)
+    items = [(str(k), " ".join(rng.choice("abcde") for _ in range(rng.randint(2, 20)))) for k in range(30)]
+    texts = [" ".join(rng.choice("abcde") for _ in range(200)) for _ in range(20)] + ["a " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(int(k), t) for k, t in items], "item_id long, text string")
+    rows = find_contamination(docs, bench, max_local_words=0).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in rows} == {i: brute(t, items) for i, t in enumerate(texts)}
