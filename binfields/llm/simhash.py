@@ -319,27 +319,30 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
 
 def keep_leaders(docs: DataFrame, marked: DataFrame, name_of: Callable[[bytes], int], *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component in ``marked``; ``name_of`` gives a text's (signed) fingerprint there."""
-    marked = checkpoint(marked)
+    """The rows of ``docs`` that stand for their component in ``marked``; ``name_of`` gives a text's (signed) fingerprint there.
+
+    Rows travel as one struct, so columns of any name are kept as they are.
+    """
+    marked = checkpoint(marked.select(F.col(id_column).alias("id"), "component", "component_id", "fingerprint"))
     n = marked.count()
     marked = narrowed(marked, n)
-    leaders = marked.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
-    kept = leaders.groupBy("component").agg(F.min(F.struct(F.col(id_column).alias("id"), "fingerprint")).alias("kept")).select("kept.*")
-    rows_of_id = marked.groupBy(F.col(id_column).alias("id")).agg(F.count("*").alias("rows"))
-    kept = checkpoint(narrowed(kept.join(rows_of_id, kept["id"].eqNullSafe(rows_of_id["id"])).select(kept["id"].alias("_id"), F.col("fingerprint").alias("_fingerprint"), "rows"), n))
-    single = docs.join(kept.filter("rows = 1 and _id is not null").select("_id"), F.col(id_column) == F.col("_id"), "left_semi")
+    leaders = marked.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = leaders.groupBy("component").agg(F.min(F.struct("id", "fingerprint")).alias("kept")).select("kept.*")
+    rows_of_id = marked.groupBy(F.col("id").alias("own_id")).agg(F.count("*").alias("rows"))
+    kept = checkpoint(narrowed(kept.join(rows_of_id, F.col("id").eqNullSafe(F.col("own_id"))).select("id", "fingerprint", "rows"), n))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("key"))
+    single = whole.join(kept.filter("rows = 1 and id is not null").select("id"), F.col("key") == F.col("id"), "left_semi").select("row.*")
     # ids with several rows are told apart by their fingerprints
-    several = kept.filter("rows > 1 or _id is null").select("_id", "_fingerprint")
+    several = kept.filter("rows > 1 or id is null").select("id", "fingerprint")
     if several.isEmpty():
         return single
-    place, names = docs.columns.index(text_column), [*docs.columns, "_own"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([name_of(t) for t in text_bytes(batch.column(place))], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=names)
+            values = np.array([name_of(t) for t in text_bytes(batch.column(2))], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["row", "key", "own"])
 
-    few = docs.join(several.select("_id").distinct(), F.col(id_column).eqNullSafe(F.col("_id")), "left_semi")
-    own = few.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())]))
-    chosen = own.join(several, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fingerprint")), "left_semi")
-    return single.unionByName(chosen.dropDuplicates([id_column, "_own"]).drop("_own"))
+    few = whole.join(several.select("id").distinct(), F.col("key").eqNullSafe(F.col("id")), "left_semi").withColumn("text", F.col("row")[text_column])
+    own = few.mapInArrow(hashed, T.StructType([*whole.schema.fields, T.StructField("own", T.LongType())]))
+    chosen = own.join(several, F.col("key").eqNullSafe(F.col("id")) & (F.col("own") == F.col("fingerprint")), "left_semi")
+    return single.unionByName(chosen.dropDuplicates(["key", "own"]).select("row.*"))

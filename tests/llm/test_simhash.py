@@ -89,3 +89,12 @@ def test_hot_group(spark):
     text = " ".join(str(k) for k in range(50))
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
     assert near_duplicates(docs).groupBy("component_id").count().collect() == [(0, 3000)]
+
+
+def test_leaders_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e", 7, "x", 0, "k", 1), (1, "f g h i j", 8, "y", 1, "k", 2), (2, "a b c d e", 9, "z", 2, "k", 3), (None, "q r s t u", 3, "w", 3, "k", 4)]
+    names = "doc_id long, text string, _id long, id string, own int, key string, component long"
+    docs = spark.createDataFrame(rows, names)
+    kept = one_of_each(docs).collect()
+    assert kept and all(r.asDict() in [dict(zip(docs.columns, x, strict=True)) for x in rows] for r in kept)
+    assert sorted((r["id"] for r in kept)) == ["w", "x", "y"]
