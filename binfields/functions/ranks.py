@@ -69,11 +69,12 @@ def order_statistics(rows: DataFrame, value: str, qs: Sequence[float], groups: S
     return found.select(*groups, *((F.col(f"_l{k}") + F.when(F.col(f"_f{k}") > 0, (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}")).otherwise(0.0)).alias(f"q{k}") for k in range(len(qs))))
 
 
-def rank_sums(values: DataFrame, sizes: DataFrame, label: str, *, item: str = "feature_name", value: str = "cpm", among: Column | None = None) -> DataFrame:
+def rank_sums(values: DataFrame, sizes: DataFrame, label: str, *, item: str = "feature_name", value: str = "cpm", most_in_window: int = 100_000) -> DataFrame:
     """item, label, n1, n2, u, ties: Mann-Whitney U of each label against all others, from sparse non-negative values.
 
     ``values`` has (item, label, value) for non-zero values only; ``sizes`` has (label, n_cells). The zeros of an item are
-    one block of ties that ranks first, so they are never materialised, and one pass serves all labels.
+    one block of ties that ranks first, so they are never materialised, and one pass serves all labels. Items with
+    more than ``most_in_window`` different values are ranked by range, not in one task each.
     """
     nonzero = values.filter(F.col(value) > 0).groupBy(item, label, value).agg(F.count("*").alias("n"))
     grid = values.select(item).distinct().join(F.broadcast(sizes))  # labels are few
@@ -81,7 +82,13 @@ def rank_sums(values: DataFrame, sizes: DataFrame, label: str, *, item: str = "f
     zeros = grid.join(seen, [item, label], "left").select(item, label, F.lit(0.0).alias(value), (F.col("n_cells") - F.coalesce("nnz", F.lit(0))).alias("n"))
     every = nonzero.unionByName(zeros.filter("n > 0"))
     by_value = checkpoint(every.groupBy(item, value).agg(F.sum("n").alias("t")))
-    ranked = running_sum(by_value, [value], "t", [item], "_below").withColumn("rank", F.col("_below") + (F.col("t") + 1) / 2)
+    largest = by_value.groupBy(item).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    if largest <= most_in_window:
+        earlier = Window.partitionBy(item).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        below = by_value.withColumn("_below", F.coalesce(F.sum("t").over(earlier), F.lit(0)))
+    else:
+        below = running_sum(by_value, [value], "t", [item], "_below")
+    ranked = below.withColumn("rank", F.col("_below") + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
     ties = by_value.groupBy(item).agg(F.sum(t * t * t - t).alias("ties"), F.sum("t").alias("total"))
     sums = every.join(ranked, [item, value]).groupBy(item, label).agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("n1"))

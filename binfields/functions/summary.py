@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binfields.functions.ranks import order_statistics
+from binfields.functions.ranks import join_null_safe, order_statistics
 from binfields.functions.scalar import conf_bins
 
 
@@ -52,8 +52,10 @@ def weighted_std(value: Column, weight: Column) -> Column:
 
 def conf_bin_stats(rows: DataFrame, value: str, confidence: str) -> DataFrame:
     """Count, median and mean of the absolute value per confidence interval."""
-    size = F.abs(value)
-    return rows.groupBy(conf_bins(F.col(confidence)).alias("confidence_bin")).agg(F.count(value).alias("count"), F.median(size).alias("median"), F.avg(size).alias("mean"))
+    binned = rows.select(conf_bins(F.col(confidence)).alias("confidence_bin"), F.abs(value).alias("_size"))
+    sums = binned.groupBy("confidence_bin").agg(F.count("_size").alias("count"), F.avg("_size").alias("mean"))
+    middle = group_median(binned, "confidence_bin", "_size")
+    return sums.join(F.broadcast(middle), "confidence_bin", "left").select("confidence_bin", "count", "median", "mean")  # four bins
 
 
 def extreme_fractions(rows: DataFrame, value: str, confidence: str, q: float = 0.95) -> DataFrame:
@@ -67,12 +69,13 @@ def group_summary(rows: DataFrame, groups: Sequence[str], value: str, side: str,
     """n, mean and median of each side, and Cohen's d."""
     in_a, in_b = F.col(side) == a, F.col(side) == b
     x = F.col(value)
-    return rows.groupBy(*groups).agg(
+    sums = rows.groupBy(*groups).agg(
         F.count(F.when(in_a, x)).alias("n_a"),
         F.count(F.when(in_b, x)).alias("n_b"),
         F.avg(F.when(in_a, x)).alias("mean_a"),
         F.avg(F.when(in_b, x)).alias("mean_b"),
-        F.median(F.when(in_a, x)).alias("median_a"),
-        F.median(F.when(in_b, x)).alias("median_b"),
         cohens_d(x, in_a, in_b).alias("cohens_d"),
     )
+    sides = rows.filter(in_a | in_b).select(*groups, F.col(side).alias("_side"), x.alias("_x"))
+    medians = order_statistics(sides, "_x", [0.5], [*groups, "_side"]).groupBy(*groups).agg(*(F.max(F.when(F.col("_side") == v, F.col("q0"))).alias(f"median_{n}") for n, v in (("a", a), ("b", b))))
+    return join_null_safe(sums, medians, groups, "left").select(*groups, "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", "cohens_d")

@@ -211,25 +211,36 @@ def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_edges(spark, sf_dir).filter("x_bin % 3 <> 0 and nx % 3 <> 0").select(*CELL, "nx", "ny")
 
 
-@query()
+def _unit_sql(seed: int, x: str, y: str) -> str:
+    """The operators' hash of a cell as a number in (0, 1)."""
+    return f"((cast('0x' || substr(md5('{seed}:' || {x} || ':' || {y}), 1, 13) as bigint) + 5e-1) / {2**52})"
+
+
+_KEPT = [f"{_unit_sql(baseline.SEED + 1, *ends)} < 8e-1" for ends in (("x_bin", "y_bin"), ("nx", "ny"))]
+
+
+@query(f"select x_bin, y_bin, nx, ny, round(w, 6) as w from {_WEIGHTED} where {_KEPT[0]} and {_KEPT[1]}")
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return potts.induced_subgraph(weighted_edges(spark, sf_dir), 0.8, 1)
+    return rounded(potts.induced_subgraph(weighted_edges(spark, sf_dir), 0.8, 1).select(*CELL, "nx", "ny", "w"))
 
 
-@query()
+@query(f"select x_bin, y_bin from cells where {_KEPT[0]} and {_unit_sql(baseline.SEED + 2, 'x_bin', 'y_bin')} < 8e-1")
 def subsample_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fx.cells(spark, sf_dir).select(*CELL)
     return potts.subsample(cells, 0.8, 1).join(potts.subsample(cells, 0.8, 2), list(CELL))
 
 
-@query()
+_CELL_HASH = _unit_sql(baseline.SEED, "x_bin", "y_bin")
+
+
+@query(f"select x_bin, y_bin, transcript_count from cells order by {_CELL_HASH}, x_bin, y_bin limit 500")
 def uniform_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.uniform_subsample(fx.cells(spark, sf_dir), 500)
+    return baseline.uniform_subsample(fx.cells(spark, sf_dir), 500).select(*CELL, "transcript_count")
 
 
-@query()
+@query(f"select x_bin, y_bin, transcript_count from cells order by -ln({_CELL_HASH}) / transcript_count, x_bin, y_bin limit 500")
 def weighted_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.weighted_subsample(fx.cells(spark, sf_dir), 500)
+    return baseline.weighted_subsample(fx.cells(spark, sf_dir), 500).select(*CELL, "transcript_count")
 
 
 @query()
@@ -239,18 +250,18 @@ def cell_fields_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segmentation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation(cell_fields(fx.cells(spark, sf_dir)), starts=2, sweeps=2, repeats=3)
+    return segmentation(cell_fields(fx.cells(spark, sf_dir)))
 
 
 @query()
 def sigma_lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir)), starts=1, sweeps=2, repeats=2)
+    return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir)))
 
 
 @query()
 def smoothed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(given(spark, sf_dir).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int")).drop("label"))
-    return potts.smoothed(rows, checkpoint(weighted_edges(spark, sf_dir)), [0.25, 0.5, 1.0], sweeps=2).select("lambda", *CELL, "label_raw", "label")
+    return potts.smoothed(rows, checkpoint(weighted_edges(spark, sf_dir)), [0.25, 0.5, 1.0]).select("lambda", *CELL, "label_raw", "label")
 
 
 @query()

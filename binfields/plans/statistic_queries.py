@@ -10,7 +10,7 @@ from binfields.operators import dge, enrichment
 from binfields.operators.grid import CELL
 from binfields.operators.potts import top_per_group
 from binfields.plans import fixture as fx
-from binfields.plans.fixture import A, B, QUERIES, query, rounded
+from binfields.plans.fixture import A, B, ORACLE_SQL, QUERIES, query, rounded
 from binfields.sources.scratch import checkpoint
 
 
@@ -286,18 +286,28 @@ def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(enrichment.with_odds(enrichment.overlap_counts(up, sets, base).filter("hits > 0")))
 
 
+_CHANCE = "lgamma(marked + 1e0) - lgamma(k + 1e0) - lgamma(marked - k + 1e0) + lgamma(total - marked + 1e0) - lgamma(drawn - k + 1e0) - lgamma(total - marked - drawn + k + 1e0) - lgamma(total + 1e0) + lgamma(drawn + 1e0) + lgamma(total - drawn + 1e0)"
+_TAIL = f"least(list_sum(list_transform(range(cast(greatest(hits, 0, drawn + marked - total) as bigint), cast(least(drawn, marked) + 1 as bigint)), lambda k: exp({_CHANCE}))), 1e0)"
+
+
 def enrichment_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     up, _, sets, base = _lists(spark, sf_dir)
-    return enrichment.enrichment(up, sets, base)
+    found = enrichment.enrichment(up, sets, base)
+    return found.select(*(F.round(c, 9 if c.endswith("val") else 4).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes))
 
 
 QUERIES["enrichment"] = enrichment_result  # the name is the module's here
+ORACLE_SQL["enrichment"] = fx.BASE_SQL + f"""select library, term, hits, marked, drawn, total, overlap, round(odds_ratio, 4) as odds_ratio, round(pval, 9) as pval, round(qval, 9) as qval, round(-ln(pval + 1e-300) * odds_ratio, 4) as combined_score from (
+ select *, least(min(pval * m / r) over (partition by library order by r desc rows between unbounded preceding and current row), 1e0) as qval from (
+  select *, row_number() over (partition by library order by pval) as r, count(*) over (partition by library) as m from (
+   select library, term, cast(hits as bigint) as hits, marked, drawn, total, cast(hits as bigint) || '/' || marked as overlap, {_ODDS} as odds_ratio, {_TAIL} as pval from ({_UP_HITS}) where hits > 0)))"""
 
 
-@query()
+@query(f"select library, term, cast(hits as bigint) as hits, marked, drawn, total, round({_TAIL}, 9) as pval, round(abs(log10({_TAIL})), 6) as nlog10 from ({_HITS.format(genes=_UP.replace('> 0', '< 0'))})")
 def hypergeom_sf(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, down, sets, base = _lists(spark, sf_dir)
-    return enrichment.overlap_counts(down, sets, base).withColumn("pval", scalar.hypergeom_sf("hits", "drawn", "marked", "total"))
+    rows = enrichment.overlap_counts(down, sets, base).withColumn("pval", scalar.hypergeom_sf("hits", "drawn", "marked", "total"))
+    return rows.select("library", "term", "hits", "marked", "drawn", "total", F.round("pval", 9).alias("pval"), F.round(F.abs(F.log10("pval")), 6).alias("nlog10"))
 
 
 @query(f"select term, min(library) as library from ({_UP_HITS}) group by term")

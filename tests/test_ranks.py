@@ -70,8 +70,9 @@ def test_tails(spark):
     row = spark.range(1).select(scalar.normal_cdf(F.lit(1.96)).alias("c"), scalar.normal_sf(F.lit(0.0)).alias("s")).first()
     assert row.c == pytest.approx(0.9750021, abs=1e-6) and row.s == 0.5
     total = sum(math.comb(5, k) * math.comb(15, 4 - k) for k in range(2, 5)) / math.comb(20, 4)
-    assert scalar.hypergeometric_tail(2, 4, 5, 20) == pytest.approx(total)
-    assert scalar.hypergeometric_tail(0, 4, 5, 20) == pytest.approx(1.0)
+    tail = lambda *x: spark.range(1).select(scalar.hypergeom_sf(*map(F.lit, x)).alias("p")).first().p
+    assert tail(2, 4, 5, 20) == pytest.approx(total)
+    assert tail(0, 4, 5, 20) == 1.0
 
 
 def test_effect_size_and_bins(spark):
@@ -86,3 +87,39 @@ def test_effect_size_and_bins(spark):
 def test_weighted_quantile(spark):
     df = spark.createDataFrame([("g", 1.0, 1.0), ("g", 2.0, 1.0), ("g", 9.0, 2.0)], "k string, v double, w double")
     assert ranks.weighted_quantile(df, "v", "w", ["k"], 0.5, "q").first().q == 2.0
+
+
+def test_normal_tail_to_twelve_digits(spark):
+    points = [k / 37 for k in range(-400, 1400)] + [0.0, -0.0, 0.46875 * math.sqrt(2), 4 * math.sqrt(2), 38.0, 60.0, -60.0, 1e-300]
+    rows = spark.createDataFrame([(x,) for x in points] + [(None,), (float("nan"),)], "x double")
+    for r in rows.select("x", scalar.normal_sf("x").alias("s"), scalar.normal_cdf("x").alias("c")).collect():
+        if r.x is None:
+            assert r.s is None and r.c is None
+        elif math.isnan(r.x):
+            assert math.isnan(r.s)
+        else:
+            assert r.s == pytest.approx(0.5 * math.erfc(r.x / math.sqrt(2)), rel=1e-12, abs=1e-306)
+            assert r.c == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), rel=1e-12, abs=1e-306)
+
+
+def test_hypergeometric_tail_equals_whole_numbers(spark):
+    rng = random.Random(8)
+    cases = []
+    for _ in range(300):
+        total = rng.choice([5, 30, 200, 3000])
+        marked, drawn = rng.randint(0, total), rng.randint(0, total)
+        cases.append((rng.randint(0, min(marked, drawn) + 1), drawn, marked, total))
+    rows = spark.createDataFrame(cases, "hits long, drawn long, marked long, total long")
+    for r in rows.withColumn("p", scalar.hypergeom_sf("hits", "drawn", "marked", "total")).collect():
+        ways = sum(math.comb(r.marked, k) * math.comb(r.total - r.marked, r.drawn - k) for k in range(max(r.hits, 0), min(r.marked, r.drawn) + 1) if r.drawn - k <= r.total - r.marked)
+        want = ways * 10**320 // math.comb(r.total, r.drawn) / 10**320 if ways else 0.0
+        assert r.p == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_rank_sums_by_range_equal_those_by_window(spark):
+    rng = random.Random(4)
+    values = [(g, k % 3, float(rng.randint(0, 40))) for g in "abc" for k in range(300)]
+    df = spark.createDataFrame(values, "feature_name string, label int, cpm double").filter("cpm > 0")
+    sizes = spark.createDataFrame([(k, 100) for k in range(3)], "label int, n_cells long")
+    ways = [sorted(map(tuple, ranks.rank_sums(df, sizes, "label", most_in_window=n).collect())) for n in (0, 100_000)]
+    assert ways[0] == ways[1]
