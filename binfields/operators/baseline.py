@@ -12,9 +12,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from binfields.functions.scalar import normal_sf
 from binfields.functions.summary import global_quantile, median_mad
 from binfields.operators.grid import CELL
 from binfields.operators.neighbors import knn_join
+from binfields.sources.scratch import checkpoint
 
 SEED = 412
 
@@ -129,9 +131,47 @@ def morans_i(cells: DataFrame, value: str, *, k: int = 8, most: int | None = 25_
     return products.agg(F.sum("_p").alias("_top")).join(F.broadcast(centred.agg(F.sum(F.col("_z") * F.col("_z")).alias("_den")))).select(F.try_divide("_top", "_den").alias("moran_i"))
 
 
-def moran_p(cells: DataFrame, value: str, *, k: int = 8, most: int = 25_000, permutations: int = 999, seed: int = SEED + 17) -> float:
-    """Permutation p of Moran's I, (1 + #{|permuted| >= |observed|}) / (n + 1): permutations run in parallel over the capped table of ``most`` cells."""
+def moran_moments(cells: DataFrame, value: str, *, k: int = 8) -> DataFrame:
+    """One row: moran_i over all cells, and its exact mean and variance over all permutations of the values.
+
+    The moments need only sums of powers of the values and of the weights, so any number of cells is one pass over the
+    table and one over the links to the k nearest. Null below four cells or without spread.
+    """
+    rows = cells.filter(F.col(value).isNotNull())
+    centred = checkpoint(rows.join(F.broadcast(rows.agg(F.avg(value).alias("_m")))).select(*CELL, (F.col(value) - F.col("_m")).alias("_z")))
+    near = knn_join(centred, k).select(*CELL, "nx", "ny")
+    weighted = checkpoint(near.join(near.groupBy(*CELL).agg((1 / F.count("*")).alias("_w")), list(CELL)))
+    here, there = F.struct(*CELL), F.struct(F.col("nx").alias("x_bin"), F.col("ny").alias("y_bin"))
+    both = weighted.groupBy(F.least(here, there).alias("_a"), F.greatest(here, there).alias("_b")).agg(F.sum("_w").alias("_t"))
+    into = weighted.groupBy(F.col("nx").alias("x_bin"), F.col("ny").alias("y_bin")).agg(F.sum("_w").alias("_in"))
+    right = centred.select(F.col("x_bin").alias("nx"), F.col("y_bin").alias("ny"), F.col("_z").alias("_zn"))
+    top = weighted.join(centred, list(CELL)).join(right, ["nx", "ny"]).agg(F.sum(F.col("_w") * F.col("_z") * F.col("_zn")).alias("top"), F.sum("_w").alias("s0"))
+    square = F.col("_z") * F.col("_z")
+    out = 1 + F.coalesce("_in", F.lit(0.0))
+    one = [top, both.agg(F.sum(F.col("_t") * F.col("_t")).alias("s1")), centred.join(into, list(CELL), "left").agg(F.count("*").cast("double").alias("n"), F.sum(square).alias("z2"), F.sum(square * square).alias("z4"), F.sum(out * out).alias("s2"))]
+    row = one[0].join(F.broadcast(one[1])).join(F.broadcast(one[2]))  # one row each
+    n, s0, s1, s2 = (F.col(c) for c in ("n", "s0", "s1", "s2"))
+    kurtosis = F.try_divide(n * F.col("z4"), F.col("z2") * F.col("z2"))
+    mean = F.try_divide(F.lit(-1.0), n - 1)
+    upper = n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - kurtosis * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)
+    squared = F.try_divide(upper, (n - 1) * (n - 2) * (n - 3) * s0 * s0)
+    i = F.try_divide(n * F.col("top"), s0 * F.col("z2"))
+    return row.select(i.alias("moran_i"), mean.alias("mean"), F.when(n >= 4, squared - mean * mean).alias("variance"))
+
+
+def moran_p(cells: DataFrame, value: str, *, k: int = 8, most: int | None = 25_000, permutations: int = 999, seed: int = SEED + 17) -> float:
+    """Permutation p of Moran's I, (1 + #{|permuted| >= |observed|}) / (n + 1): permutations run in parallel over the capped table of ``most`` cells.
+
+    With ``most`` None all cells count: the share of permutations beyond is that of a normal distribution with the exact
+    permutation mean and variance (``moran_moments``), which differs from it by something like 1 / sqrt(cells).
+    """
     rows = cells.filter(F.col(value).isNotNull())
+    if most is None:
+        one = moran_moments(rows, value, k=k)
+        far, spread = F.abs("moran_i"), F.sqrt("variance")
+        beyond = normal_sf((far - F.col("mean")) / spread) + normal_sf((far + F.col("mean")) / spread)
+        share = one.select(F.when(F.col("variance") > 0, beyond).alias("p")).first()["p"]
+        return (1 + permutations * (1.0 if share is None else min(share, 1.0))) / (permutations + 1)
     if rows.count() > most:
         rows = weighted_subsample(rows, most)
     near = knn_join(rows, k).select(*CELL, "nx", "ny")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from binfields.functions.ranks import order_statistics
 from binfields.functions.summary import relabel_by_median
 from binfields.operators import baseline, fields, interface, markers, mixture, neighbors, potts
 from binfields.operators.grid import CELL
@@ -89,24 +90,46 @@ def segmentation(
     return potts.labels_writeback(cells.select(*CELL, "transcript_count"), named.drop("label"), ["label_raw", "data_energy", "smooth_energy", "total_energy", "label_confidence"], "label_smooth")
 
 
+def by_scale(cells: DataFrame, sigmas: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
+    """sigma_um, x_bin, y_bin, kept columns, features: every cell once for each scale, standardized within the scale."""
+    structs = [F.struct(F.lit(float(s)).alias("sigma_um"), *(F.col(f"{f}_s{int(s)}").cast("double").alias(f) for f in FEATURES)) for s in sigmas]
+    long = cells.select(*CELL, *keep, F.inline(F.array(*structs)))
+    return mixture.standardize(long, FEATURES, keys=["sigma_um"]).drop(*FEATURES)
+
+
+def clustered_by_scale(cells: DataFrame, k: int, sigmas: Sequence[float], rounds: int, least_cells: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """``by_scale`` with posterior: the mixtures of all scales are fitted in the same passes. Scales with too few cells go."""
+    long = checkpoint(by_scale(cells, sigmas, keep))
+    enough = sorted(r["sigma_um"] for r in long.groupBy("sigma_um").count().filter(F.col("count") >= least_cells).collect())
+    if not enough:
+        raise ValueError("no scale has enough cells")
+    models = mixture.fit_mixtures(long, [(k, 1.0, s) for s in enough], rounds=rounds, key="sigma_um")
+    return checkpoint(mixture.posterior(long.filter(F.col("sigma_um").isin(enough)), dict(zip(enough, models, strict=True)), key="sigma_um"))
+
+
 def sigma_lambda_table(cells: DataFrame, *, k: int = 4, factors: Sequence[float] = LAMBDA_FACTORS, sigmas: Sequence[float] = fields.SIGMAS, rounds: int = 40, starts: int = 3, sweeps: int = 8, repeats: int = 6) -> DataFrame:
-    """For every scale and smoothing weight: boundary ratio, the three energies, stability on subsamples, objective, and the cells."""
-    every, edges = None, None
-    for s in sigmas:
-        own = checkpoint(mixture.standardize(cells, [f"{f}_s{int(s)}" for f in FEATURES]))
-        own = checkpoint(potts.unary_energy(mixture.posterior(own, mixture.gmm_diag(own, k, rounds=rounds, seed=baseline.SEED + int(s)))))
-        base = potts.unary_margin(own).first()["lambda0"]
-        scale = F.lit(float(s)).alias("sigma_um")
-        rows = own.select(scale, *CELL, "unary", "label_raw", F.array(*(F.lit(f * base) for f in factors)).alias("lams"), F.lit(base).alias("base"))
-        near = neighbors.edge_similarity(neighbors.lattice_edges(own), own).select(scale, "*")
-        every = rows if every is None else every.unionByName(rows)
+    """For every scale and smoothing weight: boundary ratio, the three energies, stability on subsamples, objective, and the cells.
+
+    Scales are a key of one plan: of the mixtures, the edges and the smoothing runs.
+    """
+    own = checkpoint(potts.unary_energy(clustered_by_scale(cells, k, sigmas, rounds, keep=["confidence_weight"])))
+    scales = sorted(r["sigma_um"] for r in own.select("sigma_um").distinct().collect())
+    base = {s: potts.unary_margin(own.filter(F.col("sigma_um") == s)).first()["lambda0"] for s in scales}
+    lams = F.create_map(*(x for s in scales for x in (F.lit(s), F.array(*(F.lit(f * base[s]) for f in factors)))))
+    every = checkpoint(own.select("sigma_um", *CELL, "unary", "label_raw", "features", lams[F.col("sigma_um")].alias("lams")))
+    edges = None
+    for s in scales:
+        one = every.filter(F.col("sigma_um") == s)
+        near = neighbors.edge_similarity(neighbors.lattice_edges(one), one).select(F.lit(s).alias("sigma_um"), "*")
         edges = near if edges is None else edges.unionByName(near)
-    every, edges, keys = checkpoint(every), checkpoint(edges), ["sigma_um", "lambda"]
+    edges, keys = checkpoint(edges), ["sigma_um", "lambda"]
+    every = every.drop("features")
     solved = potts.smoothed(every, edges, "lams", starts=starts, sweeps=sweeps, keys=["sigma_um"])
     energy = potts.potts_energy(edges, solved, "lambda", keys=keys)
     ratio = potts.boundary_ratio(edges, solved, keys=keys)
-    stable = potts.lambda_stability(every, edges, "lams", repeats=repeats, sweeps=sweeps, seed=baseline.SEED + 10_000, keys=["sigma_um"])
-    counts = solved.groupBy(*keys).agg(F.count("*").alias("n_cells"), F.countDistinct("label").alias("n_labels"), F.round(F.col("lambda") / F.max("base"), 6).alias("factor"))
+    stable = potts.lambda_stability(every, edges, "lams", repeats=repeats, seed=baseline.SEED + 10_000, keys=["sigma_um"])
+    bases = F.create_map(*(x for s in scales for x in (F.lit(s), F.lit(base[s]))))
+    counts = solved.groupBy(*keys).agg(F.count("*").alias("n_cells"), F.countDistinct("label").alias("n_labels")).withColumn("factor", F.round(F.col("lambda") / bases[F.col("sigma_um")], 6))
     rows = energy.join(ratio, keys, "left").join(stable, keys, "left").join(counts, keys)
     return rows.withColumn("objective", F.col("stability") - 0.1 * F.col("boundary_ratio"))
 
@@ -118,19 +141,12 @@ def sigma_lambda_matrix(table: DataFrame, value: str, factors: Sequence[float] =
 
 def scale_labels(cells: DataFrame, *, k: int, sigmas: Sequence[float] = fields.SIGMAS, rounds: int = 40, least_cells: int = 100) -> DataFrame:
     """sigma_um, x_bin, y_bin, transcript_count, cluster_sorted: each scale clustered anew on its own features, numbered by median count."""
-    out = None
-    for s in sigmas:
-        own = checkpoint(mixture.standardize(cells, [f"{f}_s{int(s)}" for f in FEATURES]))
-        if own.count() < least_cells:
-            continue
-        chances = mixture.posterior(own, mixture.gmm_diag(own, k, rounds=rounds, seed=baseline.SEED + int(s)))
-        labelled = chances.withColumn("_raw", (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-        named = relabel_by_median(labelled, "_raw", "transcript_count", "cluster_sorted")
-        rows = checkpoint(named.select(F.lit(float(s)).alias("sigma_um"), *CELL, "transcript_count", "cluster_sorted"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no scale has enough cells")
-    return out
+    chances = clustered_by_scale(cells, k, sigmas, rounds, least_cells, ["transcript_count"])
+    labelled = checkpoint(chances.select("sigma_um", *CELL, "transcript_count", (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int").alias("_raw")))
+    medians = order_statistics(labelled, "transcript_count", [0.5], ["sigma_um", "_raw"])
+    order = Window.partitionBy("sigma_um").orderBy("q0", "_raw")  # one row for each label
+    mapping = medians.select("sigma_um", "_raw", (F.row_number().over(order) - 1).alias("cluster_sorted"))
+    return checkpoint(labelled.join(F.broadcast(mapping), ["sigma_um", "_raw"]).select("sigma_um", *CELL, "transcript_count", "cluster_sorted"))
 
 
 def interface_job(cells: DataFrame, counts: DataFrame, groups: DataFrame, negative: str, positive: str, features: Sequence[str]) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from binfields.operators import baseline, dge, fields, mixture, potts
 from binfields.operators.grid import CELL
 from binfields.plans import fixture as fx
 from binfields.plans.fixture import A, B, query, rounded
-from binfields.plans.jobs import cell_fields, interface_job, scale_labels, segmentation, sigma_lambda_table
+from binfields.plans.jobs import cell_fields, interface_job, scale_labels, segmentation, sigma_lambda_matrix, sigma_lambda_table
 from binfields.plans.space_queries import _WEIGHTED, pairs, weighted_edges
 from binfields.sources.scratch import checkpoint
 
@@ -106,6 +106,17 @@ def moran_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.morans_i(cells, "z_mean_um").withColumn("p", F.lit(p)).withColumn("trend", F.lit(p < 0.01) & (F.abs("moran_i") >= 0.03))
 
 
+_KNN = f"(select x_bin, y_bin, nx, ny, 1e0 / count(*) over (partition by x_bin, y_bin) as w from (select *, row_number() over (partition by x_bin, y_bin order by d2, nx, ny) as r from {pairs(12)} where d2 > 0) where r <= 8)"
+
+
+@query(f"""select round(i, 6) as moran_i, round(-1 / (n - 1), 9) as mean, round((n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * n * n) - n * z4 / (z2 * z2) * ((n * n - n) * s1 - 2 * n * s2 + 6 * n * n)) / ((n - 1) * (n - 2) * (n - 3) * n * n) - 1 / ((n - 1) * (n - 1)), 9) as variance
+ from {_MORAN}, (select cast(count(*) as double) as n, sum(power(z, 2)) as z2, sum(power(z, 4)) as z4 from (select z_mean_um - avg(z_mean_um) over () as z from cells)),
+ (select sum(t * t) as s1 from (select sum(w) as t from {_KNN} group by least((x_bin, y_bin), (nx, ny)), greatest((x_bin, y_bin), (nx, ny)))),
+ (select sum((1 + coalesce(t, 0)) * (1 + coalesce(t, 0))) as s2 from cells left join (select nx as x_bin, ny as y_bin, sum(w) as t from {_KNN} group by nx, ny) using (x_bin, y_bin))""")
+def moran_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(baseline.moran_moments(fx.cells(spark, sf_dir), "z_mean_um"), 9).withColumn("moran_i", F.round("moran_i", 6))
+
+
 @query("select x_bin, y_bin, case when abs(z_mean_um - 10e0) >= (select quantile_cont(abs(z_mean_um - 10e0), 75e-2) from cells) then 7e-1 else 1e0 end as local_scale from cells")
 def trend_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.trend_guard(with_residual(spark, sf_dir), True).select(*CELL, "local_scale")
@@ -258,6 +269,17 @@ def sigma_lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir)))
 
 
+@query()
+def sigma_lambda_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stability, boundary ratio and objective, each as a matrix: a row for each scale, a column for each factor of the weight."""
+    table = checkpoint(sigma_lambda_table(cell_fields(fx.cells(spark, sf_dir))))
+    out = None
+    for value in ("stability", "boundary_ratio", "objective"):
+        one = sigma_lambda_matrix(table, value).select(F.lit(value).alias("value"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def smoothed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(given(spark, sf_dir).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int")).drop("label"))

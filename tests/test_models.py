@@ -78,6 +78,37 @@ def test_moran_and_subsamples(spark, cells):
     assert heavy > cells.agg(F.avg("transcript_count")).first()[0]
 
 
+def test_moran_moments_stand_for_permutations(spark, cells):
+    """All cells: the same p as permutations where these reach their least, and about the same where they don't."""
+    assert baseline.moran_p(cells, "z_residual", most=None) == pytest.approx(0.001, abs=1e-6)
+    rng = np.random.default_rng(11)
+    for strength in (0.0, 0.06):
+        rows = [(x, y, float(rng.normal() + strength * np.sin(x / 3))) for x in range(18) for y in range(12)]
+        df = spark.createDataFrame(rows, "x_bin int, y_bin int, v double").cache()
+        assert abs(baseline.moran_p(df, "v", most=None) - baseline.moran_p(df, "v")) < 0.06
+    assert baseline.moran_moments(df, "v").first().moran_i == pytest.approx(baseline.morans_i(df, "v", most=None).first().moran_i)
+    few = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0), (9, 9, 1.5)], "x_bin int, y_bin int, v double")
+    flat = df.withColumn("v", F.lit(2.0))
+    assert baseline.moran_p(few, "v", most=None) == 1.0 and baseline.moran_p(flat, "v", most=None) == 1.0
+
+
+def test_mixtures_of_several_keys_in_one_pass(spark, cells):
+    """Keyed fits equal fits of their own cells; starts come from all cells."""
+    z = F.col("z_residual")
+    two = cells.select("x_bin", "y_bin", F.lit(15.0).alias("s"), z.alias("v")).unionByName(cells.select("x_bin", "y_bin", F.lit(30.0).alias("s"), (z * z).alias("v")))
+    scaled = mixture.standardize(two, ["v"], keys=["s"]).cache()
+    keyed = mixture.fit_mixtures(scaled, [(2, 1.0, 15.0), (3, 1.0, 30.0)], key="s")
+    for model, s, k in zip(keyed, (15.0, 30.0), (2, 3), strict=True):
+        alone = mixture.fit_mixtures(scaled.filter(F.col("s") == s), [(k, 1.0, s)], key="s")[0]
+        assert model["log_likelihood"] == pytest.approx(alone["log_likelihood"], rel=0.02)
+        assert model["n"] == cells.count()
+    rows = mixture.posterior(scaled, dict(zip((15.0, 30.0), keyed, strict=True)), key="s").collect()
+    assert {(r.s, len(r.posterior)) for r in rows} == {(15.0, 2), (30.0, 3)}
+    far = spark.createDataFrame([(i, 0, [float(i % 2)]) for i in range(3000)] + [(5000 + i, 1, [400.0 + i % 3]) for i in range(6)], "x_bin int, y_bin int, features array<double>")
+    model = mixture.fit_mixtures(far, [(3, 1.0)])[0]  # a small group far away has its own centre
+    assert model["means"].max() == pytest.approx(401, abs=1)
+
+
 def test_mixture_finds_two_groups(cells):
     scaled = mixture.standardize(cells, ["z_residual"])
     model = mixture.gmm_diag(scaled, 2)
