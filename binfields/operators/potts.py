@@ -91,6 +91,12 @@ def potts_icm(cells: DataFrame, edges: DataFrame, lam: float, *, label: str = "l
     return cells.drop("label").join(state.cells().select(*CELL, F.col("labels")[0].alias("label")), list(CELL))
 
 
+def label_costs(cells: DataFrame, edges: DataFrame, lam: float, label: str = "label") -> DataFrame:
+    """x_bin, y_bin, label, cost: energy of each label a cell could take, the labels of its neighbours given."""
+    costed = cells.join(_votes(doubled(edges), cells, label), list(CELL), "left")
+    return costed.select(*CELL, F.col(label).alias("label"), _penalized(F.lit(lam)).alias("cost"))
+
+
 def _weights(cells: DataFrame, lams: Sequence[float] | str, keys: Sequence[str]) -> dict[tuple, list[float]]:
     """Weights by key values: one list for all, or a column that holds the list of each key value."""
     if not isinstance(lams, str):

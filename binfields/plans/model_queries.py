@@ -28,17 +28,27 @@ def with_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.cells(spark, sf_dir).withColumn("z_residual", F.col("z_mean_um") - 10.0)
 
 
-_NEAR = f"(select p.x_bin, p.y_bin, c.z_mean_um - 10e0 as z, n_count * exp(-5e-1 * d2 * 100 / (15e0 * 15e0)) as w from {pairs(4)} p join cells c on c.x_bin = p.nx and c.y_bin = p.ny where d2 <= 2025e-2)"
-_SORTED = f"(select *, sum(w) over (partition by x_bin, y_bin order by z) as cum, sum(w) over (partition by x_bin, y_bin) as total from {_NEAR})"
-_MEDIANS = f"(select x_bin, y_bin, min(z) filter (cum >= 5e-1 * total) as med, min(z) filter (cum >= total / 3e0) as q1, min(z) filter (cum >= total * 2e0 / 3e0) as q2 from {_SORTED} group by x_bin, y_bin)"
+_NEAR = f"(select p.x_bin, p.y_bin, s, c.z_mean_um - 10e0 as z, n_count * exp(-5e-1 * d2 * 100 / (s * s)) as w from {pairs(13)} p join cells c on c.x_bin = p.nx and c.y_bin = p.ny join (select unnest([15e0, 30e0, 45e0]) as s) on d2 * 100 <= 9 * s * s)"
+_SORTED = f"(select *, sum(w) over (partition by x_bin, y_bin, s order by z) as cum, sum(w) over (partition by x_bin, y_bin, s) as total from {_NEAR})"
+_MEDIANS = f"(select x_bin, y_bin, s, min(z) filter (cum >= 5e-1 * total) as med, min(z) filter (cum >= total / 3e0) as q1, min(z) filter (cum >= total * 2e0 / 3e0) as q2 from {_SORTED} group by x_bin, y_bin, s)"
 
 
-@query(f"""select x_bin, y_bin, 15e0 as sigma_um, round(sum(w) / (2 * pi() * 225), 6) as rho_sigma, count(*) as n_neighbor, count(*) filter (z >= med) as n_up, count(*) filter (z < med) as n_low,
- round(case when any_value(q2) > any_value(q1) then 1 - (power(coalesce(sum(w) filter (z < q1), 0) / sum(w), 2) + power(coalesce(sum(w) filter (z >= q1 and z < q2), 0) / sum(w), 2) + power(coalesce(sum(w) filter (z >= q2), 0) / sum(w), 2)) end, 6) as mixing_sigma
- from {_NEAR} join {_MEDIANS} using (x_bin, y_bin) group by x_bin, y_bin""")
+def _variance_sql(which: str = "true") -> str:
+    """Weighted population variance of the neighbours in one half."""
+    w = f"sum(w) filter ({which})"
+    return f"greatest(sum(w * z * z) filter ({which}) / {w} - power(sum(w * z) filter ({which}) / {w}, 2), 0e0)"
+
+
+@query(f"""select x_bin, y_bin, sigma_um, round(total / (2 * pi() * sigma_um * sigma_um), 6) as rho_sigma, n_neighbor, n_up, n_low,
+ round(sqrt(every), 5) as z_std_all_sigma, round(sqrt(u), 5) as z_std_up_sigma, round(sqrt(l), 5) as z_std_low_sigma, round(sqrt(u) - sqrt(l), 5) as z_std_diff_sigma, round(mixing, 6) as mixing_sigma from (
+ select *, least(n_up / 8e0, 1) * coalesce(up, prior) + (1 - least(n_up / 8e0, 1)) * prior as u, least(n_low / 8e0, 1) * coalesce(low, prior) + (1 - least(n_low / 8e0, 1)) * prior as l from (
+  select x_bin, y_bin, s as sigma_um, sum(w) as total, count(*) as n_neighbor, count(*) filter (z >= med) as n_up, count(*) filter (z < med) as n_low, {_variance_sql()} as every, {_variance_sql('z >= med')} as up, {_variance_sql('z < med')} as low,
+   case when any_value(q2) > any_value(q1) then 1 - (power(coalesce(sum(w) filter (z < q1), 0) / sum(w), 2) + power(coalesce(sum(w) filter (z >= q1 and z < q2), 0) / sum(w), 2) + power(coalesce(sum(w) filter (z >= q2), 0) / sum(w), 2)) end as mixing
+  from {_NEAR} join {_MEDIANS} using (x_bin, y_bin, s) group by x_bin, y_bin, s), (select greatest(var_pop(z_mean_um - 10e0), 1e-6) as prior from cells))""")
 def sigma_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fields.sigma_fields(with_residual(spark, sf_dir), [15.0])
-    return rounded(rows.select(*CELL, "sigma_um", "rho_sigma", "n_neighbor", "n_up", "n_low", "mixing_sigma"))
+    spreads = [F.round(f"z_std_{n}_sigma", 5).alias(f"z_std_{n}_sigma") for n in ("all", "up", "low", "diff")]
+    rows = fields.sigma_fields(with_residual(spark, sf_dir))
+    return rounded(rows.select(*CELL, "sigma_um", "rho_sigma", "n_neighbor", "n_up", "n_low", *spreads, "mixing_sigma"))
 
 
 @query()
