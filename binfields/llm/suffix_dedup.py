@@ -13,7 +13,8 @@ text would decide that, but most suffixes can't have a copy, so they are left ou
 
 Whether such strings stand elsewhere is found by sorting them, which are suffixes cut at the length in question. A task
 sorts its own suffixes into runs, collapses equal ones, and front-codes the run (length of the prefix shared with the
-suffix before, and the rest). Runs are exchanged by ranges with sampled splitters. Each range is merged by a loser tree
+suffix before, and the rest). Runs are exchanged by ranges with sampled splitters (on two levels, if there are many
+ranges, so that the driver's share does not grow). Each range is merged by a loser tree
 that knows how much each head shares with the last winner: a longer shared prefix wins without a look at the bytes,
 and only at equal lengths are bytes compared, from there on. Equal neighbours are the copies.
 
@@ -473,10 +474,14 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, id_column: str = "doc_
 
     found, level, width = [], 0, length - gram_length(length) + 1
     while True:
-        splitters = _splitters(texts, nodes, length, width, tasks)
+        splitters, parts_inside, inner = _splitters(texts, nodes, length, width, tasks)
         own = texts.join(nodes.repartition(tasks, "digest"), "digest").select("digest", "packed", "nodes")
-        runs = own.mapInArrow(_make_runs(length, level == 0, splitters), "range int, known boolean, body binary")
-        repeated = runs.repartition(len(splitters) + 1, "range").sortWithinPartitions("range").mapInArrow(_merge_ranges, "digest binary, code long")
+        runs = own.mapInArrow(_make_runs(length, level == 0, splitters), _RUNS)
+        ranges = len(splitters) + 1
+        if inner is not None:
+            runs, ranges = _divided(runs, inner, parts_inside), ranges * parts_inside
+        places = min(ranges, max(tasks, MOST_PARTITIONS))
+        repeated = runs.repartitionById(places, F.pmod("range", F.lit(places))).sortWithinPartitions("range").mapInArrow(_merge_ranges, "digest binary, code long")
         codes = repeated.groupBy("digest").agg(F.collect_list("code").alias("codes"))
         decided = checkpoint(nodes.join(codes, "digest", "left").select("digest", "nodes", "codes").mapInArrow(_decide(level == 0), "digest binary, nodes binary, found binary"))
         found.append(decided.filter("found is not null").select("digest", "found"))
@@ -524,13 +529,14 @@ def _pack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Bytes of suffixes that a range should have before front-coding, keys sampled for each range, bytes of a splitter.
 RANGE_BYTES, KEYS_A_RANGE, SPLITTER_BYTES = 16 << 20, 20, 128
+#: Ranges that the driver divides all suffixes into, at most, so that what it draws and sends does not grow with the input;
+#: if they don't suffice, each is divided again by tasks. Partitions that ranges are dealt to, at most (or one for each task).
+OUTER_RANGES, INNER_RANGES, MOST_PARTITIONS = 1024, 4096, 10_000
+_RUNS = "range int, known boolean, body binary"
 
 
-def _splitters(texts: DataFrame, nodes: DataFrame, length: int, width: int, tasks: int) -> list[bytes]:
-    """Keys between ranges of suffixes, drawn anew for each level from a hashed share of the nodes, so long texts count by their nodes."""
-    total = nodes.agg(F.coalesce(F.sum(F.length("nodes")), F.lit(0)).alias("n")).first()["n"] // _NODE.itemsize
-    ranges = max(tasks, -(-total * (length + width) // RANGE_BYTES))
-    share = min(1.0, KEYS_A_RANGE * ranges / max(total, 1))
+def _drawn_keys(texts: DataFrame, nodes: DataFrame, share: float, tasks: int) -> DataFrame:
+    """Beginnings of the suffixes of a hashed share of the nodes, so long texts count by their nodes."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -555,6 +561,72 @@ def _splitters(texts: DataFrame, nodes: DataFrame, length: int, width: int, task
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary())})
 
     drawn = nodes.select("digest", "nodes").mapInArrow(draw, "digest binary, nodes binary")
-    picked = texts.join(F.broadcast(drawn), "digest").select("packed", "nodes").mapInArrow(keys_of, "key binary")
-    keys = sorted(bytes(r["key"]) for r in picked.collect())  # KEYS_A_RANGE short keys for each range
-    return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
+    return texts.join(drawn.repartition(tasks, "digest"), "digest").select("packed", "nodes").mapInArrow(keys_of, "key binary")
+
+
+def _cuts(keys: list[bytes], parts: int) -> list[bytes]:
+    return sorted({keys[k * len(keys) // parts] for k in range(1, parts)}) if keys else []
+
+
+def _splitters(texts: DataFrame, nodes: DataFrame, length: int, width: int, tasks: int) -> tuple[list[bytes], int, DataFrame | None]:
+    """Keys between OUTER_RANGES ranges at most, parts that each of these is divided into, and the keys inside it (range, body) if it is.
+
+    Drawn anew for each level. The driver sees KEYS_A_RANGE keys for each outer range, however large the input is.
+    """
+    total = nodes.agg(F.coalesce(F.sum(F.length("nodes")), F.lit(0)).alias("n")).first()["n"] // _NODE.itemsize
+    ranges = max(tasks, -(-total * (length + width) // RANGE_BYTES))
+    outer = min(ranges, max(tasks, OUTER_RANGES))
+    picked = _drawn_keys(texts, nodes, min(1.0, KEYS_A_RANGE * outer / max(total, 1)), tasks)
+    splitters = _cuts(sorted(bytes(r["key"]) for r in picked.collect()), outer)  # KEYS_A_RANGE short keys for each outer range
+    parts = min(-(-ranges // outer), INNER_RANGES)
+    if parts == 1:
+        return splitters, 1, None
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(splitters, k) for k in keys], pa.int32()), batch.column(0)], names=["range", "key"])
+
+    def cut(key: tuple, keys: pa.Table) -> pa.Table:
+        own = _cuts(sorted(keys.column("key").to_pylist()), parts)
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([b"".join(struct.pack("<H", len(k)) + k for k in own)], pa.binary())})
+
+    more = _drawn_keys(texts, nodes, min(1.0, KEYS_A_RANGE * outer * parts / max(total, 1)), tasks)
+    # a range has KEYS_A_RANGE * parts short keys
+    return splitters, parts, more.mapInArrow(placed, "range int, key binary").groupBy("range").applyInArrow(cut, "range int, body binary")
+
+
+def _divided(runs: DataFrame, inner: DataFrame, parts: int, salts: int = 16) -> DataFrame:
+    """Runs cut again by the keys inside their range, which stand first among the rows of a range and salt."""
+    cuts = inner.select("range", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(False).alias("known"), "body")
+    rows = runs.select("range", F.pmod(F.xxhash64("body"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "known", "body")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for batch in batches:
+            ranges, bodies, known = [], [], []
+            for r, kind, is_known, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now:
+                    now, own = r, []
+                if kind == 0:
+                    own, at = [], 0
+                    while at < len(body):
+                        n = struct.unpack_from("<H", body, at)[0]
+                        own.append(body[at + 2 : at + 2 + n])
+                        at += 2 + n
+                    continue
+                if is_known:
+                    pieces = [(0, body)]
+                else:
+                    entries = [(key, owner, more) for key, _, owner, more in _decode(body)]
+                    bounds = [0, *(bisect_right([e[0] for e in entries], k) for k in own), len(entries)]
+                    pieces = [(k, front_code(entries[a:b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+                for k, piece in pieces:
+                    ranges.append(r * parts + k)
+                    bodies.append(piece)
+                    known.append(is_known)
+            for at in range(0, len(ranges), 64):
+                yield pa.RecordBatch.from_pydict({"range": pa.array(ranges[at : at + 64], pa.int32()), "known": pa.array(known[at : at + 64]), "body": pa.array(bodies[at : at + 64], pa.binary())})
+
+    dealt = cuts.unionByName(rows).repartition("range", "salt").sortWithinPartitions("range", "salt", "kind")
+    return dealt.select("range", "kind", "known", "body").mapInArrow(split, _RUNS)

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,16 +101,23 @@ def test_odd_rows(odd_docs):
     assert Counter((r.doc_id, str([tuple(s) for s in r.spans]), r.kept_sha256) for r in rows) == want
 
 
-def test_small_ranges_against_brute_force(spark, monkeypatch):
-    """Many more ranges than tasks, and owners told in small pieces."""
+@pytest.mark.parametrize("outer", [1024, 2])
+def test_small_ranges_against_brute_force(spark, monkeypatch, outer):
+    """Many more ranges than tasks, on one level and on two, and owners told in small pieces."""
     from binfields.llm import suffix_dedup
 
+    divided = []
+    plain = suffix_dedup._divided
+    monkeypatch.setattr(suffix_dedup, "_divided", lambda *a: divided.append(1) or plain(*a))
+    monkeypatch.setattr(suffix_dedup, "OUTER_RANGES", outer)
+    monkeypatch.setattr(suffix_dedup, "MOST_PARTITIONS", 8)
     monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 2000)
     monkeypatch.setattr(suffix_dedup, "SPLITTER_BYTES", 8)
     rng = random.Random(9)
     passages = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (40, 70)]
     texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 80))) + rng.choice(passages)[rng.randint(0, 9) :] for _ in range(80)]
     check(spark, texts, 30)
+    assert bool(divided) == (outer == 2)
 
 
 def test_anchors_do_not_depend_on_steps():
