@@ -6,8 +6,8 @@ that are aligned is the coverage; a passage with enough coverage is a find.
 
 Templates are a bounded parameter (``MAX_TEMPLATE_WORDS``); texts stream through tasks, whole and one at a time, with no
 shuffle. In a long text the alignment runs on passages: places where enough of a template's own words (not
-function words) stand near each other. A passage that holds a notice several times is divided at its rarest own word,
-since repeated words could not anchor.
+function words) stand near each other. Where a passage holds a notice several times, copies are placed by the votes of all
+own words, and what no find covers is aligned again.
 
 Defined cases: null, empty and wordless texts have no finds; equal templates give the same finds under each name;
 repeated rows keep their own; an empty table gives an empty result; other columns are left out.
