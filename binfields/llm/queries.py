@@ -87,7 +87,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", F.concat_ws(",", F.col("evidence.id")).alias("nearest"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.concat_ws(",", F.col("evidence.id"), F.col("similar.id")).alias("nearest"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

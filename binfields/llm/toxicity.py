@@ -12,8 +12,11 @@
 4. A vote is the share of label 1 among the neighbours, each counting as a power of its cosine, with the share of label 1
    among examples that have no term as the prior. The score is its calibration: a logistic curve fitted to the votes that
    each example gets from the others. The neighbours are the evidence.
+5. Texts without a term look for their nearest examples by the cosine of all words, in a second index of the same kind
+   over ``max_word_examples`` examples of each label. Their votes have a curve of their own, fitted on examples without a
+   term; if these votes don't tell the label there, the prior stays the score.
 
-Defined cases: null, empty and term-free texts get the prior; null labels and labels other than 0 and 1 are left out,
+Defined cases: null, empty and wordless texts get the prior; null labels and labels other than 0 and 1 are left out,
 disagreeing ones count as the lower; of texts with one id the smallest is the example; without labels the score is 0.5;
 repeated rows keep their rows; an empty table gives an empty result; other columns are left out. The score never sees labels, lang, source or the id.
 """
@@ -86,6 +89,16 @@ class TermReader:
         return out
 
 
+class WordReader:
+    """Numbers and uses of the known words of a text."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.numbers = {w: k for k, w in enumerate(words)}
+
+    def counted(self, text: bytes) -> dict[int, int]:
+        return {k: n for w, n in Counter(text.translate(WORD_BYTES).split()).items() if (k := self.numbers.get(w)) is not None}
+
+
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples as inverted lists in blocks, with the largest weight of each term and block."""
 
@@ -105,11 +118,14 @@ class BlockMaxIndex:
         owners = np.repeat(np.arange(self.n), [len(v[2][0]) for v in weighted])
         weights = np.concatenate([v[2][1] for v in weighted]) if weighted else np.zeros(0)
         order = np.lexsort((owners, terms))
-        self.owners, self.postings = owners[order], weights[order]
-        self.starts = np.searchsorted(terms[order] * blocks + self.owners // block, np.arange(len(idf) * blocks + 1)).reshape(-1)
-        self.blocks = blocks
-        self.maxima = np.zeros((len(idf), blocks))
-        np.maximum.at(self.maxima, (terms, owners // block), weights)
+        self.owners, self.postings, self.blocks = owners[order], weights[order], blocks
+        # only blocks that a term occurs in are kept: where their postings begin, and their largest weight
+        keys = terms[order] * blocks + self.owners // block
+        begins = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.begins, self.sizes = begins, np.diff(begins, append=len(keys))
+        self.maxima = np.maximum.reduceat(self.postings, begins) if len(begins) else np.zeros(0)
+        self.block_of = keys[begins] % blocks
+        self.starts = np.searchsorted(keys[begins] // blocks, np.arange(len(idf) + 1))
 
     @staticmethod
     def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,31 +136,36 @@ class BlockMaxIndex:
     def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine; ties go to the smaller place."""
         terms, weights = self.weights(counts, self.idf)
-        bounds = weights @ self.maxima[terms]
+        n = self.starts[terms + 1] - self.starts[terms]
+        parts = np.repeat(self.starts[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shares = np.repeat(weights, n)
+        bounds = np.bincount(self.block_of[parts], weights=self.maxima[parts] * shares, minlength=self.blocks)
         # the blocks with the highest bounds first; then all that could still beat the k-th best of those
         order = np.argsort(-bounds, kind="stable")[: self.first_blocks]
         first = np.sort(order[bounds[order] > 0])
-        places, cosines = self._read(terms, weights, first, k)
+        places, cosines = self._read(parts, shares, first, k)
         least = cosines[-1] if len(cosines) >= k else 0.0
         open_ = (bounds > 0) & (bounds >= least - 1e-12)
         open_[first] = False
         rest = np.flatnonzero(open_)
         if len(rest):
-            more = self._read(terms, weights, rest, k)
+            more = self._read(parts, shares, rest, k)
             places, cosines = np.concatenate([places, more[0]]), np.concatenate([cosines, more[1]])
             best = np.lexsort((places, -np.round(cosines, 12)))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
-    def _read(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of some blocks; only the terms' postings in those blocks are read."""
-        lists = (terms[:, None] * self.blocks + blocks).ravel()
-        begins = self.starts[lists]
-        sizes = self.starts[lists + 1] - begins
-        at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    def _read(self, parts: np.ndarray, shares: np.ndarray, blocks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some blocks; only the query's postings in those blocks are read."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        mine = wanted[self.block_of[parts]]
+        parts, shares = parts[mine], shares[mine]
+        sizes = self.sizes[parts]
+        at = np.repeat(self.begins[parts] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         owners = self.owners[at]
         slots = np.searchsorted(blocks, owners // self.block) * self.block + owners % self.block
-        scores = np.bincount(slots, weights=self.postings[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), minlength=len(blocks) * self.block)
+        scores = np.bincount(slots, weights=self.postings[at] * np.repeat(shares, sizes), minlength=len(blocks) * self.block)
         hit = np.flatnonzero(scores > 0)
         best = hit[np.lexsort((hit, -np.round(scores[hit], 12)))[:k]]
         return blocks[best // self.block] * self.block + best % self.block, scores[best]
@@ -178,10 +199,10 @@ class Voter:
     def _odds(shares: np.ndarray) -> np.ndarray:
         return np.log((shares + 0.01) / (1.01 - shares))
 
-    def calibrate(self, shares: np.ndarray, labels: np.ndarray) -> None:
-        """Fits the logistic curve by Newton steps; a falling curve or a single label keeps the shares as they are."""
+    def calibrate(self, shares: np.ndarray, labels: np.ndarray) -> bool:
+        """Fits the logistic curve by Newton steps and tells whether it did; a falling curve or a single label keeps the shares as they are."""
         if len(set(labels.tolist())) < 2:
-            return
+            return False
         x = np.stack([np.ones(len(shares)), self._odds(shares)], 1)
         w, out = np.where(labels == 1, self.weight[1], self.weight[0]), np.array([0.0, 1.0])
         ridge = np.diag([1e-3, 1e-3])
@@ -191,6 +212,7 @@ class Voter:
             out = out + np.clip(step, -2, 2)
         if np.isfinite(out).all() and out[1] > 0:
             self.curve = (float(out[0]), float(out[1]))
+        return self.curve != (0.0, 1.0)
 
     def score(self, share: float) -> float:
         if self.curve == (0.0, 1.0):
@@ -226,22 +248,36 @@ def _select_terms(examples: DataFrame, least: int, evidence: float, lift: float)
     return sorted(bytes(r["term"]) for r in chosen.select("term").collect())  # terms of 2 * max_examples texts
 
 
-def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those with each term, over all documents."""
+def _shared_words(examples: DataFrame) -> list[bytes]:
+    """Words of two examples (text) at least; one example's own words can't bring another text nearer."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uses = Counter(w for text in text_bytes(batch.column(0)) for w in set(text.translate(WORD_BYTES).split()))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(uses), pa.binary()), "n": pa.array(list(uses.values()), pa.int64())})
+
+    counted = examples.select("text").mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return sorted(bytes(r["word"]) for r in counted.filter("n > 1").collect())  # words of 2 * max_word_examples texts
+
+
+def _document_frequencies(docs: DataFrame, terms: list[bytes], words: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of documents, and of those with each term and each word, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = TermReader(terms), np.zeros(len(terms) + 1, np.int64)
+        reader, plain, total = TermReader(terms), WordReader(words), np.zeros(len(terms) + len(words) + 1, np.int64)
         for batch in batches:
             for text in text_bytes(batch.column(0)):
                 total[-1] += 1
                 for k in reader.counted(text):
                     total[k] += 1
+                for k in plain.counted(text):
+                    total[len(terms) + k] += 1
         yield pa.RecordBatch.from_pydict({"place": np.arange(len(total)), "n": total})
 
-    out = np.zeros(len(terms) + 1, np.int64)
+    out = np.zeros(len(terms) + len(words) + 1, np.int64)
     for row in docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         out[row["place"]] = row["n"]
-    return int(out[-1]), out[:-1]
+    return int(out[-1]), out[: len(terms)], out[len(terms) : -1]
 
 
 def score_toxicity(
@@ -256,10 +292,11 @@ def score_toxicity(
     threshold: float = 0.7,
     neighbours: int = 15,
     max_examples: int = 4000,
+    max_word_examples: int = 1000,
     prior_weight: float = 0.3,
     sharpness: float = 4.0,
 ) -> DataFrame:
-    """id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold), evidence (example ids and cosines)."""
+    """id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold), evidence and similar (example ids and cosines): the neighbours by terms, and by all words where there is no term."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_column), F.col(text_column).alias("text"))
     out = held_out(F.col(id_column), folds, held_out_fold)
@@ -269,50 +306,79 @@ def score_toxicity(
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_examples rows of two numbers
     examples = checkpoint(texts.join(chosen, id_column).groupBy(id_column, "label").agg(F.min("text").alias("text")))
     terms = _select_terms(examples, least=3, evidence=20.0, lift=3.0)
-    total, frequency = _document_frequencies(texts, terms)
-    idf = np.log((total + 1) / (frequency + 1)) + 1 if terms else np.zeros(0)
+    fewer = [known.filter(F.col("label") == k).orderBy(F.xxhash64(id_column), id_column).limit(max_word_examples) for k in (0, 1)]
+    in_words = F.broadcast(fewer[0].unionByName(fewer[1]).select(id_column, F.lit(True).alias("plain")))
+    examples = checkpoint(examples.join(in_words, id_column, "left").withColumn("plain", F.coalesce("plain", F.lit(False))))
+    words = _shared_words(examples.filter("plain"))
+    total, frequency, word_frequency = _document_frequencies(texts, terms, words)
+    idf, word_idf = (np.log((total + 1) / (n + 1)) + 1 if len(n) else np.zeros(0) for n in (frequency, word_frequency))
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = TermReader(terms)
+        own, by_word = TermReader(terms), WordReader(words)
         for batch in batches:
-            counts = [own.counted(t) for t in text_bytes(batch.column(2))]
-            lists = [pa.array([list(f(c)) for c in counts], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "label", "terms", "uses"])
-
-    made = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("label", T.IntegerType()), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("terms", "uses"))])
-    vectors = checkpoint(examples.select(id_column, "label", "text").mapInArrow(vectors_of, made))
-    rows = [(r["id"], r["label"], dict(zip(r["terms"], r["uses"], strict=True))) for r in vectors.collect()]  # 2 * max_examples vectors
+            bodies, plain = list(text_bytes(batch.column(2))), batch.column(3).to_pylist()
+            counts = [own.counted(t) for t in bodies], [by_word.counted(t) if p else {} for t, p in zip(bodies, plain, strict=True)]
+            lists = [pa.array([list(f(c)) for c in some], pa.list_(pa.int32())) for some in counts for f in (dict.keys, dict.values)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, batch.column(3)], names=["id", "label", "terms", "uses", "words", "word_uses", "plain"])
+
+    arrays = (T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("terms", "uses", "words", "word_uses"))
+    made = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("label", T.IntegerType()), *arrays, T.StructField("plain", T.BooleanType())])
+    vectors = checkpoint(examples.select(id_column, "label", "text", "plain").mapInArrow(vectors_of, made))
+    drawn = vectors.collect()  # 2 * max_examples vectors
+    rows = [(r["id"], r["label"], dict(zip(r["terms"], r["uses"], strict=True))) for r in drawn]
+    by_words = [(r["id"], r["label"], dict(zip(r["words"], r["word_uses"], strict=True))) for r in drawn if r["plain"]]
     # an example stands for this many labelled rows
     count, bare = ([sum(y == k and (every or not c) for _, y, c in rows) for k in (0, 1)] for every in (True, False))
     weight = [sizes.get(k, 0) / max(count[k], 1) for k in (0, 1)]
     without = [bare[k] * weight[k] for k in (0, 1)]
     prior = (without[1] + 0.5) / (sum(without) + 1)
     voter = Voter(terms, BlockMaxIndex([r for r in rows if r[2]], idf), weight, prior, neighbours, prior_weight, sharpness)
-    uncalibrated = context.broadcast(voter)  # max_examples bounds it
+    # where a text has no term, the nearest by all words tell what they can
+    of_label = [sum(y == k for _, y, _ in by_words) for k in (0, 1)]
+    word_voter = Voter(words, BlockMaxIndex([r for r in by_words if r[2]], word_idf), [sizes.get(k, 0) / max(of_label[k], 1) for k in (0, 1)], prior, neighbours, prior_weight, sharpness)
+    uncalibrated = context.broadcast((voter, word_voter))  # max_examples bounds it
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, uses, counts = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            shares = [uncalibrated.value.vote(dict(zip(t, n, strict=True)), but=i)[0] for i, t, n in zip(ids, uses, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(shares, pa.float64())], names=["label", "share"])
-
-    told_by_others = vectors.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").mapInArrow(left_out, "label int, share double").collect()
+            by_term, by_word = uncalibrated.value
+            ids, labels, terms, uses, words, word_uses, plain = (c.to_pylist() for c in batch.columns)
+            shares = [by_term.vote(dict(zip(t, n, strict=True)), but=i)[0] for i, t, n in zip(ids, terms, uses, strict=True)]
+            word_shares = [by_word.vote(dict(zip(w, n, strict=True)), but=i)[0] if p and not t else None for i, w, n, p, t in zip(ids, words, word_uses, plain, terms, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(shares, pa.float64()), pa.array(word_shares, pa.float64())], names=["label", "share", "word_share"])
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told_by_others = vectors.repartition(tasks, "id").mapInArrow(left_out, "label int, share double, word_share double").collect()  # 2 * max_examples
     voter.calibrate(np.array([r["share"] for r in told_by_others]), np.array([r["label"] for r in told_by_others]))
-    shared = context.broadcast(voter)
+    without_term = [r for r in told_by_others if r["word_share"] is not None]
+    # by all words a vote counts only as far as votes among examples without a term have told their label
+    informed = word_voter.calibrate(np.array([r["word_share"] for r in without_term]), np.array([r["label"] for r in without_term]))
+    shared = context.broadcast((voter, word_voter, informed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        reader, near = TermReader(own.terms), own.index
+        own, other, informed = shared.value
+        reader, plain = TermReader(own.terms), WordReader(other.terms)
+
+        def told(voter: Voter, places: np.ndarray, cosines: np.ndarray) -> list[dict]:
+            near = voter.index
+            return [{"id": str(i), "label": int(y), "cosine": float(c)} for i, y, c in zip(near.ids[places], near.labels[places], cosines, strict=True)]
+
         for batch in batches:
-            scores, evidence = [], []
+            scores, evidence, similar = [], [], []
             for text in text_bytes(batch.column(1)):
-                share, places, cosines = own.vote(reader.counted(text))
+                counts = reader.counted(text)
+                share, *near = own.vote(counts)
                 scores.append(own.score(share))
-                evidence.append([{"id": str(i), "label": int(y), "cosine": float(c)} for i, y, c in zip(near.ids[places], near.labels[places], cosines, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[id_column, "score", "evidence"])
+                evidence.append(told(own, *near))
+                similar.append([])
+                if not counts:
+                    share, *near = other.vote(plain.counted(text))
+                    similar[-1] = told(other, *near)
+                    if informed and similar[-1]:
+                        scores[-1] = other.score(share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind), pa.array(similar, kind)], names=[id_column, "score", "evidence", "similar"])
 
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
-    told = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([docs.schema[id_column], T.StructField("score", T.DoubleType()), T.StructField("evidence", told)])
+    neighbours_told = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
+    schema = T.StructType([docs.schema[id_column], T.StructField("score", T.DoubleType()), T.StructField("evidence", neighbours_told), T.StructField("similar", neighbours_told)])
     scored = texts.mapInArrow(score, schema)
-    return scored.select(id_column, out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    return scored.select(id_column, out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "similar")

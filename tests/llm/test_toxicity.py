@@ -120,3 +120,35 @@ def test_odd_rows(spark, odd_docs, no_docs, labels):
     assert len(rows) == 15 and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in score_toxicity(odd_docs, labels.limit(0)).collect()} == {0.5}
     assert score_toxicity(no_docs, labels).count() == 0
+
+
+def test_texts_without_terms_have_their_nearest_by_all_words(spark):
+    """Words, document frequencies, cosines and neighbours recomputed plainly for every document without a term."""
+    from collections import Counter
+    from math import log, sqrt
+    from zlib import crc32
+
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+    docs = [(i, t + (" zzfool zzdolt zzfool" if i % 5 == 0 else "")) for i, t in docs]
+    label = {i: int(i % 5 == 0) for i, _ in docs}
+    texts = {i: t.encode() for i, t in docs}
+    train = [i for i in texts if crc32(str(i).encode()) % 3 != 1]
+    shared = {w for w, n in Counter(w for i in train for w in set(texts[i].split())).items() if n > 1}
+    frequency = Counter(w for t in texts.values() for w in set(t.split()) & shared)
+
+    def vector(text):
+        raw = {w: (1 + log(n)) * (log((len(texts) + 1) / (frequency[w] + 1)) + 1) for w, n in Counter(text.split()).items() if w in shared}
+        norm = sqrt(sum(v * v for v in raw.values()))
+        return {w: v / norm for w, v in raw.items()}
+
+    vectors = {i: vector(t) for i, t in texts.items()}
+    rows = score_toxicity(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(list(label.items()), "doc_id long, toxic int")).collect()
+    plain = [r for r in rows if not r.evidence]
+    assert len(rows) == 150 and len(plain) > 90 and all(not r.similar for r in rows if r.evidence)
+    for r in plain:
+        cosines = {str(i): sum(v * vectors[i].get(w, 0) for w, v in vectors[r.doc_id].items()) for i in train}
+        best = sorted((c for c in cosines.values() if c > 1e-12), reverse=True)[:15]
+        assert len(r.similar) == len(best) and np.allclose([x["cosine"] for x in r.similar], best)
+        assert all(abs(cosines[x["id"]] - x["cosine"]) < 1e-9 and label[int(x["id"])] == x["label"] for x in r.similar)
+    assert sum(r.predicted == label[r.doc_id] for r in rows) >= 148
