@@ -16,7 +16,9 @@ empty result; other columns of the input are left out.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -145,15 +147,19 @@ def judge_urls(
     id_column: str = "page_id",
     url_column: str = "url",
     default: str = "allow",
-    max_local_rules: int = 20_000_000,
+    max_local_rules: int = 1_000_000,
+    max_local_bytes: int = 64_000_000,
 ) -> DataFrame:
     """id, host, path, rule (host and path of the longest rule that fits, else null), verdict."""
     spark = pages.sparkSession
     cleaned = _clean(rules)
     urls = pages.select(F.col(id_column), host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
-    if cleaned.limit(max_local_rules + 1).count() > max_local_rules:
+    size = cleaned.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > max_local_rules or size["bytes"] > max_local_bytes:
         return _judge_by_join(urls, cleaned, id_column, default)
+    # the driver serves the file to executors until it ends
     folder = tempfile.mkdtemp(prefix="url-rules-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     file = os.path.join(folder, f"{os.path.basename(folder)}.digests")
     write_digests(((r.host, r.path, r.verdict) for r in cleaned.toLocalIterator()), file)
     spark.sparkContext.addFile(file)

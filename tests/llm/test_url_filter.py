@@ -44,6 +44,7 @@ def test_rules_of_the_query(spark):
 def test_list_beyond_the_local_bound(spark):
     check(spark, URLS, URL_RULES, max_local_rules=2)
     check(spark, URLS, [], max_local_rules=2)
+    check(spark, URLS, URL_RULES, max_local_bytes=20)
 
 
 def test_repeated_rules_and_empty_table(spark):
