@@ -45,6 +45,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*names.values())
 
 
+#: Rows of a few numbers each that are broadcast.
+_FEW = 100_000
+
+
+def _few(totals: DataFrame) -> DataFrame:
+    """One row for each group: broadcast if they are few, so that a few large groups do not meet in as few tasks."""
+    return F.broadcast(totals) if totals.limit(_FEW + 1).count() <= _FEW else totals
+
+
 def midrank(rows: DataFrame, value: str, groups: Sequence[str] = (), name: str = "midrank") -> DataFrame:
     """Adds the average rank of ``value`` (nulls get none). Ties are counted first, so sums run over different values only."""
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
@@ -58,7 +67,7 @@ def order_statistics(rows: DataFrame, value: str, qs: Sequence[float], groups: S
     counted = rows.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
     placed = checkpoint(running_sum(counted, ["_v"], "_n", groups, "_below"))
     totals = placed.groupBy(*groups).agg(F.max(F.col("_below") + F.col("_n")).alias("_total"))
-    joined = join_null_safe(placed, totals, groups) if groups else placed.join(F.broadcast(totals))
+    joined = join_null_safe(placed, _few(totals), groups) if groups else placed.join(F.broadcast(totals))
     parts = []
     for k, q in enumerate(qs):
         at = (F.col("_total") - 1) * F.lit(float(q))
@@ -176,4 +185,4 @@ def weighted_quantile(rows: DataFrame, value: str, weight: str, groups: Sequence
         totals = summed.agg(F.sum("_w").alias("_total"))
         return summed.join(F.broadcast(totals)).filter(reached >= q * F.col("_total")).agg(F.min(value).alias(name))
     totals = summed.groupBy(*groups).agg(F.sum("_w").alias("_total"))
-    return summed.join(totals, list(groups)).filter(reached >= q * F.col("_total")).groupBy(*groups).agg(F.min(value).alias(name))
+    return summed.join(_few(totals), list(groups)).filter(reached >= q * F.col("_total")).groupBy(*groups).agg(F.min(value).alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from binfields.operators import baseline, dge, fields, mixture, potts
 from binfields.operators.grid import CELL
 from binfields.plans import fixture as fx
-from binfields.plans.fixture import A, B, query, rounded
+from binfields.plans.fixture import A, B, normal_sql, query, rounded
 from binfields.plans.jobs import cell_fields, interface_job, scale_labels, segmentation, sigma_lambda_matrix, sigma_lambda_table
 from binfields.plans.space_queries import _WEIGHTED, pairs, weighted_edges
 from binfields.sources.scratch import checkpoint
@@ -51,9 +51,12 @@ def sigma_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select(*CELL, "sigma_um", "rho_sigma", "n_neighbor", "n_up", "n_low", *spreads, "mixing_sigma"))
 
 
-@query()
+_AXIS = "select distinct {a}_bin, " + f"{normal_sql('(hi - {a}_um) / 30e0')} + {normal_sql('({a}_um - lo) / 30e0')} - 1" + " as share from cells, (select min({a}_um) as lo, max({a}_um) as hi from cells)"
+
+
+@query(f"select x_bin, y_bin, round(least(greatest(sx.share * sy.share, 1e-3), 1e0), 8) as corr from cells join ({_AXIS.format(a='x')}) sx using (x_bin) join ({_AXIS.format(a='y')}) sy using (y_bin)")
 def edge_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.edge_correction(fx.cells(spark, sf_dir), 30.0).select(*CELL, "corr")
+    return rounded(fields.edge_correction(fx.cells(spark, sf_dir), 30.0).select(*CELL, "corr"), 8)
 
 
 @query("""select x_bin, y_bin, round(5e-1 * raw + 5e-1 * (row_number() over (order by raw, x_bin, y_bin) - 1) / (count(*) over () - 1), 5) as confidence_weight from (
@@ -207,7 +210,24 @@ def pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(potts.pseudo_likelihood(given(spark, sf_dir), weighted_edges(spark, sf_dir), 0.5))
 
 
-@query()
+def _icm_sql(lam: str, sweeps: int) -> str:
+    """Sweeps over the four cell colours, one common table for each move of a colour."""
+    steps = []
+    for i in range(4 * sweeps):
+        ox, oy = i % 4 // 2, i % 2
+        mine = f"((x_bin % 2) + 2) % 2 = {ox} and ((y_bin % 2) + 2) % 2 = {oy}"
+        costs = ", ".join(f"unary[{k + 1}] + {lam} * (coalesce(total, 0) - coalesce(v{k}, 0))" for k in range(3))
+        votes = f"select e.x_bin, e.y_bin, sum(w) as total, {', '.join(f'sum(w) filter (label = {k}) as v{k}' for k in range(3))} from both_ends e join s{i} s on s.x_bin = e.nx and s.y_bin = e.ny group by e.x_bin, e.y_bin"
+        steps.append(f"""s{i + 1} as materialized (
+ select x_bin, y_bin, label_raw, unary, cast(case when {mine} and c[label + 1] > list_min(c) then list_position(c, list_min(c)) - 1 else label end as integer) as label
+ from (select *, [{costs}] as c from s{i} left join ({votes}) using (x_bin, y_bin)))""")
+    return f"""select * from (with edges as materialized (select * from {_WEIGHTED}), both_ends as materialized (select x_bin, y_bin, nx, ny, w from edges union all select nx, ny, x_bin, y_bin, w from edges),
+s0 as materialized (select x_bin, y_bin, cast(list_position(unary, list_min(unary)) - 1 as integer) as label_raw, unary, cast(list_position(unary, list_min(unary)) - 1 as integer) as label from {_GIVEN}),
+{", ".join(steps)}
+select x_bin, y_bin, label_raw, label from s{4 * sweeps})"""
+
+
+@query(_icm_sql("5e-1", 10))
 def potts_icm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given(spark, sf_dir).withColumn("label_raw", (F.array_position("unary", F.array_min("unary")) - 1).cast("int")).drop("label")
     return potts.potts_icm(rows, checkpoint(weighted_edges(spark, sf_dir)), 0.5).select(*CELL, "label_raw", "label")

@@ -370,10 +370,10 @@ def format_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir).select("feature_name", scalar.format_q(F.col("qval")).alias("q"))
 
 
-@query()
+@query(f"select x_bin, y_bin, round(z, 8) as z, round({fx.normal_sql('z')}, 8) as cdf, round({fx.normal_sql('-z')}, 8) as sf from (select x_bin, y_bin, (z_mean_um - 10e0) / 5e0 as z from cells)")
 def normal_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = ((F.col("z_mean_um") - 10.0) / 5.0).alias("z")
-    return fx.cells(spark, sf_dir).select(*CELL, z).withColumn("cdf", scalar.normal_cdf("z")).withColumn("sf", scalar.normal_sf("z"))
+    return rounded(fx.cells(spark, sf_dir).select(*CELL, z).withColumn("cdf", scalar.normal_cdf("z")).withColumn("sf", scalar.normal_sf("z")), 8)
 
 
 @query("select cluster_sorted, feature_name, cast(rank as integer) as rank from (select cluster_sorted, feature_name, row_number() over (partition by cluster_sorted order by n desc, feature_name) as rank from (select cluster_sorted, feature_name, sum(count) as n from counts group by cluster_sorted, feature_name)) where rank <= 5")
