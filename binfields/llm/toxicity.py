@@ -73,7 +73,9 @@ class TermReader:
 
     def counted(self, text: bytes) -> dict[int, int]:
         """Number and uses of each term; the terms for repeats count once."""
-        words = text.translate(WORD_BYTES).split()
+        return self.of_words(text.translate(WORD_BYTES).split())
+
+    def of_words(self, words: list[bytes]) -> dict[int, int]:
         wanted = {w for w in set(words) if self.of_word(w)}
         if not wanted:
             return {}
@@ -96,7 +98,13 @@ class WordReader:
         self.numbers = {w: k for k, w in enumerate(words)}
 
     def counted(self, text: bytes) -> dict[int, int]:
-        return {k: n for w, n in Counter(text.translate(WORD_BYTES).split()).items() if (k := self.numbers.get(w)) is not None}
+        return self.of_words(text.translate(WORD_BYTES).split())
+
+    def of_words(self, words: list[bytes]) -> dict[int, int]:
+        return {k: n for w, n in Counter(words).items() if (k := self.numbers.get(w)) is not None}
+
+    def present(self, words: list[bytes]) -> list[int]:
+        return [self.numbers[w] for w in self.numbers.keys() & set(words)]
 
 
 class BlockMaxIndex:
@@ -268,10 +276,11 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes], words: list[bytes
         for batch in batches:
             for text in text_bytes(batch.column(0)):
                 total[-1] += 1
-                for k in reader.counted(text):
-                    total[k] += 1
-                for k in plain.counted(text):
-                    total[len(terms) + k] += 1
+                own = text.translate(WORD_BYTES).split()
+                total[list(reader.of_words(own))] += 1
+                held = plain.present(own)
+                if held:
+                    total[len(terms) + np.array(held)] += 1
         yield pa.RecordBatch.from_pydict({"place": np.arange(len(total)), "n": total})
 
     out = np.zeros(len(terms) + len(words) + 1, np.int64)
@@ -365,13 +374,14 @@ def score_toxicity(
         for batch in batches:
             scores, evidence, similar = [], [], []
             for text in text_bytes(batch.column(1)):
-                counts = reader.counted(text)
+                words = text.translate(WORD_BYTES).split()
+                counts = reader.of_words(words)
                 share, *near = own.vote(counts)
                 scores.append(own.score(share))
                 evidence.append(told(own, *near))
                 similar.append([])
                 if not counts:
-                    share, *near = other.vote(plain.counted(text))
+                    share, *near = other.vote(plain.of_words(words))
                     similar[-1] = told(other, *near)
                     if informed and similar[-1]:
                         scores[-1] = other.score(share)
