@@ -56,32 +56,43 @@ def terms_in(text: bytes) -> set[bytes]:
 
 
 class TermReader:
-    """Term numbers of texts; remembers which bases a word has."""
+    """Term numbers of texts; remembers which words have bases of terms, and which have none."""
 
     def __init__(self, terms: list[bytes]) -> None:
         self.numbers = {t: k for k, t in enumerate(terms)}
         self.bases = {t.split(b"#")[0] for t in terms}
-        self.memo: dict[bytes, tuple[bytes, ...]] = {}
-
-    def of_word(self, word: bytes) -> tuple[bytes, ...]:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            found = self.memo[word] = tuple(b for b in bases_of(word) if b in self.bases)
-        return found
+        #: The bases that are beginnings, by their bytes without the mark, and the first bytes of those.
+        self.beginnings = {b[1:]: b for b in self.bases if b.startswith(b"^")}
+        self.heads = {b[: BEGINNINGS[0]] for b in self.beginnings}
+        self.seen: set[bytes] = set()
+        self.bearing: dict[bytes, tuple[bytes, ...]] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.seen) > 300_000:
+            self.seen.clear()
+            self.bearing.clear()
+        new = words - self.seen
+        self.seen |= new
+        for w in new:
+            found = [w] if w in self.bases else []
+            if w[: BEGINNINGS[0]] in self.heads:
+                found += [self.beginnings[w[:n]] for n in BEGINNINGS if len(w) >= n and w[:n] in self.beginnings]
+            if found:
+                self.bearing[w] = tuple(found)
 
     def counted(self, text: bytes) -> dict[int, int]:
         """Number and uses of each term; the terms for repeats count once."""
         return self.of_words(text.translate(WORD_BYTES).split())
 
-    def of_words(self, words: list[bytes]) -> dict[int, int]:
-        wanted = {w for w in set(words) if self.of_word(w)}
+    def of_words(self, words: list[bytes], distinct: set[bytes] | None = None) -> dict[int, int]:
+        distinct = set(words) if distinct is None else distinct
+        self._learn(distinct)
+        wanted = self.bearing.keys() & distinct
         if not wanted:
             return {}
         uses: Counter[bytes] = Counter()
         for w, n in Counter(filter(wanted.__contains__, words)).items():
-            for b in self.of_word(w):
+            for b in self.bearing[w]:
                 uses[b] += n
         out = {self.numbers[b]: n for b, n in uses.items() if b in self.numbers}
         for b, n in uses.items():
@@ -103,9 +114,6 @@ class WordReader:
     def of_words(self, words: list[bytes]) -> dict[int, int]:
         return {k: n for w, n in Counter(words).items() if (k := self.numbers.get(w)) is not None}
 
-    def present(self, words: list[bytes]) -> list[int]:
-        return [self.numbers[w] for w in self.numbers.keys() & set(words)]
-
 
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples as inverted lists in blocks, with the largest weight of each term and block."""
@@ -171,12 +179,14 @@ class BlockMaxIndex:
         parts, shares = parts[mine], shares[mine]
         sizes = self.sizes[parts]
         at = np.repeat(self.begins[parts] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        owners = self.owners[at]
-        slots = np.searchsorted(blocks, owners // self.block) * self.block + owners % self.block
-        scores = np.bincount(slots, weights=self.postings[at] * np.repeat(shares, sizes), minlength=len(blocks) * self.block)
+        scores = np.bincount(self.owners[at], weights=self.postings[at] * np.repeat(shares, sizes), minlength=self.n)
         hit = np.flatnonzero(scores > 0)
-        best = hit[np.lexsort((hit, -np.round(scores[hit], 12)))[:k]]
-        return blocks[best // self.block] * self.block + best % self.block, scores[best]
+        rounded = np.round(scores[hit], 12)
+        if len(hit) > k:
+            top = rounded >= np.partition(rounded, -k)[-k]
+            hit, rounded = hit[top], rounded[top]
+        best = hit[np.lexsort((hit, -rounded))[:k]]
+        return best, scores[best]
 
 
 class Voter:
@@ -272,15 +282,17 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes], words: list[bytes
     """Number of documents, and of those with each term and each word, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, plain, total = TermReader(terms), WordReader(words), np.zeros(len(terms) + len(words) + 1, np.int64)
+        reader, plain, total = TermReader(terms), WordReader(words).numbers, np.zeros(len(terms) + len(words) + 1, np.int64)
+        in_texts: Counter[bytes] = Counter()
         for batch in batches:
             for text in text_bytes(batch.column(0)):
                 total[-1] += 1
                 own = text.translate(WORD_BYTES).split()
-                total[list(reader.of_words(own))] += 1
-                held = plain.present(own)
-                if held:
-                    total[len(terms) + np.array(held)] += 1
+                distinct = set(own)
+                total[list(reader.of_words(own, distinct))] += 1
+                in_texts.update(plain.keys() & distinct)
+        for w, n in in_texts.items():
+            total[len(terms) + plain[w]] = n
         yield pa.RecordBatch.from_pydict({"place": np.arange(len(total)), "n": total})
 
     out = np.zeros(len(terms) + len(words) + 1, np.int64)
@@ -367,9 +379,14 @@ def score_toxicity(
         own, other, informed = shared.value
         reader, plain = TermReader(own.terms), WordReader(other.terms)
 
-        def told(voter: Voter, places: np.ndarray, cosines: np.ndarray) -> list[dict]:
-            near = voter.index
-            return [{"id": str(i), "label": int(y), "cosine": float(c)} for i, y, c in zip(near.ids[places], near.labels[places], cosines, strict=True)]
+        none = np.zeros(0, np.int64), np.zeros(0)
+        names = [pa.array([str(i) for i in v.index.ids], pa.string()) for v in (own, other)]
+
+        def told(which: int, near: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+            places, cosines = (np.concatenate([np.zeros(0, t), *(n[c] for n in near)]) for c, t in enumerate((np.int64, np.float64)))
+            labels = (own, other)[which].index.labels[places].astype(np.int32)
+            columns = [names[which].take(pa.array(places)), pa.array(labels), pa.array(cosines)]
+            return pa.ListArray.from_arrays(np.cumsum([0, *(len(n[0]) for n in near)]).astype(np.int32), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)))
 
         for batch in batches:
             scores, evidence, similar = [], [], []
@@ -378,14 +395,14 @@ def score_toxicity(
                 counts = reader.of_words(words)
                 share, *near = own.vote(counts)
                 scores.append(own.score(share))
-                evidence.append(told(own, *near))
-                similar.append([])
+                evidence.append(near)
+                similar.append(none)
                 if not counts:
                     share, *near = other.vote(plain.of_words(words))
-                    similar[-1] = told(other, *near)
-                    if informed and similar[-1]:
+                    similar[-1] = near
+                    if informed and len(near[0]):
                         scores[-1] = other.score(share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind), pa.array(similar, kind)], names=[id_column, "score", "evidence", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), told(0, evidence), told(1, similar)], names=[id_column, "score", "evidence", "similar"])
 
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
     neighbours_told = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
