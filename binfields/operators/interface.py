@@ -16,6 +16,7 @@ from binfields.functions.summary import cohens_d
 from binfields.operators.grid import BIN_SIZE_UM, CELL
 from binfields.operators.markers import two_sided
 from binfields.operators.neighbors import with_halo
+from binfields.sources.scratch import checkpoint
 
 # Radii and distance windows.
 RADII = (40, 60, 80, 100, 120)
@@ -104,7 +105,8 @@ def radius_heterogeneity(cells: DataFrame, scores: DataFrame, radii: Sequence[in
 def radius_sweep(cells: DataFrame, density: DataFrame, heterogeneity: DataFrame, value: str, region: str = "region") -> DataFrame:
     """Per radius and region: Spearman and partial Spearman (given the log count) of the value with both neighbourhood measures."""
     base = cells.select(*CELL, region, value, F.log1p("transcript_count").alias("_cov"))
-    rows = base.join(density, list(CELL)).join(heterogeneity, [*CELL, "radius_um"], "left")
+    # four rank statistics read these rows, each several times
+    rows = checkpoint(base.join(density, list(CELL)).join(heterogeneity, [*CELL, "radius_um"], "left"))
     keys, out = ["radius_um", region], None
     for measure, name in (("density", "density"), ("heterogeneity", "heter_soft")):
         plain = spearman(rows, value, measure, keys, name=f"rho_z_{name}").drop("n")
