@@ -52,11 +52,15 @@ def _word_statistics(text: bytes) -> tuple[int, int, int, int, int]:
     return n, len(counts), max(counts.values()), stutter, text.count(b". ") + text.count(b".\n") + text.endswith(b".")
 
 
+#: Bytes of texts whose kinds are counted at once; numpy takes some thirty times as much meanwhile, and workers don't give it back.
+SLICE_BYTES = 1 << 18
+
+
 def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """One row of transformed statistics for each text."""
     n = len(offsets) - 1
     out = np.empty((n, len(FEATURES)))
-    for begin, end in slices(n, offsets, 1 << 21):
+    for begin, end in slices(n, offsets, SLICE_BYTES):
         at = offsets[begin : end + 1]
         own = data[at[0] : at[-1]]
         sizes = np.diff(at)

@@ -21,9 +21,16 @@ from binfields.llm.quality import keep_good
 from binfields.llm.queries import tokenizer_path
 
 
+#: Arrow batches of the stages that need no more at a time. All stages have the same Python workers, which keep what they
+#: once took, beside an executor whose heap is full by then.
+SMALLEST_BATCHES = "1m"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    small_batches(spark, SMALLEST_BATCHES)
+    return keep_good(docs, labels)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +53,15 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), keep_columns=("_row",))
+    benchmark = table(spark, sf_dir, "benchmark")
+    small_batches(spark, SMALLEST_BATCHES)
+    found = find_contamination(rows, benchmark, keep_columns=("_row",))
     return found.filter(~is_contaminated()).select("_row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, packed."""
-    small_batches(spark)
+    small_batches(spark, SMALLEST_BATCHES)
     return pack_documents(docs, tokenizer_path())
 
 

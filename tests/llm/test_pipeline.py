@@ -53,3 +53,8 @@ def test_stages_keep_columns_and_odd_rows(spark, odd_docs, no_docs):
             assert now.count() <= docs.count()
 
 
+def test_python_stages_take_small_batches(spark, odd_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("quality_classifier", "decontamination", "best_fit_packing"):
+            stage(spark, odd_docs, FOLDER)
+            assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m", name

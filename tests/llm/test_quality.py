@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -120,3 +121,12 @@ def test_query_against_brute_force(spark):
     for r in rows:
         held, score = want[r.doc_id]
         assert r.held_out == held and abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.3)
+
+
+def test_statistics_take_few_times_a_batch():
+    texts = text_view(pa.array(["Some plain words, and then a stop.\n" * 100] * 1200))
+    tracemalloc.start()
+    rows = features(*texts)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 4 * texts[0][-1] and (rows == rows[0]).all()
