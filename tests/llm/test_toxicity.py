@@ -152,3 +152,58 @@ def test_texts_without_terms_have_their_nearest_by_all_words(spark):
         assert len(r.similar) == len(best) and np.allclose([x["cosine"] for x in r.similar], best)
         assert all(abs(cosines[x["id"]] - x["cosine"]) < 1e-9 and label[int(x["id"])] == x["label"] for x in r.similar)
     assert sum(r.predicted == label[r.doc_id] for r in rows) >= 148
+
+
+def test_frequent_terms_are_not_read_as_postings_and_company_changes_nothing():
+    rng = random.Random(7)
+    idf = np.array([rng.uniform(1, 5) for _ in range(300)])
+    vectors = [(i, rng.randint(0, 1), {**{t: rng.randint(1, 4) for t in range(12) if rng.random() < 0.5}, **{rng.randrange(12, 300): 1 for _ in range(6)}}) for i in range(900)]
+    vectors += [(1000 + i, label, dict(counts)) for i, label, counts in vectors[:100]]  # copies tie
+    index = BlockMaxIndex(vectors, idf, block=16)
+    uses = sum(len(c) for _, _, c in vectors)
+    assert index.panel.shape == (1000, 12) and len(index.postings) == uses - np.count_nonzero(index.panel) < 0.6 * uses
+    dense, counts = np.zeros((index.n, 300)), {i: c for i, _, c in vectors}
+    for row, i in enumerate(index.ids.tolist()):
+        t, w = index.weights(counts[i], idf)
+        dense[row, t] = w
+    queries = [{rng.choice([rng.randrange(12), rng.randrange(300)]): rng.randint(1, 3) for _ in range(rng.randint(0, 20))} for _ in range(80)] + [{5: 1}, {200: 2}, {}]
+    queries += queries[:10]
+    rows = [(q, t, n) for q, c in enumerate(queries) for t, n in sorted(c.items())]
+    index.cells = 37 * index.n
+    of, places, cosines = index.search(*(np.array(c) for c in zip(*rows, strict=True)), len(queries), 10)
+    for q, query in enumerate(queries):
+        mine = of == q
+        alone = index.nearest(query, 10)
+        assert places[mine].tolist() == alone[0].tolist() and cosines[mine].tolist() == alone[1].tolist()
+        t, w = index.weights(query, idf) if query else ([], [])
+        want = dense[:, t] @ w if query else np.zeros(index.n)
+        order = np.lexsort((np.arange(index.n), -np.round(want, 12)))[:10]
+        assert places[mine].tolist() == order[want[order] > 0].tolist() and np.allclose(cosines[mine], want[places[mine]], rtol=0, atol=1e-12)
+
+
+def test_slices_are_read_as_single_texts_are():
+    from collections import Counter
+
+    from binfields.llm.common import WORD_BYTES
+    from binfields.llm.toxicity import Reader, bases_of, repeated, terms_in
+
+    rng = random.Random(5)
+    letters = ["a", "b", "A", "é", "日", "0"]
+    pool = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 17, 30]))) for _ in range(300)]
+    pool += ["aaaaaaaa" + "a" * n for n in range(12)]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "  ", "\n", "\0", "-", "^"]) for _ in range(rng.randint(0, 30))).encode() for _ in range(200)]
+    texts += [b"", b"   ", b"a", "日".encode() * 9, b"abab" * 5000]
+    split = [t.translate(WORD_BYTES).split() for t in texts]
+    terms = sorted(t for t in set().union(*map(terms_in, texts)) if rng.random() < 0.5)
+    words = sorted(w for w in {w for own in split for w in own} if rng.random() < 0.5)
+    assert any(len(w) > 16 for w in words) and any(len(t) == 9 and t.startswith(b"^") for t in terms)
+    found = [list(zip(*(c.tolist() for c in rows), strict=True)) for rows in Reader(terms, words).read(texts)]
+    term_of, word_of = ({x: k for k, x in enumerate(xs)} for xs in (terms, words))
+    want = [], []
+    for k, own in enumerate(split):
+        bases = Counter(b for w in own for b in bases_of(w))
+        uses = {b: n for b, n in bases.items()} | {repeated(b, least): 1 for b, n in bases.items() for least in (2, 3) if n >= least}
+        want[0].extend(sorted((k, term_of[t], n) for t, n in uses.items() if t in term_of))
+        want[1].extend(sorted((k, word_of[w], n) for w, n in Counter(own).items() if w in word_of))
+    assert found == list(want)
+    assert [len(c) for rows in Reader([], []).read(texts) for c in rows] == [0] * 6
