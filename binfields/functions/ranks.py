@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,12 +54,21 @@ def _few(totals: DataFrame) -> DataFrame:
     return F.broadcast(totals) if totals.limit(_FEW + 1).count() <= _FEW else totals
 
 
+def midranks(rows: DataFrame, values: Mapping[str, str], groups: Sequence[str] = ()) -> DataFrame:
+    """Adds under each name the average rank of its value (nulls get none). Ties are counted first, so sums run over different values only."""
+    # ranks come back by value, so the rows are written once: a mean evaluated again may differ in its last bits and would miss its rank
+    written = out = checkpoint(rows)
+    for name, value in values.items():
+        counted = written.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+        ranked = running_sum(counted, [value], "_n", groups, "_below")
+        ranked = ranked.select(*groups, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+        out = join_null_safe(out, ranked, [*groups, value], "left")
+    return out
+
+
 def midrank(rows: DataFrame, value: str, groups: Sequence[str] = (), name: str = "midrank") -> DataFrame:
-    """Adds the average rank of ``value`` (nulls get none). Ties are counted first, so sums run over different values only."""
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    ranked = running_sum(counted, [value], "_n", groups, "_below")
-    ranked = ranked.select(*groups, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return join_null_safe(rows, ranked, [*groups, value], "left")
+    """``midranks`` of one value."""
+    return midranks(rows, {name: value}, groups)
 
 
 def order_statistics(rows: DataFrame, value: str, qs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
@@ -132,24 +141,21 @@ def bh_fdr(rows: DataFrame, p: str, groups: Sequence[str] = (), name: str = "qva
 def spearman(rows: DataFrame, x: str, y: str, groups: Sequence[str], *, least: int = 20, name: str = "rho") -> DataFrame:
     """Spearman correlation per group; fewer than ``least`` complete rows give null."""
     complete = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = midrank(midrank(complete, x, groups, "_rx"), y, groups, "_ry")
+    ranked = midranks(complete.select(*dict.fromkeys([*groups, x, y])), {"_rx": x, "_ry": y}, groups)
     return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("_rx", "_ry")).alias(name))
 
 
 def partial_spearman(rows: DataFrame, x: str, y: str, covariate: str, groups: Sequence[str], *, least: int = 20, name: str = "partial_rho") -> DataFrame:
     """Ranks of x and y lose their linear part in the covariate's ranks; the residuals' Spearman correlation."""
     complete = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(covariate).isNotNull())
-    ranked = complete.select(*groups, x, y, covariate)
-    for column, rank in ((x, "_rx"), (y, "_ry"), (covariate, "_rc")):
-        ranked = midrank(ranked, column, groups, rank)
-    ranked = checkpoint(ranked)
+    ranked = checkpoint(midranks(complete.select(*groups, x, y, covariate), {"_rx": x, "_ry": y, "_rc": covariate}, groups))
     fits = [f for r in ("_rx", "_ry") for f in (F.coalesce(F.regr_slope(r, "_rc"), F.lit(0.0)).alias(f"{r}_slope"), F.avg(r).alias(f"{r}_mean"))]
     lines = ranked.groupBy(*groups).agg(F.avg("_rc").alias("_rc_mean"), *fits)
     ranked = ranked.join(F.broadcast(lines), list(groups))  # one row for each group, of which there are few
     for rank in ("_rx", "_ry"):
         fit = F.col(f"{rank}_slope") * (F.col("_rc") - F.col("_rc_mean")) + F.col(f"{rank}_mean")
         ranked = ranked.withColumn(f"{rank}_left", F.round(F.col(rank) - fit, 9))
-    again = midrank(midrank(ranked, "_rx_left", groups, "_a"), "_ry_left", groups, "_b")
+    again = midranks(ranked.select(*groups, "_rx_left", "_ry_left"), {"_a": "_rx_left", "_b": "_ry_left"}, groups)
     return again.groupBy(*groups).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("_a", "_b")).alias(name))
 
 

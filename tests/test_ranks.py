@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -123,3 +124,35 @@ def test_rank_sums_by_range_equal_those_by_window(spark):
     sizes = spark.createDataFrame([(k, 100) for k in range(3)], "label int, n_cells long")
     ways = [sorted(map(tuple, ranks.rank_sums(df, sizes, "label", most_in_window=n).collect())) for n in (0, 100_000)]
     assert ways[0] == ways[1]
+
+
+def test_correlations_of_values_whose_last_bits_change_when_evaluated_again(spark):
+    rng = random.Random(12)
+    values = [(g, rng.random(), float(rng.randrange(30)), k % 7) for g in "ab" for k in range(100)]
+    rows = spark.createDataFrame(values, "g string, x double, y double, c int").repartition(3)
+    # as a mean whose parts arrive in another order each time
+    unsteady = F.udf(lambda x: x * (1 + os.urandom(1)[0] * 2.0**-50), "double").asNondeterministic()
+    for correlation in (lambda r: ranks.partial_spearman(r, "x", "y", "c", ["g"], name="rho"), lambda r: ranks.spearman(r, "x", "y", ["g"])):
+        got, want = ({r.g: r for r in correlation(r).collect()} for r in (rows.withColumn("x", unsteady("x")), rows))
+        for g in "ab":
+            assert got[g].n == want[g].n == 100 and got[g].rho == pytest.approx(want[g].rho, abs=1e-12)
+    ranked = ranks.midrank(rows.withColumn("x", unsteady("x")), "x", ["g"])
+    assert sorted(r.midrank for r in ranked.collect()) == sorted([*range(1, 101)] * 2)
+
+
+def test_partial_spearman_equals_residuals_of_midranks(spark):
+    rng = random.Random(13)
+    x, c = [rng.random() + k / 90 for k in range(90)], [k // 9 for k in range(90)]
+    y = [float(rng.randrange(12)) - v for v in c]
+    rows = spark.createDataFrame([("g", *v) for v in zip(x, y, c, strict=True)] + [("g", None, 1.0, 1), ("g", 1.0, 1.0, None)], "g string, x double, y double, c int")
+    row = ranks.partial_spearman(rows, "x", "y", "c", ["g"]).first()
+
+    def centred(v):
+        return [a - sum(v) / len(v) for a in v]
+
+    def dot(v, w):
+        return sum(a * b for a, b in zip(v, w, strict=True))
+
+    rx, ry, rc = (centred(midranks(v)) for v in (x, y, c))
+    left = [centred(midranks([round(a - dot(r, rc) / dot(rc, rc) * b, 9) for a, b in zip(r, rc, strict=True)])) for r in (rx, ry)]
+    assert row.n == 90 and row.partial_rho == pytest.approx(dot(*left) / math.sqrt(dot(left[0], left[0]) * dot(left[1], left[1])))
